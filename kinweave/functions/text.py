@@ -68,7 +68,7 @@ def relation_urls(c: str | Column, balanced: bool = False) -> Column:
 def relation_urls_loose(c: str | Column, self_url: str | Column) -> Column:
     """As ``relation_urls`` but bare URLs count when no URL is in parentheses."""
     strict = relation_urls(c)
-    bare = F.transform(_all(as_col(c), r"https://es\.wikipedia\.org/wiki/[^\s)]+", 0), F.trim)
+    bare = F.transform(_all(as_col(c), r"https://es\.wikipedia\.org/wiki/[^\s)]+", 0), lambda u: F.trim(u))
     urls = F.array_distinct(F.when(F.size(strict) > 0, strict).otherwise(bare))
     own = as_col(self_url)
     return F.filter(urls, lambda u: (u != "") & ~u.eqNullSafe(own))
@@ -295,8 +295,9 @@ def first_object_text(c: str | Column) -> Column:
 
 def kwic(c: str | Column, words: list[str], width: int = 50) -> Column:
     """Every hit of the first word that occurs, with its context, joined by `` | ``."""
-    around = f".{{0,{width}}}"
+    text, around = as_col(c), f".{{0,{width}}}"
     hits = [
-        null_if_empty(F.array_join(_all(as_col(c), around + w + around, 0), " | ")) for w in words
+        F.when(text.rlike(w), null_if_empty(F.array_join(_all(text, around + w + around, 0), " | ")))
+        for w in words
     ]
     return F.coalesce(*hits)

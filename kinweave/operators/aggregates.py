@@ -133,7 +133,7 @@ def label_counts(df: DataFrame, label: str, pais: str) -> DataFrame:
 
 def matrix(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
     """Count matrix with zero fill; the column values are declared."""
-    return df.groupBy(row).pivot(col, values).agg(F.count("*")).fillna(0, subset=values)
+    return df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1))).fillna(0, subset=values)
 
 
 def to_long(df: DataFrame, ids: list[str], cols: list[str], name: str, value: str) -> DataFrame:

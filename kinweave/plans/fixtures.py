@@ -83,9 +83,9 @@ class Tables:
         p = self.person().select("person_id", "pais", "familia", surnames("nombre")["surname_1"].alias("surname_1"))
         return self.spell().join(p, "person_id").withColumn("periodo", bucket("anio", *PERIODS))
 
-    def kin(self) -> DataFrame:
+    def kin(self, family: str = "familia") -> DataFrame:
         """Edges of known persons with both ends' attributes and classes."""
-        known = self.known()
+        known = self.known().withColumn("familia", F.col(family))
         e = self.edge()
         e = e.join(known.select("person_id"), e["src"] == F.col("person_id"), "left_semi")
         return kin_table(e, known, ["nombre", "pais", "familia"])

@@ -37,6 +37,14 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                CASE WHEN a.familia = b.familia THEN 'Intra-familia' WHEN a.familia <> b.familia THEN 'Inter-familia'
                     ELSE 'Desconocido' END AS clase_familia
         FROM v_edge e JOIN v_known a ON e.src = a.person_id LEFT JOIN v_known b ON e.dst = b.person_id"""),
+    "v_lkin": (["v_edge", "v_known"], """
+        SELECT e.src, e.dst, e.relation_type, a.nombre AS src_nombre, a.pais AS src_pais, a.linaje AS src_familia,
+               b.nombre AS dst_nombre, b.pais AS dst_pais, b.linaje AS dst_familia,
+               CASE WHEN a.pais = b.pais THEN 'Intra-país' WHEN a.pais <> b.pais THEN 'Inter-país'
+                    ELSE 'Desconocido' END AS clase_pais,
+               CASE WHEN a.linaje = b.linaje THEN 'Intra-familia' WHEN a.linaje <> b.linaje THEN 'Inter-familia'
+                    ELSE 'Desconocido' END AS clase_familia
+        FROM v_edge e JOIN v_known a ON e.src = a.person_id LEFT JOIN v_known b ON e.dst = b.person_id"""),
     "v_mention": (["v_spell", "v_person"], """
         SELECT s.person_id, s.spell_id, s.anio, s.cargo_text, p.pais, p.familia,
                string_split(p.nombre, ' ')[-1] AS surname_1,

@@ -97,7 +97,7 @@ def main() -> None:
                 n = fn(spark, DATA.format(sf)).count()
                 msg = None
         except Exception as e:  # report and go on with the next query
-            msg = f"{type(e).__name__}: {str(e)[:900]}"
+            msg = f"{type(e).__name__}: {str(e)[:300]}"
         bad += msg is not None
         print(f"{'ok ' if msg is None else 'BAD'} {name} {time.time() - t:.2f}s {msg or ''}", flush=True)
     print("bad:", bad)
