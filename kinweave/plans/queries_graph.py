@@ -1 +1,344 @@
-"""Queries."""
+"""N01-N29 over the fixture graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinweave.functions import fixed
+from kinweave.operators import graph
+from kinweave.plans.registry import query
+from kinweave.session import cut
+
+_URL = "concat('https://es.wikipedia.org/wiki/P', CAST({} AS VARCHAR))"
+_POS = "CASE relation_type WHEN 'padres' THEN 0 WHEN 'conyuge' THEN 1 WHEN 'pareja' THEN 2 WHEN 'hijos' THEN 3 ELSE 4 END"
+
+
+@query("n01_edges", "v_edge v_person", f"""
+    SELECT {_URL.format('src')} AS src, {_URL.format('dst')} AS dst, relation_type, p.pais FROM v_edge JOIN v_person p ON src = p.person_id""")
+def _(fx):
+    return graph.edges(fx.person_text(), "url", keep=["pais"]).select("src", "dst", "relation_type", "pais")
+
+
+@query("n01_edges_named", "v_edge v_person", f"""
+    SELECT {_URL.format('src')} AS src, {_URL.format('dst')} AS dst, relation_type, p.nombre AS related_name FROM v_edge JOIN v_person p ON dst = p.person_id""")
+def _(fx):
+    p = fx.person_text().withColumnsRenamed({f: fixed.PROFILE_PREFIX + f for f in fixed.RELATION_FIELDS})
+    fields = [fixed.PROFILE_PREFIX + f for f in fixed.RELATION_FIELDS]
+    return graph.edges(p, "url", fields, mode="named").select("src", "dst", "relation_type", "related_name")
+
+
+@query("n02_dedupe_edges", "v_edge", f"""
+    SELECT {_URL.format('src')} AS src, {_URL.format('dst')} AS dst, relation_type FROM
+      (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY {_POS}) AS rn FROM v_edge WHERE src <> dst) WHERE rn = 1""")
+def _(fx):
+    e = graph.edges(fx.person_text(), "url", mode="loose")
+    return graph.dedupe_edges(e, ["campo", "pos"]).select("src", "dst", "relation_type")
+
+
+@query("n03_nodes", "v_edge v_known", f"""
+    WITH n AS (SELECT src AS id FROM v_edge UNION SELECT dst FROM v_edge)
+    SELECT {_URL.format('id')} AS id, coalesce(k.nombre, concat('P', CAST(id AS VARCHAR))) AS nombre, coalesce(k.pais, 'Desconocido') AS pais
+    FROM n LEFT JOIN v_known k ON id = k.person_id""")
+def _(fx):
+    return graph.nodes(graph.edges(fx.person_text(), "url"), fx.known())
+
+
+@query("n04_induced", "v_edge v_known", """
+    SELECT * FROM v_edge WHERE src IN (SELECT person_id FROM v_known) AND dst IN (SELECT person_id FROM v_known)""")
+def _(fx):
+    return graph.induced(fx.edge(), fx.known(), "person_id")
+
+
+@query("n05_degree", "v_edge v_person", """
+    SELECT person_id AS id, (SELECT count(*) FROM v_edge WHERE src = person_id) AS grado_salida, (SELECT count(*) FROM v_edge WHERE dst = person_id) AS grado_entrada,
+           (SELECT count(*) FROM v_edge WHERE src = person_id) + (SELECT count(*) FROM v_edge WHERE dst = person_id) AS grado FROM v_person""")
+def _(fx):
+    return graph.degree(fx.edge(), fx.person().select(F.col("person_id").alias("id")))
+
+
+@query("n06_simplify", "v_edge", "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM v_edge WHERE src <> dst")
+def _(fx):
+    return graph.simplify(fx.edge())
+
+
+@query("n07_collapse", "v_edge_dense", "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM v_edge_dense")
+def _(fx):
+    return graph.collapse(fx.edge_dense())
+
+
+MUTUAL = "mutual AS (SELECT x.src, x.dst FROM v_edge_dense x JOIN v_edge_dense y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst)"
+
+
+@query("n08_mutual", "v_edge_dense", f"WITH {MUTUAL} SELECT * FROM mutual")
+def _(fx):
+    return graph.mutual(fx.edge_dense())
+
+
+COMP = "r(id, m) AS (SELECT DISTINCT a, a FROM v_adj UNION SELECT e.b, r.m FROM r JOIN v_adj e ON r.id = e.a), comp AS (SELECT id, min(m) AS component FROM r GROUP BY id)"
+
+
+@query("n09_components", "v_adj", f"WITH RECURSIVE {COMP} SELECT id, component FROM comp")
+def _(fx):
+    return graph.components(graph.simplify(fx.edge_sparse()))
+
+
+@query("n09_component_summary", "v_adj", f"""WITH RECURSIVE {COMP}, s AS (SELECT component, count(*) AS n FROM comp GROUP BY 1)
+    SELECT count(*) AS n_componentes, max(n) AS giant_size FROM s""")
+def _(fx):
+    sizes = graph.component_sizes(graph.components(graph.simplify(fx.edge_sparse())))
+    return sizes.agg(F.count("*").alias("n_componentes"), F.max("n").alias("giant_size"))
+
+
+_NM = "n AS (SELECT count(*) AS n FROM (SELECT src FROM {0} UNION SELECT dst FROM {0})), m AS (SELECT count(*) AS m FROM {0})"
+
+
+def _size(e):
+    """Nodes and edges of a graph, one row."""
+    ends = e.select(F.explode(F.array("src", "dst")).alias("id"))
+    return ends.agg(F.count_distinct("id").alias("n"), (F.count("*") / 2).cast("long").alias("m"))
+
+
+@query("n10_density", "v_edge_dense v_dsimple", f"""
+    WITH {_NM.format('v_edge_dense')}, n2 AS (SELECT count(*) AS m2 FROM v_dsimple)
+    SELECT round(m / (n * (n - 1)), 6) AS dirigida, round(m2 / (n * (n - 1) / 2), 6) AS no_dirigida FROM n, m, n2""")
+def _(fx):
+    e = fx.edge_dense()
+    low = F.least("src", "dst")
+    pair = F.when(F.col("src") != F.col("dst"), F.struct(low, F.greatest("src", "dst")))
+    ends = F.explode(F.array("src", "dst")).alias("id")
+    s = e.select("src", "dst", ends).agg(
+        F.count_distinct("id").alias("n"), (F.count("*") / 2).cast("long").alias("m"), F.count_distinct(pair).alias("m2"))
+    return s.select(F.round(graph.density("n", "m", True), 6).alias("dirigida"), F.round(graph.density("n", "m2", False), 6).alias("no_dirigida"))
+
+
+@query("n11_avg_degree", "v_dsimple", f"WITH {_NM.format('v_dsimple')} SELECT n, m, round(2 * m / n, 6) AS grado_medio FROM n, m")
+def _(fx):
+    s = _size(graph.simplify(fx.edge_dense()))
+    return s.select("n", "m", F.round(graph.avg_degree("n", "m"), 6).alias("grado_medio"))
+
+
+@query("n12_transitivity", "v_dadj", """
+    WITH t AS (SELECT count(*) AS t FROM v_dadj x JOIN v_dadj y ON x.b = y.a JOIN v_dadj z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.b < y.b),
+    w AS (SELECT CAST(sum(d * (d - 1) // 2) AS BIGINT) AS w FROM (SELECT count(*) AS d FROM v_dadj GROUP BY a))
+    SELECT t AS triangulos, w AS triples, round(3 * t / w, 9) AS transitividad FROM t, w""")
+def _(fx):
+    return graph.transitivity(fx.edge_dense()).withColumn("transitividad", F.round("transitividad", 9))
+
+
+# Distances by walks without repeated pairs; `hops` bounds the recursion above the longest path.
+def dist_sql(adj: str, name: str = "dist", hops: int = 24) -> str:
+    return (
+        f"w_{name}(s, v, d) AS (SELECT DISTINCT a, a, 0 FROM {adj} UNION SELECT DISTINCT b, b, 0 FROM {adj} UNION "
+        f"SELECT w.s, e.b, w.d + 1 FROM w_{name} w JOIN {adj} e ON w.v = e.a WHERE w.d < {hops}), "
+        f"{name} AS (SELECT s, v, min(d) AS d FROM w_{name} GROUP BY 1, 2)"
+    )
+
+
+def betweenness_sql(adj: str, half: bool = True, hops: int = 24) -> str:
+    """Every shortest path is one row of `p`; parallel edges make parallel rows."""
+    return (
+        f"{dist_sql(adj, hops=hops)}, p(s, v, d) AS (SELECT s, v, 0 FROM dist WHERE s = v UNION ALL SELECT p.s, e.b, p.d + 1 "
+        f"FROM p JOIN {adj} e ON p.v = e.a JOIN dist q ON q.s = p.s AND q.v = e.b AND q.d = p.d + 1), "
+        "sg AS (SELECT s, v, d, count(*) AS n FROM p GROUP BY 1, 2, 3), "
+        f"bt AS (SELECT x.v AS id, sum(x.n::DOUBLE * y.n / z.n) {'/ 2' if half else ''} AS b FROM sg x JOIN sg y ON x.v = y.s "
+        "JOIN sg z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 AND x.s <> y.v GROUP BY 1)"
+    )
+
+
+@query("n13_avg_path_giant", "v_adj", f"""WITH RECURSIVE {COMP}, {dist_sql('v_adj')},
+    g AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)
+    SELECT count(*) AS pares, round(avg(d), 9) AS distancia_media FROM dist JOIN comp ON s = id WHERE d > 0 AND component = (SELECT component FROM g)""")
+def _(fx):
+    e = cut(graph.simplify(fx.edge_sparse()))
+    giant = graph.giant_nodes(graph.components(e))
+    return graph.avg_path(graph.induced(e, giant)).withColumn("distancia_media", F.round("distancia_media", 9))
+
+
+@query("n14_betweenness", "v_adj", f"""WITH RECURSIVE {betweenness_sql('v_adj')}
+    SELECT a AS id, round(coalesce(b, 0), 6) AS betweenness FROM (SELECT DISTINCT a FROM v_adj) LEFT JOIN bt ON a = id""")
+def _(fx):
+    e = graph.simplify(fx.edge_sparse())
+    return graph.betweenness(e).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query("n14_betweenness_directed", "v_edge_sparse", f"""
+    WITH RECURSIVE da AS (SELECT DISTINCT src AS a, dst AS b FROM v_edge_sparse WHERE src <> dst), {betweenness_sql('da', half=False)}
+    SELECT n.id, round(coalesce(b, 0), 6) AS betweenness FROM (SELECT src AS id FROM v_edge_sparse UNION SELECT dst FROM v_edge_sparse) n LEFT JOIN bt ON n.id = bt.id""")
+def _(fx):
+    return graph.betweenness(fx.edge_sparse(), directed=True).withColumn("betweenness", F.round("betweenness", 6))
+
+
+def communities_sql(edges: str, ids: str, rounds: int = 5) -> str:
+    """Unrolled label rounds."""
+    out = [f"ce AS (SELECT src AS a, dst AS b FROM {edges} UNION ALL SELECT dst, src FROM {edges})", f"l0 AS (SELECT id, id AS c FROM ({ids}))"]
+    for k in range(1, rounds + 1):
+        out.append(
+            f"l{k} AS (SELECT id, c FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, c) AS rn FROM "
+            f"(SELECT ce.a AS id, l.c FROM ce JOIN l{k - 1} l ON ce.b = l.id UNION ALL SELECT id, c FROM l{k - 1}) GROUP BY id, c) WHERE rn = 1)")
+    return ", ".join(out)
+
+
+DIDS = "SELECT src AS id FROM v_edge_dense UNION SELECT dst FROM v_edge_dense"
+ANY5 = communities_sql("v_dsimple", DIDS)
+MUT5 = communities_sql("mutual", DIDS)
+
+
+@query("n15_communities_mutual", "v_edge_dense", f"WITH {MUTUAL}, {MUT5} SELECT id, c AS community FROM l5")
+def _(fx):
+    return graph.communities(fx.edge_dense(), 5, "mutual")
+
+
+@query("n15_modularity", "v_dsimple v_edge_dense", f"""WITH {ANY5},
+    x AS (SELECT a.c AS c, CASE WHEN a.c = b.c THEN 1 ELSE 0 END AS l FROM v_dsimple e JOIN l5 a ON e.src = a.id JOIN l5 b ON e.dst = b.id
+          UNION ALL SELECT b.c, 0 FROM v_dsimple e JOIN l5 b ON e.dst = b.id),
+    g AS (SELECT c, sum(l) AS l, count(*) AS d FROM x GROUP BY c)
+    SELECT round(2.0 * sum(l)::DOUBLE / sum(d) - sum(d * d)::DOUBLE / (sum(d)::DOUBLE * sum(d)::DOUBLE), 9) AS modularidad FROM g""")
+def _(fx):
+    e = fx.edge_dense()
+    return graph.modularity(e, graph.communities(e)).withColumn("modularidad", F.round("modularidad", 9))
+
+
+@query("n16_communities_any", "v_dsimple v_edge_dense", f"""WITH {ANY5}
+    SELECT id, c AS community, count(*) OVER (PARTITION BY c) AS size FROM l5""")
+def _(fx):
+    return graph.communities_any(fx.edge_dense())
+
+
+@query("n17_mixed_communities", "v_dsimple v_edge_dense", f"""WITH {ANY5},
+    m AS (SELECT c, r_name FROM l5 JOIN supplier ON id = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT c AS community, count(*) FILTER (r_name = 'ASIA') AS n_a, count(*) FILTER (r_name = 'EUROPE') AS n_b, count(*) AS total
+    FROM m GROUP BY 1 HAVING n_a > 0 AND n_b > 0""")
+def _(fx):
+    c = graph.communities(fx.edge_dense())
+    s, n, r = fx.t("supplier"), fx.t("nation"), fx.t("region")
+    where = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        F.col("s_suppkey").alias("id"), F.col("r_name").alias("pais"))
+    return graph.mixed_communities(c.join(where, "id"), "pais", "ASIA", "EUROPE")
+
+
+@query("n18_contract", "v_kin", """
+    WITH t AS (SELECT src_pais, dst_pais, relation_type, count(*) AS n FROM v_kin WHERE clase_pais = 'Inter-país' GROUP BY 1, 2, 3)
+    SELECT src_pais AS src, dst_pais AS dst, CAST(sum(n) AS BIGINT) AS weight FROM t GROUP BY 1, 2""")
+def _(fx):
+    return graph.contract(fx.kin().filter("clase_pais = 'Inter-país'"), "src_pais", "dst_pais")
+
+
+@query("n18_group_degree", "v_lkin", """
+    WITH g AS (SELECT DISTINCT src_familia AS s, dst_familia AS d FROM v_lkin WHERE clase_familia = 'Inter-familia'),
+    x AS (SELECT s AS id, 1 AS o, 0 AS i FROM g UNION ALL SELECT d, 0, 1 FROM g)
+    SELECT id, CAST(sum(o) AS BIGINT) AS grado_salida, CAST(sum(i) AS BIGINT) AS grado_entrada, count(*) AS grado FROM x GROUP BY 1""")
+def _(fx):
+    k = fx.kin("linaje").filter("clase_familia = 'Inter-familia'")
+    return graph.degree(graph.contract(k, "src_familia", "dst_familia"))
+
+
+MARRIAGE = """
+    links AS (SELECT src_familia AS src, dst_familia AS dst, count(*) AS weight FROM v_lkin
+              WHERE relation_type IN ('conyuge', 'pareja') AND clase_familia = 'Inter-familia' GROUP BY 1, 2),
+    ma AS (SELECT src AS a, dst AS b FROM links UNION ALL SELECT dst, src FROM links)"""
+
+
+@query("n19_marriage_network", "v_lkin", f"""WITH RECURSIVE {MARRIAGE}, {betweenness_sql('ma', hops=6)},
+    dg AS (SELECT a AS id, count(*) AS grado FROM ma GROUP BY 1)
+    SELECT dg.id, grado, round(coalesce(b, 0), 6) AS betweenness, grado >= (SELECT quantile_cont(grado, 0.8) FROM dg) AS familia_central
+    FROM dg LEFT JOIN bt ON dg.id = bt.id""")
+def _(fx):
+    _, score = graph.marriage_network(fx.kin("linaje"))
+    return score.withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query("n20_neighbour_groups", "v_adj v_person", f"""WITH RECURSIVE {betweenness_sql('v_adj')},
+    f AS (SELECT a AS id, count(DISTINCT linaje) AS familias_conectadas FROM v_adj JOIN v_person ON b = person_id GROUP BY 1),
+    n AS (SELECT count(*) AS n FROM f)
+    SELECT f.id, p.linaje AS familia, round(coalesce(b, 0) / ((n.n - 1) * (n.n - 2) / 2), 9) AS centralidad, familias_conectadas
+    FROM f JOIN v_person p ON f.id = p.person_id LEFT JOIN bt ON f.id = bt.id, n""")
+def _(fx):
+    e = cut(graph.simplify(fx.edge_sparse()))
+    member = graph.membership(fx.person(), "person_id", "linaje")
+    score = graph.betweenness(e, normalized=True).withColumnRenamed("betweenness", "centralidad")
+    out = graph.neighbour_groups(e, member).join(score, "id").join(member, "id").withColumnRenamed("grupo", "familia")
+    out = out.withColumn("centralidad", F.round("centralidad", 9))
+    return out.orderBy(F.desc("familias_conectadas"), F.desc("centralidad"), "id")
+
+
+@query("n21_inter_group", "v_kin", "SELECT src, dst, relation_type, src_familia, dst_familia FROM v_kin WHERE src_familia <> dst_familia")
+def _(fx):
+    return graph.inter_group(fx.kin()).select("src", "dst", "relation_type", "src_familia", "dst_familia")
+
+
+@query("n22_group_connectivity", "v_edge v_person", """
+    WITH d AS (SELECT id, count(*) AS grado FROM (SELECT src AS id FROM v_edge UNION ALL SELECT dst FROM v_edge) GROUP BY 1),
+    g AS (SELECT pais, linaje AS familia, CAST(sum(grado) AS BIGINT) AS total_conexiones, count(*) AS n_miembros FROM d JOIN v_person ON id = person_id GROUP BY 1, 2)
+    SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY pais ORDER BY total_conexiones DESC) AS INTEGER) AS ranking FROM g) WHERE ranking <= 3""")
+def _(fx):
+    p = fx.person().select(F.col("person_id").alias("id"), "pais", F.col("linaje").alias("familia"))
+    return graph.group_connectivity(graph.degree(fx.edge()).join(p, "id"), 3)
+
+
+@query("n23_pair_summary", "v_kin v_person", """
+    WITH c AS (SELECT DISTINCT src_pais AS p FROM v_kin UNION SELECT dst_pais FROM v_kin WHERE dst_pais IS NOT NULL),
+    pr AS (SELECT x.p AS a, y.p AS b FROM c x JOIN c y ON x.p < y.p),
+    e AS (SELECT pr.a, pr.b, k.src, k.dst, k.src_pais, coalesce(k.dst_pais, 'Desconocido') AS dst_pais FROM pr JOIN v_kin k
+          ON k.src_pais IN (pr.a, pr.b) AND (k.dst_pais IS NULL OR k.dst_pais IN (pr.a, pr.b))),
+    n AS (SELECT a, b, src AS id, src_pais AS pais FROM e UNION SELECT a, b, dst, dst_pais FROM e),
+    x AS (SELECT a, b, count(*) FILTER (src_pais <> dst_pais AND dst_pais <> 'Desconocido') AS cruces FROM e GROUP BY 1, 2)
+    SELECT n.a, n.b, count(*) AS nodos, count(*) FILTER (pais = n.a) AS n_a, count(*) FILTER (pais = n.b) AS n_b, any_value(cruces) AS cruces
+    FROM n JOIN x ON n.a = x.a AND n.b = x.b GROUP BY 1, 2""")
+def _(fx):
+    k = fx.kin().select("src", "dst", "src_pais", "dst_pais")
+    all_nodes = k.select(F.col("src").alias("id"), F.col("src_pais").alias("pais")).union(k.select("dst", "dst_pais")).dropna().distinct()
+    return graph.pair_summary(k, all_nodes)
+
+
+@query("n24_k_hop", "v_edge v_person", """
+    WITH s AS (SELECT person_id AS id FROM v_person WHERE nombre = 'red widget' AND pais = 'ASIA'),
+    h1 AS (SELECT DISTINCT dst AS id FROM v_edge WHERE src IN (SELECT id FROM s) AND dst NOT IN (SELECT id FROM s)),
+    h2 AS (SELECT DISTINCT dst AS id FROM v_edge WHERE src IN (SELECT id FROM h1) AND dst NOT IN (SELECT id FROM s UNION SELECT id FROM h1))
+    SELECT id, 0 AS depth FROM s UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2""")
+def _(fx):
+    seeds = fx.person().filter("nombre = 'red widget' AND pais = 'ASIA'").select(F.col("person_id").alias("id"))
+    return graph.k_hop(fx.edge(), seeds, 2)
+
+
+@query("n25_flatten_hierarchy", "", """
+    SELECT concat('r', CAST(r_regionkey AS VARCHAR)) AS root, concat('n', CAST(n_nationkey AS VARCHAR)) AS member, 1 AS depth FROM region JOIN nation ON n_regionkey = r_regionkey
+    UNION ALL SELECT concat('r', CAST(n_regionkey AS VARCHAR)), concat('c', CAST(c_custkey AS VARCHAR)), 2 FROM nation JOIN customer ON c_nationkey = n_nationkey""")
+def _(fx):
+    n, c = fx.t("nation"), fx.t("customer")
+    tree = n.select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child")).union(
+        c.select(F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("c"), "c_custkey")))
+    return graph.flatten_hierarchy(tree, fx.t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("id")))
+
+
+@query("n26_reciprocal", "v_edge", """
+    SELECT src, dst, relation_type, false AS anadida FROM v_edge
+    UNION ALL SELECT DISTINCT dst, src, CASE relation_type WHEN 'padres' THEN 'hijos' WHEN 'hijos' THEN 'padres' ELSE relation_type END, true
+    FROM v_edge e WHERE NOT EXISTS (SELECT 1 FROM v_edge x WHERE x.src = e.dst AND x.dst = e.src)""")
+def _(fx):
+    return graph.reciprocal(fx.edge())
+
+
+@query("n27_unknown_profile", "v_kin", """
+    SELECT src_pais, relation_type, count(*) AS n FROM v_kin WHERE dst_pais IS NULL GROUP BY 1, 2""")
+def _(fx):
+    return graph.unknown_profile(fx.kin(), fx.known())
+
+
+@query("n28_crossing_named", "v_kin", """
+    SELECT DISTINCT src_nombre, dst_nombre, relation_type, src_pais, dst_pais FROM v_kin WHERE src_pais <> dst_pais""")
+def _(fx):
+    return graph.crossing_named(fx.kin())
+
+
+@query("n29_surname_pairs", "v_person", """
+    WITH s AS (SELECT string_split(nombre, ' ')[-1] AS a, string_split(nombre, ' ')[-2] AS b FROM v_person)
+    SELECT least(a, b) AS pair_a, greatest(a, b) AS pair_b, count(*) AS weight FROM s WHERE a <> b GROUP BY 1, 2""")
+def _(fx):
+    return graph.surname_network(fx.person(), fx.edge())[0]
+
+
+@query("n29_surname_flows", "v_edge v_known", """
+    SELECT string_split(a.nombre, ' ')[-1] AS from_surname, coalesce(string_split(b.nombre, ' ')[-1], 'External') AS to_surname, count(*) AS weight
+    FROM v_edge e JOIN v_known a ON e.src = a.person_id LEFT JOIN v_known b ON e.dst = b.person_id GROUP BY 1, 2 HAVING from_surname <> to_surname""")
+def _(fx):
+    return graph.surname_network(fx.known(), fx.edge())[1]
