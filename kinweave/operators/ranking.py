@@ -136,32 +136,43 @@ def segment_headers(
     ).drop("_seg")
 
 
-def cell_segments(entries: Column, header_regex: str) -> Column:
-    """W08 for one infobox cell: no shuffle, a cell never leaves its row."""
-    size = F.size(entries)
+def segment_cells(df: DataFrame, id_col: str, entries: Column, header_regex: str) -> DataFrame:
+    """W08 for infobox cells: no shuffle, a cell never leaves its row.
 
+    The parsed entries and the header positions are columns of their own, so the
+    lambdas read them and do not parse the text again.
+    """
     def is_header(e: Column) -> Column:
         return F.lower(e["label"]).rlike(header_regex.lower()) & (e["value"] == "")
 
-    at = F.filter(F.sequence(F.lit(0), size - 1), lambda i: is_header(F.get(entries, i)))
-
-    def office(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(at, k + 1), size)
-        body = F.slice(entries, start + 2, end - start - 1)
-        period = F.filter(body, lambda e: e["label"] == "detalle")
-        before = F.filter(body, lambda e: F.lower(e["label"]).rlike("predecesor"))
-        after = F.filter(
-            body,
-            lambda e: F.lower(e["label"]).rlike("sucesor") & ~F.lower(e["label"]).rlike("predecesor"),
-        )
-        return F.struct(
-            F.get(entries, start)["label"].alias("cargo"),
-            F.get(period, F.lit(0))["value"].alias("periodo"),
-            F.try_element_at(before, F.lit(-1))["value"].alias("predecesor"),
-            F.try_element_at(after, F.lit(-1))["value"].alias("sucesor"),
-        )
-
-    return F.when(size > 0, F.transform(at, office))
+    def kind(e: Column) -> Column:
+        low = F.lower(e["label"])
+        return F.when(e["label"] == "detalle", "d").when(low.rlike("predecesor"), "p").when(low.rlike("sucesor"), "s")
+
+    parsed = df.select(id_col, entries.alias("_e"))
+    marked = parsed.filter(F.size("_e") > 0).select(
+        id_col,
+        F.transform("_e", lambda e, i: F.struct(
+            e["label"].alias("label"), e["value"].alias("value"), kind(e).alias("k"),
+            F.when(is_header(e), i).alias("head"),
+        )).alias("_e"),
+    )
+    heads = marked.select(
+        id_col, "_e", F.filter(F.transform("_e", lambda e: e["head"]), lambda h: h.isNotNull()).alias("_at"))
+    cut_up = heads.select(id_col, "_e", "_at", F.posexplode("_at").alias("_k", "_start"))
+    end = F.coalesce(F.get("_at", F.col("_k") + 1), F.size("_e"))
+    offices = cut_up.select(
+        id_col, F.get("_e", F.col("_start"))["label"].alias("cargo"),
+        F.slice("_e", F.col("_start") + 2, end - F.col("_start") - 1).alias("_b"))
+
+    def of_kind(k: str) -> Column:
+        return F.filter("_b", lambda e: e["k"] == k)
+
+    return offices.select(
+        id_col, "cargo", F.get(of_kind("d"), F.lit(0))["value"].alias("periodo"),
+        F.try_element_at(of_kind("p"), F.lit(-1))["value"].alias("predecesor"),
+        F.try_element_at(of_kind("s"), F.lit(-1))["value"].alias("sucesor"),
+    )
 
 
 def ring_edges(

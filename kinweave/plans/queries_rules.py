@@ -157,7 +157,7 @@ def _(fx):
     return fx.person().select("person_id", rules.foreign_link("pais", nac).alias("conexion"))
 
 
-PLACES = {"asia": ["china", "japan", "india"], "europe": ["france", "germany"], "america": ["brazil", "canada", "peru"]}
+PLACES = {"asia": ["nation_11", "nation_12", "nation_0"], "europe": ["nation_1"], "america": ["nation_5", "nation_7", "nation_20"]}
 
 
 def place_sql(text: str) -> str:

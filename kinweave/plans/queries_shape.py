@@ -71,19 +71,19 @@ def _(fx):
 
 @query("f08_first_match", "v_attr", """
     SELECT person_id, CASE WHEN regexp_matches(lower(cargos), 'standard|small') THEN 'Uno'
-           WHEN regexp_matches(lower(cargos), 'ia$') THEN 'Dos' WHEN regexp_matches(lower(cargos), 'n') THEN 'Tres'
+           WHEN regexp_matches(lower(cargos), '_1[0-9]$') THEN 'Dos' WHEN regexp_matches(lower(cargos), 'n') THEN 'Tres'
            ELSE 'Otro' END AS cargo_tipo FROM v_attr""")
 def _(fx):
-    rules = [("standard|small", "Uno"), ("ia$", "Dos"), ("n", "Tres")]
+    rules = [("standard|small", "Uno"), ("_1[0-9]$", "Dos"), ("n", "Tres")]
     return fx.attr().select("person_id", shape.first_match("cargos", rules, "Otro").alias("cargo_tipo"))
 
 
 @query("f09_flag_bank", "v_attr", """
     SELECT person_id, coalesce(regexp_matches(lower(cargos), 'economy'), false) AS es_economy,
            coalesce(regexp_matches(lower(cargos), 'small|medium'), false) AS es_medida,
-           coalesce(regexp_matches(lower(cargos), 'a$'), false) AS es_a FROM v_attr""")
+           coalesce(regexp_matches(lower(cargos), '[13]$'), false) AS es_a FROM v_attr""")
 def _(fx):
-    flags = {"es_economy": "economy", "es_medida": "small|medium", "es_a": "a$"}
+    flags = {"es_economy": "economy", "es_medida": "small|medium", "es_a": "[13]$"}
     return shape.flag_bank(fx.attr(), "cargos", flags).select("person_id", *flags)
 
 

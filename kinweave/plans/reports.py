@@ -333,8 +333,7 @@ def person_frame(persons: DataFrame, positions: DataFrame, relations: DataFrame,
 
 def infobox_offices(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Structured offices of infobox texts, one row per office, without a shuffle."""
-    header = "|".join(fixed.OFFICE_HEADERS)
-    return df.select(id_col, F.inline(rk.cell_segments(label_values(text), header)))
+    return rk.segment_cells(df, id_col, label_values(text), "|".join(fixed.OFFICE_HEADERS))
 
 
 def expanded_relations(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
