@@ -226,18 +226,16 @@ def persistence(n_gen: str | Column, total: str | Column) -> Column:
 
 def label_values(c: str | Column) -> Column:
     """``label: value | …`` as ``array<struct<label,value>>``."""
-    entries = F.split(null_if_empty(as_col(c)), " [|] ")
+    pairs = F.transform(F.split(null_if_empty(as_col(c)), " [|] "), lambda e: F.split(e, ": ", 2))
 
-    def entry(e: Column) -> Column:
-        parts = F.split(e, ": ", 2)
-        label = F.get(parts, F.lit(0))
+    def entry(p: Column) -> Column:
+        label = p[0]
         return F.struct(
-            F.trim(F.when(label != "", label).otherwise(e)).alias("label"),
-            F.when(label != "", F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))))
-            .otherwise("").alias("value"),
+            F.trim(F.when(label != "", label).otherwise(F.array_join(p, ": "))).alias("label"),
+            F.when((label != "") & (F.size(p) > 1), F.trim(F.get(p, F.lit(1)))).otherwise("").alias("value"),
         )
 
-    return F.transform(entries, entry)
+    return F.transform(pairs, entry)
 
 
 def no_control(c: str | Column) -> Column:

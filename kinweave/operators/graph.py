@@ -135,7 +135,7 @@ def components(e: DataFrame, all_nodes: DataFrame | None = None, max_iter: int =
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(
             F.col("v").alias("u"), F.col("m").alias("v")
-        ).distinct()
+        ).distinct()  # both uses below read this one shuffle
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(small_low, "u").filter(F.col("v") != F.col("m")).select(
             F.col("v").alias("u"), F.col("m").alias("v")

@@ -58,21 +58,30 @@ def unknown_endpoints(edges: DataFrame, known: DataFrame, id_col: str = "person_
     return edges.join(have, edges["dst"] == have["_id"], "left_anti")
 
 
-def word_hits(text: Column, kw: dict[str, list[str]], own: Column | None = None, word: bool = False) -> Column:
-    """Dictionary keys whose words occur in a lower-cased text, in dictionary order."""
-    low = F.lower(text)
-    hits = []
-    for label, words in kw.items():
-        cond = F.lit(False)
-        for w in words:
-            cond = cond | (
-                low.rlike(r"(^|[^\p{L}\p{N}_])\Q" + w + r"\E($|[^\p{L}\p{N}_])") if word
-                else F.contains(low, F.lit(w))
-            )
+def word_cond(low: Column, words: list[str], word: bool = False) -> Column:
+    """Any of the words occurs in a lower-cased text; ``word`` asks for whole words."""
+    cond = F.lit(False)
+    for w in words:
+        cond = cond | (
+            low.rlike(r"(^|[^\p{L}\p{N}_])\Q" + w + r"\E($|[^\p{L}\p{N}_])") if word
+            else F.contains(low, F.lit(w))
+        )
+    return cond
+
+
+def word_hits(low: Column, kw: dict[str, list[str]], own: Column | None = None, word: bool = False) -> Column:
+    """Dictionary keys whose words occur in a lower-cased text, in dictionary order.
+
+    Built from plain conditionals, so the whole dictionary is one compiled expression.
+    Give a column that holds the lower-cased text, or it is folded once per word.
+    """
+    def hit(label: str, words: list[str]) -> Column:
+        cond = word_cond(low, words, word)
         if own is not None:
-            cond = cond & (F.lower(F.trim(own)) != label)
-        hits.append(F.when(cond, F.lit(label)))
-    return F.array_compact(F.array(*hits))
+            cond = cond & F.coalesce(F.lower(F.trim(own)) != label, F.lit(True))
+        return F.when(cond, F.lit(label)).otherwise("")
+
+    return F.array_remove(F.array(*[hit(label, words) for label, words in kw.items()]), "")
 
 
 def dictionary_join(
@@ -83,8 +92,8 @@ def dictionary_join(
 
     The dictionary is part of the expression, so the theta join is a narrow map.
     """
-    text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
-    return df.withColumn(out, F.explode(word_hits(text, kw, F.col(own_key), word)))
+    low = df.withColumn("_low", F.lower(F.concat_ws(" ", *[F.col(c) for c in text_cols])))
+    return low.withColumn(out, F.explode(word_hits(F.col("_low"), kw, F.col(own_key), word))).drop("_low")
 
 
 def indexed(df: DataFrame, cols: list[str], name: str) -> DataFrame:

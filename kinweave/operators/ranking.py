@@ -35,8 +35,12 @@ def largest_group(df: DataFrame, part: list[str]) -> int:
 def running_total(
     df: DataFrame, part: list[str], order: list, value: Column, name: str, hot: int | None = None
 ) -> DataFrame:
-    """Sum of ``value`` from the first row of the group to this one; ``order`` must be total."""
+    """Sum of ``value`` from the first row of the group to this one; ``order`` must be total.
+
+    The input is written once, so the size check does not compute it a second time.
+    """
     limit = HOT_GROUP_ROWS if hot is None else hot
+    df = cut(df)
     frame = (W.unboundedPreceding, W.currentRow)
     if largest_group(df, part) <= limit:
         w = W.partitionBy(*part).orderBy(*order).rowsBetween(*frame)
@@ -65,9 +69,16 @@ def rank_in(df: DataFrame, part: list[str], order: list, name: str = "rank", hot
 
 
 def top_with_ties(df: DataFrame, part: list[str], col: str, n: int, name: str = "ranking") -> DataFrame:
-    """Rows whose rank by ``col`` is at most ``n``, ties kept."""
-    w = W.partitionBy(*part).orderBy(F.desc(col))
-    return df.withColumn(name, F.rank().over(w)).filter(F.col(name) <= n)
+    """Rows whose rank by ``col`` is at most ``n``, ties kept.
+
+    Ranks are found on the first ``n`` distinct values per group and their counts, so
+    a value shared by very many rows is never sorted in one window.
+    """
+    values = top_n_per(df.groupBy(*part, col).agg(F.count("*").alias("_n")), part, [F.desc(col)], n)
+    above = W.partitionBy(*part).orderBy(F.desc(col)).rowsBetween(W.unboundedPreceding, -1)
+    rank = (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("int")
+    keep = values.withColumn(name, rank).filter(F.col(name) <= n).drop("_n")
+    return join_back(df, keep, [*part, col])
 
 
 def top_n_per(df: DataFrame, part: list[str], order: list, n: int, name: str | None = None) -> DataFrame:
@@ -142,24 +153,20 @@ def segment_cells(df: DataFrame, id_col: str, entries: Column, header_regex: str
     The parsed entries and the header positions are columns of their own, so the
     lambdas read them and do not parse the text again.
     """
-    def is_header(e: Column) -> Column:
-        return F.lower(e["label"]).rlike(header_regex.lower()) & (e["value"] == "")
-
     def kind(e: Column) -> Column:
         low = F.lower(e["label"])
-        return F.when(e["label"] == "detalle", "d").when(low.rlike("predecesor"), "p").when(low.rlike("sucesor"), "s")
-
-    parsed = df.select(id_col, entries.alias("_e"))
-    marked = parsed.filter(F.size("_e") > 0).select(
-        id_col,
-        F.transform("_e", lambda e, i: F.struct(
-            e["label"].alias("label"), e["value"].alias("value"), kind(e).alias("k"),
-            F.when(is_header(e), i).alias("head"),
-        )).alias("_e"),
-    )
-    heads = marked.select(
-        id_col, "_e", F.filter(F.transform("_e", lambda e: e["head"]), lambda h: h.isNotNull()).alias("_at"))
-    cut_up = heads.select(id_col, "_e", "_at", F.posexplode("_at").alias("_k", "_start"))
+        return (
+            F.when((e["value"] == "") & low.rlike(header_regex.lower()), "h").when(e["label"] == "detalle", "d")
+            .when(low.rlike("predecesor"), "p").when(low.rlike("sucesor"), "s")
+        )
+
+    marked = df.select(id_col, F.transform(entries, lambda e: F.struct(
+        e["label"].alias("label"), e["value"].alias("value"), kind(e).alias("k"))).alias("_e"))
+    heads = marked.select(id_col, "_e", F.filter(
+        F.transform("_e", lambda e, i: F.when(e["k"] == "h", i)), lambda h: h.isNotNull()).alias("_at"))
+    # The outer form keeps Spark from testing the array size below the parse, which would repeat it.
+    cut_up = heads.select(id_col, "_e", "_at", F.posexplode_outer("_at").alias("_k", "_start")).filter(
+        F.col("_start").isNotNull())
     end = F.coalesce(F.get("_at", F.col("_k") + 1), F.size("_e"))
     offices = cut_up.select(
         id_col, F.get("_e", F.col("_start"))["label"].alias("cargo"),

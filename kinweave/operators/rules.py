@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import fixed
 from kinweave.functions.text import (
-    any_label, any_of, as_col, first_object, null_if_empty, safe_text, whole_word,
+    any_label, any_of, as_col, first_object, safe_text, whole_word,
 )
-from kinweave.operators.joins import enrich_dst, word_hits
+from kinweave.operators.joins import enrich_dst, word_cond, word_hits
 from kinweave.operators.ranking import first_per_key
 from kinweave.operators.shape import first_match
 
@@ -22,8 +22,14 @@ def infer_country(
 
     Words match inside longer words too; ``word=True`` asks for whole words.
     """
-    own = None if exclude is None else as_col(exclude)
-    return F.get(word_hits(F.trim(as_col(text)), kw, own, word), F.lit(0))
+    low = F.lower(F.trim(as_col(text)))
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for label, words in kw.items():
+        cond = word_cond(low, words, word)
+        if exclude is not None:
+            cond = cond & F.coalesce(F.lower(F.trim(as_col(exclude))) != label, F.lit(True))
+        out = out.when(cond, label)
+    return out
 
 
 def _tier(text: Column, words: dict[str, list[str]]) -> Column:
@@ -54,19 +60,21 @@ def mentions_by_field(
     kw: dict[str, list[str]] = fixed.COUNTRY_KEYWORDS,
 ) -> DataFrame:
     """Other countries named in each field, once per kind, with the first field."""
+    names = list(fields)
+    low = df.withColumns({f"_low{i}": F.lower(F.coalesce(F.col(f), F.lit(""))) for i, f in enumerate(names)})
     per_field = F.array(*[
         F.struct(
-            F.lit(i).alias("pos"), F.lit(field).alias("campo"), F.lit(kind).alias("tipo_vinculo"),
-            word_hits(F.coalesce(F.col(field), F.lit("")), kw, F.col(own)).alias("hits"),
+            F.lit(i).alias("pos"), F.lit(fields[f]).alias("tipo_vinculo"),
+            word_hits(F.col(f"_low{i}"), kw, F.col(own)).alias("hits"),
         )
-        for i, (field, kind) in enumerate(fields.items())
+        for i, f in enumerate(names)
     ])
-    rows = df.select(id_col, own, F.inline(per_field)).select(
-        id_col, own, "pos", "campo", "tipo_vinculo", F.explode("hits").alias("vinculo")
-    )
-    return rows.groupBy(id_col, own, "vinculo", "tipo_vinculo").agg(
-        F.min(F.struct("pos", "campo"))["campo"].alias("campo_detectado")
+    rows = low.select(id_col, own, F.inline(per_field)).select(
+        id_col, own, "pos", "tipo_vinculo", F.explode("hits").alias("vinculo")
     )
+    first = rows.groupBy(id_col, own, "vinculo", "tipo_vinculo").agg(F.min("pos").alias("pos"))
+    found = F.get(F.array(*[F.lit(f) for f in names]), F.col("pos"))
+    return first.withColumn("campo_detectado", found).drop("pos")
 
 
 def target_links(
@@ -74,15 +82,14 @@ def target_links(
     own: str | None = None, out: str = "conecta_con",
 ) -> DataFrame:
     """Persons tied to target countries by pattern, targets as one list."""
-    combined = F.lower(F.concat_ws(" ", *[F.col(t) for t in texts]))
+    low = df.withColumn("_low", F.lower(F.concat_ws(" ", *[F.col(t) for t in texts])))
     hits = []
     for target, pats in patterns.items():
-        cond = combined.rlike(any_of(pats))
+        cond = F.col("_low").rlike(any_of(pats))
         if own:
-            cond = cond & (F.col(own) != target)
+            cond = (F.col(own) != target) & cond
         hits.append(F.when(cond, F.lit(target)))
-    found = F.array_join(F.array_compact(F.array(*hits)), ", ")
-    return df.withColumn(out, null_if_empty(found)).filter(F.col(out).isNotNull())
+    return low.withColumn(out, F.concat_ws(", ", *hits)).filter(F.col(out) != "").drop("_low")
 
 
 def office_profile(
