@@ -292,10 +292,15 @@ def first_object_text(c: str | Column) -> Column:
 
 
 def kwic(c: str | Column, words: list[str], width: int = 50) -> Column:
-    """Every hit of the first word that occurs, with its context, joined by `` | ``."""
+    """Every hit of the first word that occurs, with its context, joined by `` | ``.
+
+    A hit never crosses a line, so only lines that hold the word are searched.
+    """
     text, around = as_col(c), f".{{0,{width}}}"
-    hits = [
-        F.when(text.rlike(w), null_if_empty(F.array_join(_all(text, around + w + around, 0), " | ")))
-        for w in words
-    ]
-    return F.coalesce(*hits)
+
+    def hits(w: str) -> Column:
+        lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(w))
+        found = F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(around + w + around), F.lit(0)))
+        return null_if_empty(F.array_join(F.flatten(found), " | "))
+
+    return F.coalesce(*[F.when(text.rlike(w), hits(w)) for w in words])

@@ -88,13 +88,13 @@ def quantile_value(df: DataFrame, col: str, p: float, hot: int | None = None) ->
     Works on the frequency table; its running count is split into chunks when large.
     """
     freq = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
-    total = freq.agg(F.sum("_n")).first()[0]
+    run = running_total(freq, [], [F.col(col)], F.col("_n"), "_c", hot)
+    total = run.agg(F.max("_c")).first()[0]
     if not total:
         return None
     h = (total - 1) * p
     lo = int(h)
     hi = min(lo + 1, total - 1)
-    run = running_total(freq, [], [F.col(col)], F.col("_n"), "_c", hot)
     v = run.agg(
         F.min(F.when(F.col("_c") > lo, F.col(col))).cast("double").alias("lo"),
         F.min(F.when(F.col("_c") > hi, F.col(col))).cast("double").alias("hi"),

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 from kinweave.session import cut
 
 HOT_GROUP_ROWS = 2_000_000
+GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 
 
 def join_back(df: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -82,7 +83,14 @@ def top_with_ties(df: DataFrame, part: list[str], col: str, n: int, name: str =
 
 
 def top_n_per(df: DataFrame, part: list[str], order: list, n: int, name: str | None = None) -> DataFrame:
-    """First ``n`` rows per group."""
+    """First ``n`` rows per group.
+
+    Up to ``GROUP_LIMIT`` Spark keeps ``n`` rows per group on the map side; above it the
+    chunked numbering takes over.
+    """
+    if n >= GROUP_LIMIT:
+        ranked = number_rows(df, part, order, "_rn").filter(F.col("_rn") <= n)
+        return ranked.withColumnRenamed("_rn", name) if name else ranked.drop("_rn")
     w = W.partitionBy(*part).orderBy(*order)
     ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
     return ranked.withColumnRenamed("_rn", name) if name else ranked.drop("_rn")
