@@ -9,6 +9,7 @@ from kinweave.functions import fixed
 from kinweave.functions.text import surnames
 from kinweave.operators.graph import kin_table
 from kinweave.operators.shape import bucket
+from kinweave.session import spread
 
 PERIODS = ([1997, 1999], ["Pre-1997", "1997-1998", "1999+"])
 
@@ -22,6 +23,10 @@ class Tables:
     def t(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def text(self, name: str) -> DataFrame:
+        """A table whose rows carry long text to search."""
+        return spread(self.t(name))
+
     def person(self) -> DataFrame:
         c, p = self.t("customer"), self.t("part")
         n, r = self.t("nation"), self.t("region")

@@ -70,7 +70,7 @@ def words_sql(text: str, own: str) -> str:
 
 @query("j07_dictionary_join", "", words_sql("concat_ws(' ', text, source)", "lang"))
 def _(fx):
-    d = fx.t("documents").select("doc_id", "lang", "text", "source")
+    d = fx.text("documents").select("doc_id", "lang", "text", "source")
     return joins.dictionary_join(d, ["text", "source"], WORDS, "lang").select("doc_id", "lang", "vinculo")
 
 

@@ -14,6 +14,7 @@ from kinweave.plans.queries_graph import COMP, DIDS, MARRIAGE, MUTUAL, betweenne
 from kinweave.plans.queries_rules import DST_CTE, OFFICE_CTE, PLACES, SPECIAL_CTE, _office, dst_edges, hit_sql, special
 from kinweave.plans.queries_text import _json
 from kinweave.plans.registry import query
+from kinweave.session import spread
 
 SPOUSE = "relation_type IN ('conyuge', 'pareja')"
 INTRA = "clase_familia = 'Intra-familia'"
@@ -128,7 +129,7 @@ _LABELS = """
 
 def _labelled(fx):
     good = F.concat(F.lit('[{"label": "k'), "user_id", F.lit('\x02"}, {"label": "fijo"}, {"label": " "}]'))
-    return fx.t("events").select(F.col("event_type").alias("pais"), F.when(F.col("event_id") % 7 == 0, "roto").otherwise(good).alias("j"))
+    return fx.text("events").select(F.col("event_type").alias("pais"), F.when(F.col("event_id") % 7 == 0, "roto").otherwise(good).alias("j"))
 
 
 @query("a11_label_frequencies", "", f"""WITH {_LABELS}
@@ -323,7 +324,7 @@ def _(fx):
     SELECT doc_id, concat_ws(', ', a, b) AS conecta_con, coalesce(nullif(array_to_string(regexp_extract_all(text, '.{0,50}nicht.{0,50}'), ' | '), ''),
            nullif(array_to_string(regexp_extract_all(text, '.{0,50}ción.{0,50}'), ' | '), '')) AS contexto_conexion FROM d WHERE a IS NOT NULL OR b IS NOT NULL""")
 def _(fx):
-    d = fx.t("documents").withColumn("propio", F.upper("lang"))
+    d = fx.text("documents").withColumn("propio", F.upper("lang"))
     out = rp.bridge_persons(d, "text", {"DE": ["nicht", "und .*der"], "ES": ["ción"]}, "propio", ["nicht", "ción"])
     return out.select("doc_id", "conecta_con", "contexto_conexion")
 
@@ -380,14 +381,17 @@ def _(fx):
     r AS (SELECT e.src AS person_id, string_agg(DISTINCT p.nombre, ' | ' ORDER BY p.nombre) AS familiares, string_agg(DISTINCT e.relation_type, ', ' ORDER BY e.relation_type) AS tipos_relacion,
                  count(*) AS n_familiares FROM v_edge e JOIN v_person p ON e.dst = p.person_id GROUP BY 1)
     SELECT b.person_id, b.nombre, b.pais, b.linaje, CAST(1 AS BIGINT) AS parte, c.cargos, n_cargos, familiares, n_familiares, tipos_relacion,
-           CASE WHEN lower(linaje) = lower(pais) THEN 'mismo_pais' ELSE 'nacionalidad_distinta_al_pais' END AS conexion_otros_paises, y AS ano_nacimiento
+           CASE WHEN lower(linaje) = lower(pais) THEN 'mismo_pais' ELSE 'nacionalidad_distinta_al_pais' END AS conexion_otros_paises, y AS ano_nacimiento,
+           CASE WHEN b.pais = 'ASIA' THEN CAST(1000 + b.person_id % 900 AS INTEGER) END AS ano_fallecimiento
     FROM b LEFT JOIN c ON b.person_id = c.person_id LEFT JOIN r ON b.person_id = r.person_id""")
 def _(fx):
-    p = _born(fx).select("person_id", "nombre", "pais", "linaje", "fecha_nacimiento")
+    death = F.when(F.col("pais") == "ASIA", F.concat(F.lit("hacia "), (1000 + F.col("person_id") % 900).cast("string"), F.lit(" d. C.")))
+    p = _born(fx).select("person_id", "nombre", "pais", "linaje", "fecha_nacimiento", death.alias("fecha_fallecimiento"))
     positions = fx.spell().select("person_id", F.col("cargo_text").alias("position_title_raw"))
     names = fx.person().select(F.col("person_id").alias("dst"), F.col("nombre").alias("related_name_raw"))
     relations = fx.edge().join(names, "dst").select(F.col("src").alias("person_id"), "related_name_raw", "relation_type")
-    return rp.person_frame(p, positions, relations, "linaje", "fecha_nacimiento").drop("fecha_nacimiento")
+    out = rp.person_frame(p, positions, relations, "linaje", "fecha_nacimiento", "fecha_fallecimiento")
+    return out.drop("fecha_nacimiento", "fecha_fallecimiento")
 
 
 @query("a32_community_sizes", "v_edge_dense", f"""WITH {MUTUAL}, {communities_sql('mutual', DIDS)}, g AS (SELECT c AS community, count(*) AS n FROM l5 GROUP BY 1)
@@ -403,7 +407,7 @@ def _(fx):
     first = F.concat(F.lit("Ocupación: x | Senador por "), "o_orderstatus", F.lit(": | detalle: "), "anio",
                      F.lit(" | detalle: otro | Predecesor: A | Predecesor en el cargo: B | Sucesor: "), "cargo_text")
     text = F.when(F.col("anio") > 1997, F.concat(first, F.lit(" | alcalde "), "cargo_text")).otherwise(first)
-    return rp.infobox_offices(fx.spell().withColumn("infobox", text), "spell_id", "infobox")
+    return rp.infobox_offices(spread(fx.spell()).withColumn("infobox", text), "spell_id", "infobox")
 
 
 @query("a33_expanded_relations", "v_edge v_person", """

@@ -19,7 +19,7 @@ def hit_sql(text: str, words: list[str]) -> str:
     f"WHEN {hit_sql('text', w)} THEN '{k}'" for k, w in WORDS.items()) + " END AS pais, CASE " + " ".join(
     f"WHEN lang <> '{k}' AND {hit_sql('text', w)} THEN '{k}'" for k, w in WORDS.items()) + " END AS otro_pais FROM documents")
 def _(fx):
-    return fx.t("documents").select(
+    return fx.text("documents").select(
         "doc_id", rules.infer_country("text", WORDS).alias("pais"),
         rules.infer_country("text", WORDS, exclude="lang").alias("otro_pais"))
 
@@ -46,7 +46,7 @@ def _tiers_sql(cfg: dict) -> str:
 def _declared(fx):
     lang = F.col("lang")
     nac = F.when(lang == "en", "English").when(lang == "fr", "Français").when(lang == "de", "")
-    return fx.t("documents").select("doc_id", "text", "source", nac.alias("nac"))
+    return fx.text("documents").select("doc_id", "text", "source", nac.alias("nac"))
 
 
 @query("d02_nationality", "", _tiers_sql(TIERS))
@@ -75,7 +75,7 @@ def mentions_sql() -> str:
 
 @query("d04_mentions_by_field", "", mentions_sql())
 def _(fx):
-    d = fx.t("documents").withColumn("nota", F.concat(F.lit("nota "), "source", F.lit(" the")))
+    d = fx.text("documents").withColumn("nota", F.concat(F.lit("nota "), "source", F.lit(" the")))
     return rules.mentions_by_field(d, "doc_id", "lang", FIELDS, KW)
 
 
@@ -86,7 +86,7 @@ TARGETS = {"EN": ["the.*with", "from "], "FR": ["pour.*avec", "dans"], "DE": ["n
     f"CASE WHEN lang <> lower('{k}') AND regexp_matches(lower(t), '{any_of(p)}') THEN '{k}' END" for k, p in TARGETS.items()
 ) + ") AS conecta_con FROM d) SELECT doc_id, conecta_con FROM x WHERE conecta_con <> ''")
 def _(fx):
-    d = fx.t("documents").withColumn("propio", F.upper("lang"))
+    d = fx.text("documents").withColumn("propio", F.upper("lang"))
     return rules.target_links(d, ["source", "text"], TARGETS, own="propio").select("doc_id", "conecta_con")
 
 

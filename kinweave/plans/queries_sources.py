@@ -102,7 +102,7 @@ def _pair_sql(label: str, value: str) -> str:
 
 @query("s09_html_pairs", "", _pair_sql("h1", "p"))
 def _(fx):
-    return html.html_pairs(fx.t("pages"), label_tag="h1", value_tag="p")
+    return html.html_pairs(fx.text("pages"), label_tag="h1", value_tag="p")
 
 
 _LINKS = f"""
@@ -116,7 +116,7 @@ _LINKS = f"""
     SELECT page_id, pos, text, href, concat(text, ' (https://es.wikipedia.org', href, ')') AS entrada FROM links
     WHERE href LIKE '/%' AND href NOT LIKE '/The%' AND href NOT LIKE '/Nicht%'""")
 def _(fx):
-    links = html.html_links(fx.t("pages"), exclude_prefixes=["/The", "/Nicht"], prefix="/")
+    links = html.html_links(fx.text("pages"), exclude_prefixes=["/The", "/Nicht"], prefix="/")
     return links.withColumn("entrada", html.link_entry())
 
 
@@ -126,11 +126,11 @@ def _(fx):
                regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda x: {_plain('x')}), chr(10)), ' '),
                '\[\d+\]', '', 'g') AS text FROM pages""")
 def _(fx):
-    return html.html_text(fx.t("pages"))
+    return html.html_text(fx.text("pages"))
 
 
 @query("s12_html_members", "", f"""WITH {_LINKS}
     SELECT DISTINCT page_id, text, href FROM links
     WHERE href LIKE '/%' AND contains(text, 'e') AND NOT contains(text, 'th')""")
 def _(fx):
-    return html.html_members(fx.t("pages"), include=["e"], exclude=["th"])
+    return html.html_members(fx.text("pages"), include=["e"], exclude=["th"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import fixed
 from kinweave.functions import text as tx
 from kinweave.plans.registry import query
+from kinweave.session import spread
 
 
 @query("x01_relation_urls", "v_edge v_person", """
@@ -92,7 +93,7 @@ def _(fx):
     SELECT doc_id, trim(regexp_replace(strip_accents(replace(replace(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')),
                                        '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents""")
 def _(fx):
-    return fx.t("documents").select("doc_id", tx.slugify("text").alias("slug"))
+    return fx.text("documents").select("doc_id", tx.slugify("text").alias("slug"))
 
 
 @query("x10_title_from_url", "v_person", """
@@ -107,7 +108,7 @@ def _(fx):
     SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '\b(1[789]\d{2}|20[0-2]\d)\b', 1), '') AS INTEGER) AS ano_moderno,
            TRY_CAST(nullif(regexp_extract(text, '\b(1[0-9]{3}|20[0-2][0-9])\b', 1), '') AS INTEGER) AS ano_amplio FROM documents""")
 def _(fx):
-    return fx.t("documents").select(
+    return fx.text("documents").select(
         "doc_id", tx.first_year("text").alias("ano_moderno"), tx.first_year("text", "wide").alias("ano_amplio"))
 
 
@@ -117,7 +118,7 @@ def _(fx):
     SELECT DISTINCT doc_id, CAST(y AS INTEGER) AS year FROM y WHERE CAST(y AS INTEGER) BETWEEN 1800 AND 2025""")
 def _(fx):
     extra = F.concat(F.lit("19"), F.lpad((F.col("doc_id") % 120).cast("string"), 2, "0"))
-    return fx.t("documents").select("doc_id", F.explode(tx.years(["text", extra])).alias("year"))
+    return fx.text("documents").select("doc_id", F.explode(tx.years(["text", extra])).alias("year"))
 
 
 @query("x13_decade", "v_spell", "SELECT spell_id, CAST(floor(anio / 10) * 10 AS INTEGER) AS decada FROM v_spell")
@@ -126,7 +127,7 @@ def _(fx):
 
 
 def _infobox(fx):
-    return fx.spell().select("spell_id", F.concat(
+    return spread(fx.spell()).select("spell_id", F.concat(
         F.lit("Cargo: "), "cargo_text", F.lit(" | detalle: x: "), "anio", F.lit(" | suelto "), "o_orderstatus", F.lit(" | : raro")).alias("t"))
 
 
@@ -145,7 +146,7 @@ def _json(fx):
     good = F.concat(F.lit('[{"label": "'), "event_type", F.lit('", "value_text": "u'), "user_id",
                     F.lit('", "otro": [1]},\n {"label": "id"}]'))
     text = F.when(F.col("event_id") % 7 == 0, "no es json").when(F.col("event_id") % 11 == 0, '[{"label": "x"')
-    return fx.t("events").select("event_id", "event_type", text.otherwise(good).alias("j"))
+    return fx.text("events").select("event_id", "event_type", text.otherwise(good).alias("j"))
 
 
 @query("x15_infobox_rows", "", """
@@ -168,7 +169,7 @@ def _(fx):
         F.when(k == 0, p).when(k == 1, F.concat(F.lit("\x01"), p, F.lit("\n  ")))
         .when(k == 2, F.replace(p, F.lit('"'), F.lit('\\"'))).when(k == 3, F.concat(F.lit("x"), p))
     )
-    out = fx.t("events").select("event_id", tx.clean_json(j).alias("json"))
+    out = fx.text("events").select("event_id", tx.clean_json(j).alias("json"))
     return out.withColumn("valido", F.col("json").isNotNull())
 
 
@@ -200,7 +201,7 @@ def _(fx):
 
 @query("x20_safe_text", "", "SELECT doc_id, substr(trim(coalesce(text, ''), ' '), 1, 2000) AS t FROM documents")
 def _(fx):
-    return fx.t("documents").select("doc_id", tx.safe_text("text").alias("t"))
+    return fx.text("documents").select("doc_id", tx.safe_text("text").alias("t"))
 
 
 @query("x21_first_object", "v_person", """
@@ -224,7 +225,7 @@ def _(fx):
                             nullif(array_to_string(regexp_extract_all(text, '.{0,50}que.{0,50}'), ' | '), ''),
                             nullif(array_to_string(regexp_extract_all(text, '.{0,50}the.{0,50}'), ' | '), '')) AS contexto FROM documents""")
 def _(fx):
-    return fx.t("documents").select("doc_id", tx.kwic("text", ["nicht", "que", "the"]).alias("contexto"))
+    return fx.text("documents").select("doc_id", tx.kwic("text", ["nicht", "que", "the"]).alias("contexto"))
 
 
 @query("x23_country_slug", "v_person", """
@@ -237,7 +238,7 @@ def _(fx):
     WITH e AS (SELECT doc_id, unnest(string_split(text, '.')) AS e FROM documents)
     SELECT doc_id, trim(regexp_replace(e, '\s+', ' ', 'g')) AS parte FROM e WHERE trim(regexp_replace(e, '\s+', ' ', 'g')) <> ''""")
 def _(fx):
-    return fx.t("documents").select("doc_id", F.explode(tx.split_list("text", ".")).alias("parte"))
+    return fx.text("documents").select("doc_id", F.explode(tx.split_list("text", ".")).alias("parte"))
 
 
 @query("x25_persistence", "v_person", """
@@ -250,4 +251,4 @@ def _(fx):
 @query("x26_letters_only", "", r"""
     SELECT doc_id, lower(regexp_replace(text, '[^a-zA-ZáéíóúñÁÉÍÓÚÑ\s]', '', 'g')) AS limpio FROM documents""")
 def _(fx):
-    return fx.t("documents").select("doc_id", tx.letters_only("text").alias("limpio"))
+    return fx.text("documents").select("doc_id", tx.letters_only("text").alias("limpio"))

@@ -325,10 +325,14 @@ def diplomatic_links(kin: DataFrame, profiles: DataFrame, key: str = "person_id"
         "src", "dst", "src_pais", "dst_pais", "relation_type", "cargo_tipo")
 
 
-def person_frame(persons: DataFrame, positions: DataFrame, relations: DataFrame, nac: str, birth: str) -> DataFrame:
-    """One row per person with offices, relatives, foreign link and birth year."""
+def person_frame(
+    persons: DataFrame, positions: DataFrame, relations: DataFrame, nac: str, birth: str, death: str
+) -> DataFrame:
+    """One row per person with offices, relatives, foreign link, birth and death year."""
     return joins.attach_aggregates(persons, positions, relations).withColumns({
-        "conexion_otros_paises": rules.foreign_link("pais", nac), "ano_nacimiento": first_year(birth, "wide")})
+        "conexion_otros_paises": rules.foreign_link("pais", nac),
+        "ano_nacimiento": first_year(birth, "wide"), "ano_fallecimiento": first_year(death, "wide"),
+    })
 
 
 def infobox_offices(df: DataFrame, id_col: str, text: str) -> DataFrame:
