@@ -16,16 +16,27 @@ def _csv(spark: SparkSession, sep: str, multi_line: bool):
     )
 
 
-def read_persons(spark: SparkSession, path: str | list[str], sep: str = ";", multi_line: bool = True) -> DataFrame:
+def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """True when a quoted value holds a line break: some line then has an odd number of quotes."""
+    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_persons(
+    spark: SparkSession, path: str | list[str], sep: str = ";", multi_line: bool | None = None
+) -> DataFrame:
     """Person table: header, quoted long text, every column a string.
 
-    Line breaks inside quotes need ``multi_line``, which reads a file in one task; pass
-    False for large files without them, or convert once to Parquet.
+    Line breaks inside quotes force a file into one task. Unless ``multi_line`` says
+    so, a scan that can be split looks for them first, and files without any are
+    read in splits.
     """
+    if multi_line is None:
+        multi_line = spans_lines(spark, path)
     return _csv(spark, sep, multi_line).csv(path)
 
 
-def read_all_string(spark: SparkSession, path: str, sep: str = ";", multi_line: bool = True) -> DataFrame:
+def read_all_string(spark: SparkSession, path: str, sep: str = ";", multi_line: bool | None = None) -> DataFrame:
     """Delimited file without type guessing."""
     return read_persons(spark, path, sep, multi_line)
 
@@ -40,15 +51,21 @@ def existing(spark: SparkSession, pattern: str) -> list[str]:
 
 def read_partitioned(
     spark: SparkSession, glob: str, path_regex: str, col: str = "pais", override: bool = False,
-    sep: str = ";", multi_line: bool = True,
+    sep: str = ";", multi_line: bool | None = None, same_header: bool = False,
 ) -> DataFrame:
     """All files of a glob, united by column name, with a value taken from the path.
 
-    A value in the file wins unless ``override``. Files with the same header are one scan.
+    A value in the file wins unless ``override``. Files with the same header are one scan;
+    ``same_header`` skips the look at the header of every file.
     """
+    files = existing(spark, glob)
+    if not files:
+        raise FileNotFoundError(glob)
     by_header: dict[tuple, list[str]] = {}
-    for f in existing(spark, glob):
+    for f in files[:1] if same_header else files:
         by_header.setdefault(tuple(_csv(spark, sep, False).csv(f).columns), []).append(f)
+    if same_header:
+        by_header = {header: files for header in by_header}
     parts = []
     for header, files in by_header.items():
         df = read_persons(spark, files, sep, multi_line)
@@ -58,7 +75,7 @@ def read_partitioned(
     return union_all(parts)
 
 
-def read_first_existing(spark: SparkSession, paths: list[str], sep: str = ";", multi_line: bool = True) -> DataFrame:
+def read_first_existing(spark: SparkSession, paths: list[str], sep: str = ";", multi_line: bool | None = None) -> DataFrame:
     """The first path that exists."""
     for p in paths:
         if existing(spark, p):

@@ -221,6 +221,15 @@ def test_partitioned_read_unites_different_headers(spark, tmp_path):
     assert sorted(r["pais"] for r in forced.collect()) == ["chile", "cuba", "peru"]
 
 
+def test_only_files_with_quoted_breaks_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x;y\n1;"dos ""2"""\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('x;y\n1;"dos\ntres"\n', encoding="utf-8")
+    assert not tables.spans_lines(spark, str(tmp_path / "a.csv"))
+    assert tables.spans_lines(spark, str(tmp_path / "b.csv"))
+    assert tables.read_persons(spark, str(tmp_path / "a.csv")).first()["y"] == 'dos "2"'
+    assert tables.read_persons(spark, str(tmp_path / "b.csv")).first()["y"] == "dos\ntres"
+
+
 def test_first_existing(spark, tmp_path):
     (tmp_path / "b.csv").write_text("x;y\n1;2\n", encoding="utf-8")
     assert tables.read_first_existing(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).count() == 1
