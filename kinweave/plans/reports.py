@@ -258,7 +258,7 @@ def top_connectors(kin: DataFrame, persons: DataFrame, n: int = 15, key: str = "
     """Best linked persons of each country, ties kept, with betweenness."""
     e = cut(graph.simplify(kin.filter(F.col("clase_pais") == "Intra-país")))
     score = graph.degree(e).select("id", "grado").join(graph.betweenness(e), "id")
-    who = score.join(persons.withColumnRenamed(key, "id"), "id").select(
+    who = score.join(persons.withColumn("id", F.col(key)), "id").select(
         "pais", "nombre", "url", "grado", F.round("betweenness", 6).alias("betweenness"), "id")
     top = rk.top_with_ties(who, ["pais"], "grado", n, "_r").drop("_r")
     return rk.number_rows(top, ["pais"], [F.desc("grado"), F.col("id")], "ranking").drop("id")
@@ -267,7 +267,7 @@ def top_connectors(kin: DataFrame, persons: DataFrame, n: int = 15, key: str = "
 def connecting_families(kin: DataFrame, persons: DataFrame, top: int = 10, key: str = "person_id") -> DataFrame:
     """Families with the largest degree sum per country."""
     e = graph.simplify(kin.filter(F.col("clase_pais") == "Intra-país"))
-    who = graph.degree(e).join(persons.withColumnRenamed(key, "id").select("id", "pais", "familia"), "id")
+    who = graph.degree(e).join(persons.select(F.col(key).alias("id"), "pais", "familia"), "id")
     return graph.group_connectivity(who, top).drop("ranking").withColumns(
         {"pais_label": sentence_case("pais"), "familia_corto": shorten("familia")})
 
