@@ -120,7 +120,7 @@ def _(fx):
 @query("n12_transitivity", "v_dadj", """
     WITH t AS (SELECT count(*) AS t FROM v_dadj x JOIN v_dadj y ON x.b = y.a JOIN v_dadj z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.b < y.b),
     w AS (SELECT CAST(sum(d * (d - 1) // 2) AS BIGINT) AS w FROM (SELECT count(*) AS d FROM v_dadj GROUP BY a))
-    SELECT t AS triangulos, w AS triples, round(3 * t / w, 9) AS transitividad FROM t, w""")
+    SELECT t AS triangulos, w AS triples, round(3 * t / nullif(w, 0), 9) AS transitividad FROM t, w""")
 def _(fx):
     return graph.transitivity(fx.edge_dense()).withColumn("transitividad", F.round("transitividad", 9))
 

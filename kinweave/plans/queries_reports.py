@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from kinweave.functions import fixed
 from kinweave.functions.text import clean_json
 from kinweave.operators import graph, rules
-from kinweave.operators import ranking as rk
 from kinweave.plans import reports as rp
 from kinweave.plans.fixtures import PERIODS
-from kinweave.plans.queries_graph import COMP, DIDS, MARRIAGE, MUTUAL, betweenness_sql, communities_sql, dist_sql
+from kinweave.plans.queries_graph import DIDS, MARRIAGE, MUTUAL, betweenness_sql, communities_sql, dist_sql
 from kinweave.plans.queries_rules import DST_CTE, OFFICE_CTE, PLACES, SPECIAL_CTE, _office, dst_edges, hit_sql, special
 from kinweave.plans.queries_text import _json
 from kinweave.plans.registry import query
@@ -83,7 +82,7 @@ def _(fx):
     tr AS (SELECT nd.g, count(*) AS t FROM v_adj x JOIN v_adj y ON x.b = y.a JOIN v_adj z ON y.b = z.a AND z.b = x.a JOIN nd ON nd.id = x.a WHERE x.a < x.b AND x.b < y.b GROUP BY 1),
     wd AS (SELECT nd.g, sum(k * (k - 1) / 2) AS w FROM (SELECT a, count(*) AS k FROM v_adj GROUP BY 1) JOIN nd ON nd.id = a GROUP BY 1)
     SELECT x.g AS pais, x.n AS n_nodes, m.m AS n_edges, round(m.m / (x.n * (x.n - 1)), 4) AS density, round(2 * um.m / x.n, 2) AS avg_degree,
-           round(3 * coalesce(tr.t, 0) / wd.w, 4) AS transitivity, c.k AS n_componentes, c.mx AS giant_size, round(ap.ap, 3) AS avg_path_giant
+           round(3 * coalesce(tr.t, 0) / nullif(wd.w, 0), 4) AS transitivity, c.k AS n_componentes, c.mx AS giant_size, round(ap.ap, 3) AS avg_path_giant
     FROM (SELECT g, count(*) AS n FROM nd GROUP BY 1) x JOIN (SELECT g, count(*) AS m FROM e GROUP BY 1) m ON x.g = m.g
     JOIN (SELECT g, count(*) AS m FROM u GROUP BY 1) um ON x.g = um.g JOIN (SELECT g, count(*) AS k, max(n) AS mx FROM cs GROUP BY 1) c ON x.g = c.g
     LEFT JOIN wd ON x.g = wd.g LEFT JOIN tr ON x.g = tr.g LEFT JOIN ap ON x.g = ap.g""")
