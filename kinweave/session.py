@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ def build_session(app: str = "kinweave", cpus: str = "*", **conf: str) -> SparkS
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.dir": os.environ.get("KINWEAVE_SHARED", f"/tmp/spark-{uuid.uuid4().hex[:12]}"),
         **conf,
     }
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -28,19 +29,14 @@ def build_session(app: str = "kinweave", cpus: str = "*", **conf: str) -> SparkS
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     jsc = sc._jsc.sc()
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and jsc.getCheckpointDir().isDefined():
         root = jsc.getCheckpointDir().get()
     if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if jsc.getCheckpointDir().isEmpty():
         sc.setCheckpointDir(root)
     return root

@@ -5,10 +5,10 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from kinweave.plans.catalogue import ORACLES, QUERIES
 from tests.compare import DATA, differences
 
 SF = "0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
