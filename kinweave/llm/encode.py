@@ -1,8 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memo of repeated words.
 
-A byte-level BPE text can be cut before a space that stands between two other characters
-without changing its ids, so ids of such a piece are looked up and only new pieces go to the
-library, many in one call. Results equal ``Tokenizer.encode(text, add_special_tokens=False)``.
+Byte-level BPE never merges over the bounds of words and marks, so a text's ids are those of its
+parts in turn. Parts already met are looked up; new ones go to the library, many in one call.
+Texts of Latin letters, digits, ASCII marks, spaces and line breaks are cut into words; others only
+where a space stands between two other characters. Results equal those of
+``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 END_ID = 2
-PIECES_HELD, WORDS_HELD = 300_000, 600_000  # entries of the two memos, each emptied when full
+WORDS_HELD = 200_000  # entries of the memo; when it is full, a new one begins and takes over what is met again
 
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
-_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_SIMPLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[.,;:!?*%&$#|]+|\n")
+_SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+_WORD = re.compile(
+    r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+"
+    r"|\n+(?=\n\S| \S|\Z)|\n(?=\S)"
+)
 
 
 def tokenizer_file(vocabulary: str) -> str:
@@ -31,14 +35,12 @@ def tokenizer_file(vocabulary: str) -> str:
 
 
 def split_text(text: str) -> list[str]:
-    """Pieces; all but the first stand for a space and the piece."""
-    return _SINGLE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-
-
-def split_piece(piece: str) -> list[str]:
-    """Words and marks of a piece where the cut is certain, else the piece whole."""
-    parts = _SIMPLE.findall(piece)
-    return parts if "\n\n" not in piece and sum(map(len, parts)) == len(piece) else [piece]
+    """Parts whose ids in turn are the ids of the text."""
+    if "<|" not in text:  # may begin a special token
+        parts = _WORD.findall(text)
+        if sum(map(len, parts)) == len(text):
+            return parts
+    return _SINGLE_SPACE.split(text)
 
 
 class Encoder:
@@ -47,27 +49,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file(vocabulary))
+        (self.line_break,) = self.library.encode("\n", add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, memo: dict[str, bytes], pieces: set[str], space: str) -> None:
-        new = pieces - memo.keys()
-        if len(memo) + len(new) > PIECES_HELD:
-            memo.clear()
-            new = pieces
-        parts = {p: split_piece(space + p) if space + p else [] for p in new}
-        missing = list(set().union(*parts.values()) - self.words.keys()) if parts else []
+        self.before: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        missing = [w for w in words if w not in self.words]
         if len(self.words) + len(missing) > WORDS_HELD:
-            self.words.clear()
-            missing = list(set().union(*parts.values()))
-        for i in range(0, len(missing), 4096):
-            some = missing[i:i + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.words.__getitem__
-        for p, ws in parts.items():
-            memo[p] = b"".join(map(get, ws))
+            self.before, self.words, missing = self.words, {}, list(words)
+        old = self.before
+        self.words.update({w: old[w] for w in missing if w in old})
+        missing = [w for w in missing if w not in old]
+        self._ask([w for w in missing if "\n" not in w and _WORD.fullmatch(w)])
+        odd = [w for w in missing if w not in self.words]
+        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _ask(self, words: list[str]) -> None:
+        """Words without line breaks, joined by line breaks: one call for many, and a line break is one id."""
+        for i in range(0, len(words), 500):
+            some = words[i:i + 500]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(some) + "\n"], add_special_tokens=False)[0].ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, np.flatnonzero(ids == self.line_break).tolist(), strict=True):
+                self.words[w] = raw[4 * start:4 * end]
+                start = end + 1
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, without an end id."""
@@ -82,11 +88,10 @@ class Encoder:
         yield from self._join(some)
 
     def _join(self, some: list[list[str]]) -> Iterator[bytes]:
-        self._learn(self.first, {s[0] for s in some}, "")
-        self._learn(self.later, set().union(*(s[1:] for s in some)) if some else set(), " ")
-        get = self.later.__getitem__
-        for s in some:
-            yield self.first[s[0]] + b"".join(map(get, s[1:]))
+        self._learn(set().union(*some))
+        get = self.words.__getitem__
+        for parts in some:
+            yield b"".join(map(get, parts))
 
 
 _ENCODERS: dict[str, Encoder] = {}
