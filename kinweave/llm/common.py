@@ -6,12 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.session import new_folder
 
 
+FIT_ROWS = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -89,3 +92,21 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def binary_rows(column: pa.Array | pa.ChunkedArray, dtype: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) for x in column]
+
+
+def fold(doc_id: Column) -> Column:
+    """crc32 of the id as text, modulo 4."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4
+
+
+def sample(labels: DataFrame, column: str, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, classes and folds of at most ``fit_rows`` labelled rows that are not held out, by id."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y"))
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).withColumn("fold", fold(F.col("doc_id")).cast("int"))
+    rows = rows.filter(F.col("fold") != 2).groupBy("doc_id", "fold").agg(F.max("y").alias("y"))
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas().sort_values("doc_id")
+    return got["doc_id"].to_numpy(np.int64), got["y"].to_numpy(np.int8), got["fold"].to_numpy(np.int8)
+
+
+def ids_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
