@@ -65,7 +65,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         n = max(n, 2 * PART_BYTES)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(n - 1, m, np.uint64)]).astype(np.uint64)) for m in (_MULTIPLIER, _INVERSE)]
+        ones = np.ones(1, np.uint64)
+        _POWERS[:] = [np.cumprod(np.append(ones, np.full(n - 1, m, np.uint64)), dtype=np.uint64) for m in (_MULTIPLIER, _INVERSE)]
     return _POWERS[0], _POWERS[1]
 
 

@@ -39,6 +39,9 @@ def test_words_hash_alike_wherever_they_stand():
     h, text = word_hashes(["A bb  c\x0bbb", "", "bb\n", "abb ébb"])
     assert text.tolist() == [0, 0, 0, 0, 2, 3, 3]
     assert h[1] == h[3] == h[4] and len(set(h.tolist())) == 5
+    words = [f"{a}{b}{c}" for a in "abé" for b in "xyz" for c in "1234"]
+    h, _ = word_hashes([" ".join(words), "pad " + "  ".join(words)])
+    assert len(set(h.tolist())) == len(words) + 1 and h[:len(words)].tolist() == h[len(words) + 1:].tolist()
 
 
 def test_long_texts_are_cut_at_spaces():
