@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import line_dedup, mixing, packing, quality_net, token_files, toxicity, url_filter, weak_rules
+from kinweave.llm import knn, line_dedup, mixing, packing, quality_net, token_files, toxicity, url_filter, weak_rules
 from kinweave.llm.common import table
 from kinweave.session import new_folder
 
@@ -41,6 +41,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.read_tokens(spark, path))
 
 
+@query
+def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
 @query
 def op3_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -78,5 +83,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+ORACLES["op2_voronoi_knn"] = knn.SQL
 ORACLES["op6_line_dedup"] = line_dedup.SQL
 ORACLES["op7_url_filter"] = url_filter.sql()
