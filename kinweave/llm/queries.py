@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import knn, line_dedup, mixing, packing, quality_net, token_files, toxicity, url_filter, weak_rules
+from kinweave.llm import knn, line_dedup, mixing, near_dups, packing, quality_net, token_files, toxicity, url_filter, weak_rules
 from kinweave.llm.common import table
 from kinweave.session import new_folder
 
@@ -51,6 +51,11 @@ def op3_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(table(spark, sf_dir, "documents"))
