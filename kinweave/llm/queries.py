@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kinweave.llm import knn, line_dedup, mixing, near_dups, packing, quality_net, token_files, toxicity, url_filter, weak_rules
-from kinweave.llm.common import table
+from kinweave.llm.common import importable, table
 from kinweave.session import new_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,14 +26,6 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers find this package where it lies; a cluster without it there needs ``--py-files``."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    environment = spark.sparkContext.environment
-    if root not in environment.get("PYTHONPATH", "").split(":"):
-        environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH")]))
-
-
 @query
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "tokens")
@@ -88,6 +80,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+query(pipeline)
+
 ORACLES["op2_voronoi_knn"] = knn.SQL
 ORACLES["op6_line_dedup"] = line_dedup.SQL
 ORACLES["op7_url_filter"] = url_filter.sql()
