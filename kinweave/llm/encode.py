@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 END_ID = 2
-WORDS_HELD = 200_000  # entries of the memo; when it is full, a new one begins and takes over what is met again
+WORDS_HELD = 260_000  # entries of the memo; when it is full, a new one begins and takes over what is met again
 
 _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _WORD = re.compile(
@@ -34,13 +34,13 @@ def tokenizer_file(vocabulary: str) -> str:
     return public_tokenizers.path(vocabulary)
 
 
-def split_text(text: str) -> list[str]:
-    """Parts whose ids in turn are the ids of the text."""
+def split_text(text: str) -> tuple[list[str], bool]:
+    """Parts whose ids in turn are the ids of the text, and whether all are words, marks or line breaks."""
     if "<|" not in text:  # may begin a special token
         parts = _WORD.findall(text)
-        if sum(map(len, parts)) == len(text):
-            return parts
-    return _SINGLE_SPACE.split(text)
+        if len("".join(parts)) == len(text):
+            return parts, True
+    return _SINGLE_SPACE.split(text), False
 
 
 class Encoder:
@@ -53,16 +53,15 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str], odd: set[str]) -> None:
         missing = [w for w in words if w not in self.words]
         if len(self.words) + len(missing) > WORDS_HELD:
             self.before, self.words, missing = self.words, {}, list(words)
         old = self.before
         self.words.update({w: old[w] for w in missing if w in old})
-        missing = [w for w in missing if w not in old]
-        self._ask([w for w in missing if "\n" not in w and _WORD.fullmatch(w)])
-        odd = [w for w in missing if w not in self.words]
-        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+        self._ask([w for w in missing if w not in old and w[0] != "\n"])
+        others = [w for w in odd.union(w for w in missing if w[0] == "\n") if w not in self.words]
+        for w, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def _ask(self, words: list[str]) -> None:
@@ -77,7 +76,7 @@ class Encoder:
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, without an end id."""
-        some: list[list[str]] = []
+        some: list[tuple[list[str], bool]] = []
         size = 0
         for t in texts:
             some.append(split_text(t))
@@ -87,10 +86,10 @@ class Encoder:
                 some, size = [], 0
         yield from self._join(some)
 
-    def _join(self, some: list[list[str]]) -> Iterator[bytes]:
-        self._learn(set().union(*some))
+    def _join(self, some: list[tuple[list[str], bool]]) -> Iterator[bytes]:
+        self._learn(set().union(*(p for p, plain in some if plain)), set().union(*(p for p, plain in some if not plain)))
         get = self.words.__getitem__
-        for parts in some:
+        for parts, _ in some:
             yield b"".join(map(get, parts))
 
 

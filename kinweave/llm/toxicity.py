@@ -163,7 +163,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     ids, classes, folds = sample(labels, "toxic", fit_rows)
     counting = folds != 3
     found = rows.mapInArrow(_count(ids[counting], classes[counting]), COUNT_SCHEMA)
-    merged = found.repartition(BLOCKS, "block").mapInArrow(_merge, COUNT_SCHEMA).toArrow()  # at most 2**BITS places
+    merged = found.repartition(BLOCKS, "block").mapInArrow(_merge, COUNT_SCHEMA).drop("n_all").toArrow()  # at most 2**BITS places
     cells = [np.concatenate([np.frombuffer(x.as_buffer(), t) for x in merged.column(c)]) if len(merged) else np.zeros(0, t)
              for c, t in (("place", np.int32), ("gram", np.uint64), ("n_ordinary", np.int64), ("n_toxic", np.int64))]
     table = spark.sparkContext.broadcast(ratios(*cells))  # 4 bytes for each of 2**BITS places
