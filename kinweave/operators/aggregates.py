@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from kinweave.operators.ranking import join_back, number_rows, running_total
 
-PART_VALUES = 10_000
-
-
 def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias(name)).orderBy(F.desc(name), *keys)
+    return df.groupBy(*keys).agg(F.count("*").alias(name))
 
 
 def summarise(df: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
@@ -39,28 +36,14 @@ def distinct_by(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return summarise(df, keys, {f"n_{c}": F.count_distinct(c) for c in cols})
 
 
-def join_text(
-    df: DataFrame, keys: list[str], col: str, sep: str, order: str | None = None, part: int = PART_VALUES
-) -> DataFrame:
-    """Distinct values of a group as one text, in value order or first-seen order.
+def join_text(df: DataFrame, keys: list[str], col: str, order: str | None = None) -> DataFrame:
+    """Distinct values of a group as numbered rows, in value order or first-seen order.
 
-    A group with more than ``part`` values is written as several numbered parts, so
-    the text of a hot group is never built in one task. Values are spread over the
-    parts by hash; every value is in exactly one part.
+    One row for each value at every size; a reader joins the texts where it shows them.
     """
     first = F.min(order) if order else F.lit(0)
-    values = (
-        df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(first.alias("_o"))
-    )
-    sizes = values.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(part)).alias("_parts"))
-    spread = join_back(values, sizes, keys).withColumn(
-        "parte", F.pmod(F.xxhash64(F.col(col)), F.col("_parts")) + 1
-    )
-    pairs = F.array_sort(F.collect_list(F.struct("_o", F.col(col).alias("v"))))
-    return spread.groupBy(*keys, "parte").agg(
-        F.array_join(F.transform(pairs, lambda x: x["v"]), sep).alias("texto"),
-        F.count("*").alias("n"),
-    )
+    values = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("valor")).agg(first.alias("_o"))
+    return number_rows(values, keys, [F.col("_o"), F.col("valor")], "ordinal").drop("_o")
 
 
 def in_both(df: DataFrame, key: str, side: str, a: str, b: str) -> DataFrame:
@@ -72,23 +55,22 @@ def in_both(df: DataFrame, key: str, side: str, a: str, b: str) -> DataFrame:
     return out.filter((F.col("n_a") > 0) & (F.col("n_b") > 0))
 
 
-def edge_context(edges: DataFrame, text: str, context: str, pos: str, part: int = PART_VALUES) -> DataFrame:
-    """All relation texts of an edge in order, and the first context."""
+def edge_context(edges: DataFrame, text: str, context: str, pos: str) -> DataFrame:
+    """All relation texts of an edge as numbered rows, each with the edge's first context."""
     keys = ["src", "dst"]
-    texts = join_text(edges, keys, text, " ", order=pos, part=part)
     first = edges.groupBy(*keys).agg(
         F.min(F.struct(F.col(pos).alias("p"), F.col(context).alias("c")))["c"].alias("contexto")
     )
-    return texts.join(first, keys).select(*keys, "parte", "texto", "n", "contexto")
+    return join_text(edges, keys, text, order=pos).join(first, keys)
 
 
-def quantile_value(df: DataFrame, col: str, p: float, hot: int | None = None) -> float | None:
+def quantile_value(df: DataFrame, col: str, p: float) -> float | None:
     """Exact quantile with linear interpolation between ranks.
 
     Works on the frequency table; its running count is split into chunks when large.
     """
     freq = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
-    run = running_total(freq, [], [F.col(col)], F.col("_n"), "_c", hot)
+    run = running_total(freq, [], [F.col(col)], F.col("_n"), "_c")
     total = run.agg(F.max("_c")).first()[0]
     if not total:
         return None
@@ -102,9 +84,9 @@ def quantile_value(df: DataFrame, col: str, p: float, hot: int | None = None) ->
     return v["lo"] + (h - lo) * (v["hi"] - v["lo"])
 
 
-def quantile_flag(df: DataFrame, col: str, p: float, name: str = "destacado", hot: int | None = None) -> DataFrame:
+def quantile_flag(df: DataFrame, col: str, p: float, name: str = "destacado") -> DataFrame:
     """Rows at or above the quantile of the whole column."""
-    return df.withColumn(name, F.col(col) >= F.lit(quantile_value(df, col, p, hot)))
+    return df.withColumn(name, F.col(col) >= F.lit(quantile_value(df, col, p)))
 
 
 def totals(df: DataFrame, flags: list[str]) -> DataFrame:
@@ -140,33 +122,21 @@ def to_long(df: DataFrame, ids: list[str], cols: list[str], name: str, value: st
     return df.unpivot(ids, cols, name, value)
 
 
-def densify(df: DataFrame, k1: str, k2: str, value: str, fill: int = 0) -> DataFrame:
-    """All combinations of the two keys with a fill value.
-
-    The distinct second keys are numbered; each first key lists the numbers and an
-    equi-join brings the keys back, so no cartesian product is planned.
-    """
-    second = number_rows(df.select(k2).dropna().distinct(), [], [F.col(k2)], "_i")
-    count = second.agg(F.max("_i").alias("m"))
-    first = df.select(k1).dropna().distinct()
-    grid = first.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), count.scalar())))
-    grid = grid.join(second, "_i").select(k1, k2)
+def densify(df: DataFrame, k1: str, k2: str, values: list, value: str, fill: int = 0) -> DataFrame:
+    """Every first key with each of the declared second keys, and a fill value."""
+    grid = df.select(k1).dropna().distinct().withColumn(k2, F.explode(F.array(*[F.lit(v) for v in values])))
     return grid.join(df.select(k1, k2, value), [k1, k2], "left").withColumn(
         value, F.coalesce(value, F.lit(fill).cast("long"))
     )
 
 
-def widen_ordinal(
-    df: DataFrame, id_col: str, col: str, prefix: str, order: list, max_width: int = 2000
-) -> DataFrame:
-    """One column per ordinal (G16); too wide a result is an error, nothing is cut."""
-    numbered = number_rows(df, [id_col], order, "_k")
-    width = df.groupBy(id_col).count().agg(F.max("count")).first()[0] or 0
-    if width > max_width:
-        raise ValueError(f"a row would need {width} columns; keep the long form of `ordinal`")
-    names = list(range(1, width + 1))
-    wide = numbered.groupBy(id_col).pivot("_k", names).agg(F.first(col))
-    return wide.withColumnsRenamed({str(i): f"{prefix}{i}" for i in names})
+def widen_ordinal(df: DataFrame, id_col: str, col: str, prefix: str, order: list) -> DataFrame:
+    """Each value with its ordinal label, ``prefix1``, ``prefix2``, … (G16), in long form.
+
+    The number of columns of the wide form would depend on the data.
+    """
+    numbered = number_rows(df.select(id_col, col), [id_col], order, "_k")
+    return numbered.select(id_col, F.concat(F.lit(prefix), F.col("_k")).alias("ordinal"), F.col(col).alias("valor"))
 
 
 def coverage(df: DataFrame, key: str, family: str, office: Column) -> DataFrame:

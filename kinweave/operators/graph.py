@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 from kinweave.functions import fixed
 from kinweave.functions.text import name_urls, relation_urls, relation_urls_loose, surnames, title_from_url
 from kinweave.operators.aggregates import in_both, quantile_flag
-from kinweave.operators.joins import both_in, enrich_both, group_pairs, unknown_endpoints
+from kinweave.operators.joins import both_in, enrich_both, unknown_endpoints
 from kinweave.operators.ranking import first_per_key, top_with_ties
 from kinweave.operators.rules import edge_class
 from kinweave.operators.sets import endpoints
 from kinweave.session import cut
 
-PAIR_BUDGET = 2_000_000_000
-
 
 # --- building edges and nodes ---------------------------------------------------
 
@@ -121,7 +119,7 @@ def neighbours(e: DataFrame) -> DataFrame:
 
 # --- components, paths, density -----------------------------------------------
 
-def components(e: DataFrame, all_nodes: DataFrame | None = None, max_iter: int = 100) -> DataFrame:
+def components(e: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
     """Smallest member id of the component of every node.
 
     Alternating large-star and small-star rounds: a hub hands its neighbours to the
@@ -130,7 +128,7 @@ def components(e: DataFrame, all_nodes: DataFrame | None = None, max_iter: int =
     """
     cur = cut(simplify(e).select(F.col("dst").alias("u"), F.col("src").alias("v")))  # u > v
     mark = None
-    for _ in range(max_iter):
+    while True:
         both = cur.union(cur.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(
@@ -145,8 +143,6 @@ def components(e: DataFrame, all_nodes: DataFrame | None = None, max_iter: int =
         if mark == tuple(now):
             break
         mark = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {max_iter} rounds")
     ids = endpoints(e) if all_nodes is None else endpoints(e).union(all_nodes.select("id")).distinct()
     return ids.join(cur.withColumnRenamed("u", "id"), "id", "left").select(
         "id", F.coalesce("v", "id").alias("component")
@@ -213,25 +209,12 @@ def transitivity(e: DataFrame, by: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _source_batches(adj: DataFrame, pair_budget: int) -> list[DataFrame]:
-    """Start nodes in batches whose (source, node) states stay below the budget.
+def _levels(adj: DataFrame, sources: DataFrame, directed: bool) -> list[DataFrame]:
+    """Breadth-first levels ``(s, v, d, sigma)`` of all sources at once.
 
-    Together the batches hold every node: the work is exact, only its peak is bounded.
+    The state has a row for each pair of nodes that reach each other, so these measures are for
+    contracted graphs (families, houses, countries); persons are ranked by degree and neighbour groups.
     """
-    ids = adj.select(F.col("a").alias("id")).union(adj.select("b")).distinct()
-    n = ids.count()
-    pairs = n * n
-    if pairs > pair_budget:
-        comp = components(adj.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        pairs = component_sizes(comp).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
-    k = max(1, -(-pairs // pair_budget))
-    if k == 1:
-        return [ids]
-    return [ids.filter(F.pmod(F.xxhash64("id"), F.lit(k)) == i) for i in range(k)]
-
-
-def _levels(adj: DataFrame, sources: DataFrame, directed: bool) -> list[DataFrame]:
-    """Breadth-first levels ``(s, v, d, sigma)`` of all sources at once."""
     levels = [cut(sources.select(
         F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")
     ))]
@@ -260,25 +243,23 @@ def _adjacency(e: DataFrame, directed: bool, multi: bool) -> DataFrame:
     return cut(counted if multi else counted.withColumn("mult", F.lit(1.0)))
 
 
-def shortest_paths(e: DataFrame, directed: bool = False, pair_budget: int = PAIR_BUDGET):
-    """Distances and path counts ``(s, v, d, sigma)`` of reachable pairs, batch by batch."""
+def shortest_paths(e: DataFrame, directed: bool = False) -> DataFrame:
+    """Distances and path counts ``(s, v, d, sigma)`` of reachable pairs of a contracted graph."""
     adj = _adjacency(e, directed, multi=False)
-    for sources in _source_batches(adj, pair_budget):
-        levels = _levels(adj, sources, directed)
-        yield reduce(DataFrame.union, levels)
+    return reduce(DataFrame.union, _levels(adj, _nodes_of(adj), directed))
+
+
+def _nodes_of(adj: DataFrame) -> DataFrame:
+    return adj.select(F.col("a").alias("id")).union(adj.select("b")).distinct()
 
 
-def avg_path(e: DataFrame, by: DataFrame | None = None, pair_budget: int = PAIR_BUDGET) -> DataFrame:
-    """Mean distance over connected pairs (N13), per group of ``by(id, grupo)`` if given."""
+def avg_path(e: DataFrame, by: DataFrame | None = None) -> DataFrame:
+    """Mean distance over connected pairs of a contracted graph (N13), per group of ``by(id, grupo)`` if given."""
     keys = ["grupo"] if by is not None else []
-    parts = []
-    for pairs in shortest_paths(e, pair_budget=pair_budget):
-        far = pairs.filter(F.col("d") > 0)
-        if by is not None:
-            far = far.join(by.withColumnRenamed("id", "s"), "s")
-        parts.append(cut(far.groupBy(*keys).agg(F.sum("d").alias("sd"), F.count("*").alias("pares"))))
-    out = reduce(DataFrame.union, parts).groupBy(*keys).agg(F.sum("sd").alias("sd"), F.sum("pares").alias("pares"))
-    return out.select(*keys, "pares", (F.col("sd") / F.nullif(F.col("pares"), F.lit(0))).alias("distancia_media"))
+    far = shortest_paths(e).filter(F.col("d") > 0)
+    if by is not None:
+        far = far.join(by.withColumnRenamed("id", "s"), "s")
+    return far.groupBy(*keys).agg(F.count("*").alias("pares"), F.avg("d").alias("distancia_media"))
 
 
 def giant_nodes(c: DataFrame, by: DataFrame | None = None) -> DataFrame:
@@ -293,10 +274,9 @@ def giant_nodes(c: DataFrame, by: DataFrame | None = None) -> DataFrame:
 
 
 def betweenness(
-    e: DataFrame, all_nodes: DataFrame | None = None, directed: bool = False, normalized: bool = False,
-    multi: bool = False, pair_budget: int = PAIR_BUDGET,
+    e: DataFrame, all_nodes: DataFrame | None = None, directed: bool = False, normalized: bool = False, multi: bool = False,
 ) -> DataFrame:
-    """Shortest-path betweenness (N14): forward levels, then dependencies back to the source.
+    """Shortest-path betweenness of a contracted graph (N14): forward levels, then dependencies back to the source.
 
     Each unordered pair counts once; ``directed`` counts ordered pairs. ``multi`` lets
     parallel edges count as separate paths. Dependencies add up level by level, so
@@ -304,27 +284,22 @@ def betweenness(
     """
     adj = _adjacency(e, directed, multi)
     back = adj.select(F.col("a").alias("pred"), F.col("b").alias("w"), "mult")
-    parts = []
-    for sources in _source_batches(adj, pair_budget):
-        levels = _levels(adj, sources, directed)
-        deeper = levels[-1].withColumn("delta", F.lit(0.0))
-        scored = []
-        for k in range(len(levels) - 1, 0, -1):
-            scored.append(deeper.select("v", "delta"))
-            if k == 1:
-                break
-            share = deeper.join(back, deeper["v"] == back["w"]).select(
-                "s", F.col("pred").alias("v"), (F.col("mult") * (1 + F.col("delta")) / F.col("sigma")).alias("x")
-            ).groupBy("s", "v").agg(F.sum("x").alias("x"))
-            deeper = levels[k - 1].join(share, ["s", "v"], "left").select(
-                "s", "v", "d", "sigma", (F.col("sigma") * F.coalesce("x", F.lit(0.0))).alias("delta")
-            )
-            deeper = cut(deeper)
-        if scored:
-            parts.append(cut(reduce(DataFrame.union, scored).groupBy("v").agg(F.sum("delta").alias("bt"))))
+    levels = _levels(adj, _nodes_of(adj), directed)
+    deeper = levels[-1].withColumn("delta", F.lit(0.0))
+    scored = []
+    for k in range(len(levels) - 1, 0, -1):
+        scored.append(deeper.select("v", "delta"))
+        if k == 1:
+            break
+        share = deeper.join(back, deeper["v"] == back["w"]).select(
+            "s", F.col("pred").alias("v"), (F.col("mult") * (1 + F.col("delta")) / F.col("sigma")).alias("x")
+        ).groupBy("s", "v").agg(F.sum("x").alias("x"))
+        deeper = cut(levels[k - 1].join(share, ["s", "v"], "left").select(
+            "s", "v", "d", "sigma", (F.col("sigma") * F.coalesce("x", F.lit(0.0))).alias("delta")
+        ))
     ids = endpoints(e) if all_nodes is None else endpoints(e).union(all_nodes.select("id")).distinct()
-    if parts:
-        total = reduce(DataFrame.union, parts).groupBy(F.col("v").alias("id")).agg(F.sum("bt").alias("bt"))
+    if scored:
+        total = reduce(DataFrame.union, scored).groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("bt"))
         ids = ids.join(total, "id", "left")
     else:
         ids = ids.withColumn("bt", F.lit(0.0))
@@ -338,30 +313,41 @@ def betweenness(
 
 # --- communities -----------------------------------------------------------------
 
-def communities(
-    e: DataFrame, rounds: int = 5, mode: str = "any", all_nodes: DataFrame | None = None
-) -> DataFrame:
-    """Communities by a fixed number of synchronous label rounds.
+def moves_in(round_no: int) -> Column:
+    """About half of the nodes, another half in each round."""
+    return F.instr(F.lit("13579bdf"), F.right(F.md5(F.concat_ws(":", "id", F.lit(round_no)).cast("binary")), F.lit(1))) > 0
+
 
-    A node takes the most frequent label among its neighbours and itself, the smallest
-    on ties, so the result is the same on every run. ``mutual`` keeps two-way edges only.
+def communities(e: DataFrame, mode: str = "any", all_nodes: DataFrame | None = None) -> DataFrame:
+    """Communities by label propagation, run until no node wants another label.
+
+    A node wants the most frequent label among its neighbours and itself, the smallest on ties.
+    In each round a hashed half of the nodes may move, so neighbours do
+    not swap labels for ever, and the result is the same on every run. ``mutual`` keeps
+    two-way edges only.
     """
     simple = mutual(e) if mode == "mutual" else simplify(e)
     ids = endpoints(e) if all_nodes is None else all_nodes.select("id").distinct()
     adj = cut(neighbours(simple))
-    labels = cut(ids.withColumn("community", F.col("id")))
-    for _ in range(rounds):
-        votes = adj.join(labels, adj["b"] == labels["id"]).select(F.col("a").alias("id"), "community").unionAll(labels)
+    labels = cut(ids.withColumn("community", F.col("id")).withColumn("wanted", F.lit(-1).cast("long")))
+    round_no = 0
+    while True:
+        own = labels.select("id", "community")
+        votes = adj.join(own, adj["b"] == own["id"]).select(F.col("a").alias("id"), "community").unionAll(own)
         counted = votes.groupBy("id", "community").agg(F.count("*").alias("n"))
-        labels = cut(
-            counted.groupBy("id").agg(F.min(F.struct(-F.col("n"), F.col("community").alias("c")))["c"].alias("community"))
-        )
-    return labels
+        best = counted.join(own.withColumnRenamed("community", "own"), "id").groupBy("id").agg(
+            F.min(F.struct(-F.col("n"), F.col("community").alias("c")))["c"].alias("wanted"),
+            F.first("own").alias("community"))
+        now = cut(best)
+        if now.filter(F.col("wanted") != F.col("community")).isEmpty():
+            return now.select("id", "community")
+        labels = now.withColumn("community", F.when(moves_in(round_no), F.col("wanted")).otherwise(F.col("community")))
+        round_no += 1
 
 
-def communities_any(e: DataFrame, rounds: int = 5) -> DataFrame:
+def communities_any(e: DataFrame) -> DataFrame:
     """Communities over all edges with the community size on every node."""
-    c = communities(e, rounds, "any")
+    c = communities(e, "any")
     sizes = c.groupBy("community").agg(F.count("*").alias("size"))
     return c.join(sizes, "community").select("id", "community", "size")
 
@@ -439,11 +425,10 @@ def group_connectivity(n: DataFrame, top: int = 10) -> DataFrame:
     return top_with_ties(out, ["pais"], "total_conexiones", top)
 
 
-def pair_summary(e: DataFrame, all_nodes: DataFrame) -> DataFrame:
-    """Nodes, nodes per side and crossing edges of every country pair.
+def pair_summary(e: DataFrame) -> DataFrame:
+    """Nodes, nodes per side and crossing edges of every country pair that edges connect.
 
-    ``e`` has ``src, dst, src_pais, dst_pais`` (NULL when unknown), ``all_nodes`` has
-    ``id, pais``. A pair holds the edges whose ends are in one of its countries or
+    ``e`` has ``src, dst, src_pais, dst_pais`` (NULL when unknown). A pair holds the edges whose ends are in one of its countries or
     unknown. Each node is reduced to the countries it touches, so the pairs are
     joined to small count tables and never to edges.
     """
@@ -467,7 +452,7 @@ def pair_summary(e: DataFrame, all_nodes: DataFrame) -> DataFrame:
     cross = e.filter(F.col("src_pais") != F.col("dst_pais")).groupBy(
         F.least("src_pais", "dst_pais").alias("a"), F.greatest("src_pais", "dst_pais").alias("b")
     ).agg(F.count("*").alias("cruces"))
-    pairs = group_pairs(all_nodes.filter(F.col("pais") != "Desconocido"), "pais")
+    pairs = cross.select("a", "b")
 
     def add(df: DataFrame, side: DataFrame, names: dict[str, str], out: str) -> DataFrame:
         s = side.withColumnsRenamed({**names, "n": out})
@@ -502,17 +487,18 @@ def k_hop(e: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
     return seen
 
 
-def flatten_hierarchy(tree: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
+def flatten_hierarchy(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """Every descendant of every root with its depth (N25); ``tree(parent, child)``."""
     seen = cut(roots.select(F.col("id").alias("root"), F.col("id").alias("member"), F.lit(0).alias("depth")))
     frontier = seen
-    for d in range(1, max_depth + 1):
+    d = 0
+    while True:
+        d += 1
         step = frontier.join(tree, frontier["member"] == tree["parent"]).select("root", F.col("child").alias("member")).distinct()
         frontier = cut(step.join(seen, ["root", "member"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             return seen.filter(F.col("depth") > 0)
         seen = seen.union(frontier)
-    raise RuntimeError(f"hierarchy is deeper than {max_depth}")
 
 
 def reciprocal(e: DataFrame, inverse: dict[str, str] = fixed.INVERSE_RELATION) -> DataFrame:

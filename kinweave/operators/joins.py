@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.aggregates import join_text
 from kinweave.operators.ranking import first_per_key, join_back, number_rows
 
 
@@ -96,23 +95,10 @@ def dictionary_join(
     return low.withColumn(out, F.explode(word_hits(F.col("_low"), kw, F.col(own_key), word))).drop("_low")
 
 
-def indexed(df: DataFrame, cols: list[str], name: str) -> DataFrame:
-    """Distinct values numbered from 1 in their order."""
-    return number_rows(df.select(*cols).distinct(), [], [F.col(c) for c in cols], name)
-
-
-def group_pairs(df: DataFrame, col: str) -> DataFrame:
-    """Every unordered pair of group names ``a < b``.
-
-    Group ``i`` asks for the numbers below it, which an equi-join turns into names.
-    """
-    groups = indexed(df.filter(F.col(col).isNotNull()), [col], "_i")
-    # sequence(1, 0) counts down, so the first group is dropped explicitly.
-    left = groups.filter(F.col("_i") > 1).select(
-        F.col(col).alias("b"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_i") - 1)).alias("_i")
-    )
-    right = groups.select(F.col(col).alias("a"), "_i")
-    return left.join(right, "_i").select("a", "b")
+def group_pairs(links: DataFrame, a: str, b: str) -> DataFrame:
+    """Every unordered pair of different groups ``a < b`` that some link connects."""
+    return links.filter(F.col(a) != F.col(b)).select(
+        F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def within_pairs(df: DataFrame, group: str, id_col: str) -> DataFrame:
@@ -162,20 +148,13 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, col: str) ->
 
 
 def attach_aggregates(persons: DataFrame, positions: DataFrame, relations: DataFrame) -> DataFrame:
-    """Offices and relatives as text and counts on the person row.
+    """Numbers of offices, relatives and kinds of relation on the person row (J13): one row per person.
 
-    A list above the part size of ``join_text`` goes on in further parts of the person.
+    The offices and relatives themselves are numbered rows (``join_text``), tables of their own.
     """
     key = ["person_id"]
-    cargos = join_text(positions, key, "position_title_raw", " | ").select(
-        "person_id", "parte", F.col("texto").alias("cargos"))
-    parientes = join_text(relations, key, "related_name_raw", " | ").select(
-        "person_id", "parte", F.col("texto").alias("familiares"))
-    tipos = join_text(relations, key, "relation_type", ", ").select(
-        "person_id", "parte", F.col("texto").alias("tipos_relacion"))
-    n_cargos = positions.groupBy(*key).agg(F.count("*").alias("n_cargos"))
-    n_fam = relations.groupBy(*key).agg(F.count("*").alias("n_familiares"))
-    both = [*key, "parte"]
-    texts = cargos.join(parientes, both, "full").join(tipos, both, "full")
-    out = persons.join(n_cargos, key, "left").join(n_fam, key, "left").join(texts, key, "left")
-    return out.withColumn("parte", F.coalesce("parte", F.lit(1).cast("long")))
+    offices = positions.groupBy(*key).agg(
+        F.count("*").alias("n_cargos"), F.count_distinct("position_title_raw").alias("n_cargos_distintos"))
+    kin = relations.groupBy(*key).agg(
+        F.count("*").alias("n_familiares"), F.count_distinct("relation_type").alias("n_tipos_relacion"))
+    return persons.join(offices, key, "left").join(kin, key, "left")

@@ -1,9 +1,9 @@
 """Window operators and top-k.
 
 A window holds one group in one task. Ranks that are cut at ``k`` are safe: Spark
-keeps ``k`` rows per group on the map side. For whole ranks the largest group is
-counted first; above ``HOT_GROUP_ROWS`` rows the groups are cut into range chunks
-and chunk offsets are added, so no task sees a whole hot group.
+keeps ``k`` rows per group on the map side. Whole ranks and running sums are made in
+range chunks of (group, order): chunks are summed on their own and moved by the sums
+of the chunks before them, so no task sees a whole hot group.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from pyspark.sql.window import Window as W
 
 from kinweave.session import cut
 
-HOT_GROUP_ROWS = 2_000_000
-GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
-
 
 def join_back(df: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Attach one row per group to the rows of the group."""
@@ -28,45 +25,32 @@ def join_back(df: DataFrame, per_group: DataFrame, keys: list[str], how: str = "
     return a.join(b, on, how).select("a.*", *extra)
 
 
-def largest_group(df: DataFrame, part: list[str]) -> int:
-    """Rows of the largest group: a partial aggregate and one number to the driver."""
-    return df.groupBy(*part).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def running_total(
-    df: DataFrame, part: list[str], order: list, value: Column, name: str, hot: int | None = None
-) -> DataFrame:
+def running_total(df: DataFrame, part: list[str], order: list, value: Column, name: str) -> DataFrame:
     """Sum of ``value`` from the first row of the group to this one; ``order`` must be total.
 
-    The input is written once, so the size check does not compute it a second time.
+    The chunked rows are written once: both readers must see the same chunks, and the
+    bounds of a range partitioning are drawn anew each time it is computed.
     """
-    limit = HOT_GROUP_ROWS if hot is None else hot
-    df = cut(df)
-    frame = (W.unboundedPreceding, W.currentRow)
-    if largest_group(df, part) <= limit:
-        w = W.partitionBy(*part).orderBy(*order).rowsBetween(*frame)
-        return df.withColumn(name, F.sum(value).over(w))
-
     keys = [F.col(p) for p in part]
     chunked = cut(df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id()))
     # One row per group and chunk: a group has at most as many as there are partitions.
     totals = chunked.groupBy(*part, "_chunk").agg(F.sum(value).alias("_n"))
     before = W.partitionBy(*part).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    local = W.partitionBy(*part, "_chunk").orderBy(*order).rowsBetween(*frame)
+    local = W.partitionBy(*part, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = chunked.withColumn(name, F.sum(value).over(local))
     joined = join_back(inside, offsets, [*part, "_chunk"])
     return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_before", "_chunk")
 
 
-def number_rows(df: DataFrame, part: list[str], order: list, name: str, hot: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, part: list[str], order: list, name: str) -> DataFrame:
     """Row number inside the group."""
-    return running_total(df, part, order, F.lit(1).cast("long"), name, hot)
+    return running_total(df, part, order, F.lit(1).cast("long"), name)
 
 
-def rank_in(df: DataFrame, part: list[str], order: list, name: str = "rank", hot: int | None = None) -> DataFrame:
+def rank_in(df: DataFrame, part: list[str], order: list, name: str = "rank") -> DataFrame:
     """Unique rank inside the group."""
-    return number_rows(df, part, order, name, hot)
+    return number_rows(df, part, order, name)
 
 
 def top_with_ties(df: DataFrame, part: list[str], col: str, n: int, name: str = "ranking") -> DataFrame:
@@ -83,14 +67,7 @@ def top_with_ties(df: DataFrame, part: list[str], col: str, n: int, name: str =
 
 
 def top_n_per(df: DataFrame, part: list[str], order: list, n: int, name: str | None = None) -> DataFrame:
-    """First ``n`` rows per group.
-
-    Up to ``GROUP_LIMIT`` Spark keeps ``n`` rows per group on the map side; above it the
-    chunked numbering takes over.
-    """
-    if n >= GROUP_LIMIT:
-        ranked = number_rows(df, part, order, "_rn").filter(F.col("_rn") <= n)
-        return ranked.withColumnRenamed("_rn", name) if name else ranked.drop("_rn")
+    """First ``n`` rows per group."""
     w = W.partitionBy(*part).orderBy(*order)
     ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
     return ranked.withColumnRenamed("_rn", name) if name else ranked.drop("_rn")
@@ -128,7 +105,7 @@ def ordinal(df: DataFrame, part: list[str], order: list, prefix: str, name: str
 
 
 def segment_headers(
-    rows: DataFrame, id_col: str, pos: str, label: str, value: str, header_regex: str, hot: int | None = None
+    rows: DataFrame, id_col: str, pos: str, label: str, value: str, header_regex: str
 ) -> DataFrame:
     """Offices from label rows: a blank-valued header opens a segment.
 
@@ -137,7 +114,7 @@ def segment_headers(
     is_header = F.lower(F.col(label)).rlike(header_regex.lower()) & (F.col(value) == "")
     seg = running_total(
         rows.withColumn("_head", F.coalesce(is_header, F.lit(False))),
-        [id_col], [F.col(pos)], F.when(F.col("_head"), 1).otherwise(0).cast("long"), "_seg", hot,
+        [id_col], [F.col(pos)], F.when(F.col("_head"), 1).otherwise(0).cast("long"), "_seg",
     ).filter(F.col("_seg") > 0)
     low, body = F.lower(F.col(label)), ~F.col("_head")
     period = body & (F.col(label) == "detalle")
@@ -190,30 +167,9 @@ def segment_cells(df: DataFrame, id_col: str, entries: Column, header_regex: str
     )
 
 
-def ring_edges(
-    df: DataFrame, part: list[str], id_col: str, order: list, close_from: int = 3,
-    cap: int | None = None, hot: int | None = None,
-) -> DataFrame:
-    """Link each member to the next and the last to the first.
-
-    ``cap`` keeps the first members of a group, as the drawing variant does.
-    """
-    base = df.select(*part, id_col, *[c for c in df.columns if c not in (*part, id_col)])
-    if cap is not None:
-        base = top_n_per(base, part, order, cap)
-    limit = HOT_GROUP_ROWS if hot is None else hot
-    if largest_group(base, part) <= limit:
-        w = W.partitionBy(*part).orderBy(*order)
-        linked = base.select(
-            *part, F.col(id_col).alias("src"), F.lead(id_col).over(w).alias("_next"),
-            F.first(id_col).over(w).alias("_first"), F.row_number().over(w).alias("_k"),
-        )
-        closing = F.when(F.col("_k") >= close_from, F.col("_first"))
-        return (
-            linked.withColumn("dst", F.coalesce("_next", closing))
-            .filter(F.col("dst").isNotNull()).select(*part, "src", "dst")
-        )
-    k = cut(number_rows(base, part, order, "_k", hot).select(*part, F.col(id_col).alias("_id"), "_k"))
+def ring_edges(df: DataFrame, part: list[str], id_col: str, order: list, close_from: int = 3) -> DataFrame:
+    """Link each member to the next and the last to the first."""
+    k = cut(number_rows(df, part, order, "_k").select(*part, F.col(id_col).alias("_id"), "_k"))
     step = k.select(*part, F.col("_id").alias("dst"), (F.col("_k") - 1).alias("_k"))
     chain = join_back(k, step, [*part, "_k"]).select(*part, F.col("_id").alias("src"), "dst")
     sizes = k.groupBy(*part).agg(F.max("_k").alias("_k")).filter(F.col("_k") >= close_from)
@@ -234,7 +190,7 @@ def filter_top(df: DataFrame, key: str, k: int) -> DataFrame:
         df.filter(F.col(key).isNotNull()).groupBy(key).count()
         .orderBy(F.desc("count"), key).limit(k).select(key)
     )
-    return df.join(F.broadcast(top), key, "left_semi")  # at most k rows
+    return df.join(top, key, "left_semi")
 
 
 def most_common(df: DataFrame, part: list[str], label: str, k: int) -> DataFrame:

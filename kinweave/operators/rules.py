@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import fixed
 from kinweave.functions.text import (
-    any_label, any_of, as_col, first_object, safe_text, whole_word,
+    any_label, any_of, as_col, country_slug, first_object, safe_text, whole_word,
 )
 from kinweave.operators.joins import enrich_dst, word_cond, word_hits
 from kinweave.operators.ranking import first_per_key
@@ -77,6 +77,11 @@ def mentions_by_field(
     return first.withColumn("campo_detectado", found).drop("pos")
 
 
+def other_country(a: Column, b: Column) -> Column:
+    """Two names or path slugs of different countries: ``Perú`` and ``peru`` are one."""
+    return country_slug(F.trim(a)) != country_slug(F.trim(b))
+
+
 def target_links(
     df: DataFrame, texts: list[str], patterns: dict[str, list[str]] = fixed.TARGET_PATTERNS,
     own: str | None = None, out: str = "conecta_con",
@@ -87,7 +92,7 @@ def target_links(
     for target, pats in patterns.items():
         cond = F.col("_low").rlike(any_of(pats))
         if own:
-            cond = (F.col(own) != target) & cond
+            cond = other_country(F.col(own), F.lit(target)) & cond
         hits.append(F.when(cond, F.lit(target)))
     return low.withColumn(out, F.concat_ws(", ", *hits)).filter(F.col(out) != "").drop("_low")
 
@@ -180,7 +185,7 @@ def dst_country(
 
 def special_cases(df: DataFrame, a: str, b: str, labels: dict[tuple[str, str], str] | None = None) -> DataFrame:
     """Persons whose two countries differ, with a label per direction."""
-    out = df.filter((F.col(b) != "Desconocido") & (F.col(a) != F.col(b)))
+    out = df.filter((F.col(b) != "Desconocido") & other_country(F.col(a), F.col(b)))
     case = F.when(F.lit(False), F.lit(None).cast("string"))
     for (fam, nat), label in (labels or {}).items():
         case = case.when((F.col(a) == fam) & (F.col(b) == nat), label)

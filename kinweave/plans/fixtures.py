@@ -9,7 +9,6 @@ from kinweave.functions import fixed
 from kinweave.functions.text import surnames
 from kinweave.operators.graph import kin_table
 from kinweave.operators.shape import bucket
-from kinweave.session import spread
 
 PERIODS = ([1997, 1999], ["Pre-1997", "1997-1998", "1999+"])
 
@@ -23,10 +22,6 @@ class Tables:
     def t(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def text(self, name: str) -> DataFrame:
-        """A table whose rows carry long text to search."""
-        return spread(self.t(name))
-
     def person(self) -> DataFrame:
         c, p = self.t("customer"), self.t("part")
         n, r = self.t("nation"), self.t("region")
@@ -60,22 +55,24 @@ class Tables:
     def edge(self) -> DataFrame:
         n = self.t("customer").agg(F.count("*")).scalar()
         rel = F.col("o_orderpriority")
-        return self.t("orders").filter(
-            (F.month("o_orderdate") == 1) & F.col("o_orderstatus").isin("F", "O")
-        ).select(
+        return self.t("orders").select(
             F.col("o_custkey").alias("src"), F.pmod(F.col("o_orderkey") * 37 + 11, n).alias("dst"),
             F.when(rel == "1-URGENT", "conyuge").when(rel == "2-HIGH", "pareja").when(rel == "3-MEDIUM", "padres")
             .when(rel == "4-NOT SPECIFIED", "hijos").otherwise("hermanos").alias("relation_type"),
         ).distinct()
 
-    def edge_sparse(self) -> DataFrame:
-        return self.edge().filter(F.col("relation_type").isin("conyuge", "pareja", "padres"))
+    def house(self) -> DataFrame:
+        """Persons by house: the families of one place in one country."""
+        return self.person().select("person_id", "pais", F.concat_ws("/", "pais", "lugar").alias("casa"))
 
-    def edge_dense(self) -> DataFrame:
-        n = self.t("supplier").agg(F.count("*")).scalar()
-        return self.t("lineitem").filter((F.col("l_linenumber") == 1) & (F.month("l_shipdate") == 1)).select(
-            F.col("l_suppkey").alias("src"), F.pmod("l_partkey", n).alias("dst")
-        ).distinct()
+    def house_links(self, within: bool = False) -> DataFrame:
+        """Marriages contracted to houses; ``within`` keeps those inside one country."""
+        p, e = self.house(), self.edge()
+        a = p.select(F.col("person_id").alias("src"), F.col("pais").alias("pa"), F.col("casa").alias("a"))
+        b = p.select(F.col("person_id").alias("dst"), F.col("pais").alias("pb"), F.col("casa").alias("b"))
+        both = e.filter(F.col("relation_type").isin("conyuge", "pareja")).join(a, "src").join(b, "dst")
+        both = both.filter(F.col("pa") == F.col("pb")) if within else both
+        return both.filter(F.col("a") != F.col("b")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "pa").distinct()
 
     def spell(self) -> DataFrame:
         return self.t("orders").select(
@@ -96,20 +93,15 @@ class Tables:
         return kin_table(e, known, ["nombre", "pais", "familia"])
 
     def relation_text(self) -> DataFrame:
-        """Relation cells ``Name (url); …`` per person and relation.
-
-        A cell holds the destinations of one id range, so its size has a bound.
-        """
+        """Relation cells ``Name (url); …`` per person and relation, as the sources hold them."""
         e, p = self.edge(), self.person()
         entry = F.concat("nombre", F.lit(" ("), "url", F.lit(")"))
         named = e.join(p.select(F.col("person_id").alias("dst"), entry.alias("entry")), "dst")
-        cells = named.groupBy("src", F.expr("dst div 100000").alias("parte"), "relation_type").agg(
-            F.array_sort(F.collect_list(F.struct("dst", "entry"))).alias("x")
-        )
-        return cells.select("src", "parte", "relation_type", F.array_join(F.transform("x", lambda v: v["entry"]), "; ").alias("texto"))
+        cells = named.groupBy("src", "relation_type").agg(F.array_sort(F.collect_list(F.struct("dst", "entry"))).alias("x"))
+        return cells.select("src", "relation_type", F.array_join(F.transform("x", lambda v: v["entry"]), "; ").alias("texto"))
 
     def person_text(self) -> DataFrame:
         """Person rows with their relation columns as text."""
-        wide = self.relation_text().groupBy("src", "parte").pivot("relation_type", fixed.RELATION_FIELDS).agg(F.first("texto"))
+        wide = self.relation_text().groupBy("src").pivot("relation_type", fixed.RELATION_FIELDS).agg(F.first("texto"))
         p = self.person()
-        return p.join(wide, p["person_id"] == wide["src"], "left").drop("src", "parte")
+        return p.join(wide, p["person_id"] == wide["src"], "left").drop("src")

@@ -36,7 +36,8 @@ def consolidate(persons: DataFrame) -> DataFrame:
     })
     # Of repeated rows the one with the most values stays.
     filled = sum((not_blank(c).cast("int") for c in PERSON_COLUMNS), F.lit(0))
-    order = [F.desc("_filled"), *[F.col(c) for c in ("nombre", "pais", "familia", "biografia", "infobox_json", "cargos_politicos")]]
+    first = ("nombre", "pais", "familia", "biografia", "infobox_json", "cargos_politicos")
+    order = [F.desc("_filled"), *[F.col(c) for c in dict.fromkeys([*first, *PERSON_COLUMNS])]]  # total, but for equal rows
     return first_per_key(p.withColumn("_filled", filled), ["url"], order).drop("_filled")
 
 
@@ -69,7 +70,9 @@ def output_tables(persons: DataFrame) -> dict[str, DataFrame]:
         fixed.COUNTRY_KEYWORDS, "url",
     ).select(F.lower("src_pais").alias("pais_origen"), "pais_destino")
     said = rules.mentions_by_field(p.withColumn("pais", F.lower("pais")), "url", "pais", fixed.LINK_KIND)
-    words = [w for pats in fixed.TARGET_PATTERNS.values() for w in pats]
+    family = lambda end: F.concat_ws("/", "src_pais", f"{end}_familia")
+    houses = cut(spouses.filter(F.col("clase_pais") == "Intra-país").select(
+        family("src").alias("src"), family("dst").alias("dst"), F.col("src_pais").alias("pa")).distinct())
 
     return {
         "endogamia_por_pais": rp.endogamy(kin),
@@ -78,10 +81,10 @@ def output_tables(persons: DataFrame) -> dict[str, DataFrame]:
         "puestos_politicos_por_pais": rp.offices_by_country(p, "cargos_politicos"),
         "elites_por_pais": rp.elite_share(p, "cargos_politicos"),
         "elites_conexiones_inter_pais": rp.elite_flows(kin, p, "cargos_politicos", "url"),
-        "metricas_red_por_pais": rp.network_metrics(kin, ends),
+        "metricas_red_por_pais": rp.network_metrics(kin, ends, houses),
         "matriz_inter_pais": rp.country_flows(kin),
         "resumen_conexiones_inter_pais": rp.link_balance(kin),
-        "pares_de_paises": graph.pair_summary(kin, ends),
+        "pares_de_paises": graph.pair_summary(kin),
         "json_limpieza_resumen": rp.json_validity(p, "pais", clean_json("infobox_json")),
         "infobox_labels": rp.label_frequencies(p, "pais", "infobox_json"),
         "infobox_labels_top20_por_pais": rp.top_labels(p, "pais", "infobox_json"),
@@ -102,7 +105,7 @@ def output_tables(persons: DataFrame) -> dict[str, DataFrame]:
         "familias_que_mas_unen_por_pais": rp.connecting_families(kin, p, key="url"),
         "union_entre_paises": rp.country_union(resolved, said, "pais"),
         "nodos_puente": rp.bridge_persons(
-            p.withColumn("texto", F.concat_ws(" ", *texts)), "texto", fixed.TARGET_PATTERNS, "pais", words,
+            p.withColumn("texto", F.concat_ws(" ", *texts)), "texto", fixed.TARGET_PATTERNS, "pais", fixed.TARGET_PATTERNS,
         ).select("url", "nombre", "pais", "conecta_con", "contexto_conexion"),
         "casos_especiales_nacionalidad": rules.special_cases(nat, "pais_familia", "pais_nacionalidad"),
         "conexiones_cruzadas_nacionalidad": rp.crossed_links(

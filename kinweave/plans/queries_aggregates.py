@@ -38,17 +38,16 @@ def _(fx):
 
 
 @query("g05_join_text", "v_spell", """
-    SELECT person_id, CAST(1 AS BIGINT) AS parte, string_agg(DISTINCT cargo_text, ' | ' ORDER BY cargo_text) AS texto,
-           count(DISTINCT cargo_text) AS n FROM v_spell GROUP BY 1""")
+    SELECT person_id, valor, row_number() OVER (PARTITION BY person_id ORDER BY valor) AS ordinal FROM (SELECT DISTINCT person_id, cargo_text AS valor FROM v_spell)""")
 def _(fx):
-    return agg.join_text(fx.spell(), ["person_id"], "cargo_text", " | ")
+    return agg.join_text(fx.spell(), ["person_id"], "cargo_text")
 
 
 @query("g05_join_text_first_seen", "v_spell", """
-    WITH d AS (SELECT person_id, cargo_text, min(spell_id) AS o FROM v_spell GROUP BY 1, 2)
-    SELECT person_id, CAST(1 AS BIGINT) AS parte, string_agg(cargo_text, ', ' ORDER BY o) AS texto, count(*) AS n FROM d GROUP BY 1""")
+    WITH d AS (SELECT person_id, cargo_text AS valor, min(spell_id) AS o FROM v_spell GROUP BY 1, 2)
+    SELECT person_id, valor, row_number() OVER (PARTITION BY person_id ORDER BY o) AS ordinal FROM d""")
 def _(fx):
-    return agg.join_text(fx.spell(), ["person_id"], "cargo_text", ", ", order="spell_id")
+    return agg.join_text(fx.spell(), ["person_id"], "cargo_text", order="spell_id")
 
 
 @query("g06_in_both", "v_mention", """
@@ -60,8 +59,7 @@ def _(fx):
 
 @query("g07_edge_context", "v_spell", """
     WITH e AS (SELECT person_id AS src, anio AS dst, spell_id AS pos, concat(cargo_text, ' ', CAST(spell_id AS VARCHAR)) AS texto, o_orderstatus AS c FROM v_spell)
-    SELECT src, dst, CAST(1 AS BIGINT) AS parte, string_agg(texto, ' ' ORDER BY pos) AS texto, count(*) AS n, arg_min(c, pos) AS contexto
-    FROM e GROUP BY 1, 2""")
+    SELECT src, dst, texto AS valor, row_number() OVER (PARTITION BY src, dst ORDER BY pos) AS ordinal, arg_min(c, pos) OVER (PARTITION BY src, dst) AS contexto FROM e""")
 def _(fx):
     e = fx.spell().select(
         F.col("person_id").alias("src"), F.col("anio").alias("dst"), F.col("spell_id").alias("pos"),
@@ -116,9 +114,10 @@ def _(fx):
 
 @query("g13_matrix", "v_kin", """
     SELECT src_pais, count(*) FILTER (dst_pais = 'ASIA') AS "ASIA", count(*) FILTER (dst_pais = 'EUROPE') AS "EUROPE",
-           count(*) FILTER (dst_pais = 'NARNIA') AS "NARNIA" FROM v_kin GROUP BY 1""")
+           count(*) FILTER (dst_pais = 'AFRICA') AS "AFRICA", count(*) FILTER (dst_pais = 'AMERICA') AS "AMERICA",
+           count(*) FILTER (dst_pais = 'MIDDLE EAST') AS "MIDDLE EAST", count(*) FILTER (dst_pais = 'NARNIA') AS "NARNIA" FROM v_kin GROUP BY 1""")
 def _(fx):
-    return agg.matrix(fx.kin(), "src_pais", "dst_pais", ["ASIA", "EUROPE", "NARNIA"])
+    return agg.matrix(fx.kin(), "src_pais", "dst_pais", ["ASIA", "EUROPE", "AFRICA", "AMERICA", "MIDDLE EAST", "NARNIA"])
 
 
 @query("g14_to_long", "v_edge", """
@@ -127,23 +126,20 @@ def _(fx):
     return agg.to_long(fx.edge(), ["relation_type"], ["src", "dst"], "extremo", "id")
 
 
-@query("g15_densify", "v_kin", """
-    WITH n AS (SELECT src_familia, relation_type, count(*) AS n FROM v_kin WHERE clase_pais = 'Inter-país' AND dst_pais = 'ASIA' AND src_pais = 'EUROPE' GROUP BY 1, 2)
+@query("g15_densify", "v_lkin", """
+    WITH n AS (SELECT src_familia, relation_type, count(*) AS n FROM v_lkin GROUP BY 1, 2)
     SELECT f.src_familia, r.relation_type, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT src_familia FROM n) f
-    CROSS JOIN (SELECT DISTINCT relation_type FROM n) r LEFT JOIN n ON n.src_familia = f.src_familia AND n.relation_type = r.relation_type""")
+    CROSS JOIN (SELECT unnest(['conyuge', 'pareja', 'padres', 'hijos', 'hermanos', 'tutor']) AS relation_type) r
+    LEFT JOIN n ON n.src_familia = f.src_familia AND n.relation_type = r.relation_type""")
 def _(fx):
-    k = fx.kin().filter("clase_pais = 'Inter-país' AND dst_pais = 'ASIA' AND src_pais = 'EUROPE'")
-    return agg.densify(agg.count_by(k, ["src_familia", "relation_type"]), "src_familia", "relation_type", "n")
+    k = agg.count_by(fx.kin("linaje"), ["src_familia", "relation_type"])
+    return agg.densify(k, "src_familia", "relation_type", ["conyuge", "pareja", "padres", "hijos", "hermanos", "tutor"], "n")
 
 
-@query("g16_widen_ordinal", "v_edge_dense", """
-    WITH o AS (SELECT src, relation, row_number() OVER (PARTITION BY src ORDER BY relation) AS k FROM
-               (SELECT DISTINCT src, dst % 3 AS relation FROM v_edge_dense))
-    SELECT src, max(relation) FILTER (k = 1) AS familiar1, max(relation) FILTER (k = 2) AS familiar2, max(relation) FILTER (k = 3) AS familiar3
-    FROM o GROUP BY 1""")
+@query("g16_widen_ordinal", "v_edge", """
+    SELECT src, concat('familiar', CAST(row_number() OVER (PARTITION BY src ORDER BY dst, relation_type) AS VARCHAR)) AS ordinal, dst AS valor FROM v_edge""")
 def _(fx):
-    d = fx.edge_dense().select("src", (F.col("dst") % 3).alias("relation")).distinct()
-    return agg.widen_ordinal(d, "src", "relation", "familiar", [F.col("relation")])
+    return agg.widen_ordinal(fx.edge(), "src", "dst", "familiar", [F.col("dst")])
 
 
 @query("g17_coverage", "v_attr", """

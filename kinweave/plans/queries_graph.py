@@ -61,17 +61,17 @@ def _(fx):
     return graph.simplify(fx.edge())
 
 
-@query("n07_collapse", "v_edge_dense", "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM v_edge_dense")
+@query("n07_collapse", "v_edge", "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM v_edge")
 def _(fx):
-    return graph.collapse(fx.edge_dense())
+    return graph.collapse(fx.edge())
 
 
-MUTUAL = "mutual AS (SELECT x.src, x.dst FROM v_edge_dense x JOIN v_edge_dense y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst)"
+MUTUAL = "mutual AS (SELECT DISTINCT x.src, x.dst FROM v_edge x JOIN v_edge y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst)"
 
 
-@query("n08_mutual", "v_edge_dense", f"WITH {MUTUAL} SELECT * FROM mutual")
+@query("n08_mutual", "v_edge", f"WITH {MUTUAL} SELECT * FROM mutual")
 def _(fx):
-    return graph.mutual(fx.edge_dense())
+    return graph.mutual(fx.edge())
 
 
 COMP = "r(id, m) AS (SELECT DISTINCT a, a FROM v_adj UNION SELECT e.b, r.m FROM r JOIN v_adj e ON r.id = e.a), comp AS (SELECT id, min(m) AS component FROM r GROUP BY id)"
@@ -79,13 +79,13 @@ COMP = "r(id, m) AS (SELECT DISTINCT a, a FROM v_adj UNION SELECT e.b, r.m FROM
 
 @query("n09_components", "v_adj", f"WITH RECURSIVE {COMP} SELECT id, component FROM comp")
 def _(fx):
-    return graph.components(graph.simplify(fx.edge_sparse()))
+    return graph.components(graph.simplify(fx.edge()))
 
 
 @query("n09_component_summary", "v_adj", f"""WITH RECURSIVE {COMP}, s AS (SELECT component, count(*) AS n FROM comp GROUP BY 1)
     SELECT count(*) AS n_componentes, max(n) AS giant_size FROM s""")
 def _(fx):
-    sizes = graph.component_sizes(graph.components(graph.simplify(fx.edge_sparse())))
+    sizes = graph.component_sizes(graph.components(graph.simplify(fx.edge())))
     return sizes.agg(F.count("*").alias("n_componentes"), F.max("n").alias("giant_size"))
 
 
@@ -98,11 +98,11 @@ def _size(e):
     return ends.agg(F.count_distinct("id").alias("n"), (F.count("*") / 2).cast("long").alias("m"))
 
 
-@query("n10_density", "v_edge_dense v_dsimple", f"""
-    WITH {_NM.format('v_edge_dense')}, n2 AS (SELECT count(*) AS m2 FROM v_dsimple)
+@query("n10_density", "v_edge v_simple", f"""
+    WITH {_NM.format('v_edge')}, n2 AS (SELECT count(*) AS m2 FROM v_simple)
     SELECT round(m / (n * (n - 1)), 6) AS dirigida, round(m2 / (n * (n - 1) / 2), 6) AS no_dirigida FROM n, m, n2""")
 def _(fx):
-    e = fx.edge_dense()
+    e = fx.edge()
     low = F.least("src", "dst")
     pair = F.when(F.col("src") != F.col("dst"), F.struct(low, F.greatest("src", "dst")))
     ends = F.explode(F.array("src", "dst")).alias("id")
@@ -111,33 +111,33 @@ def _(fx):
     return s.select(F.round(graph.density("n", "m", True), 6).alias("dirigida"), F.round(graph.density("n", "m2", False), 6).alias("no_dirigida"))
 
 
-@query("n11_avg_degree", "v_dsimple", f"WITH {_NM.format('v_dsimple')} SELECT n, m, round(2 * m / n, 6) AS grado_medio FROM n, m")
+@query("n11_avg_degree", "v_simple", f"WITH {_NM.format('v_simple')} SELECT n, m, round(2 * m / n, 6) AS grado_medio FROM n, m")
 def _(fx):
-    s = _size(graph.simplify(fx.edge_dense()))
+    s = _size(graph.simplify(fx.edge()))
     return s.select("n", "m", F.round(graph.avg_degree("n", "m"), 6).alias("grado_medio"))
 
 
-@query("n12_transitivity", "v_dadj", """
-    WITH t AS (SELECT count(*) AS t FROM v_dadj x JOIN v_dadj y ON x.b = y.a JOIN v_dadj z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.b < y.b),
-    w AS (SELECT CAST(sum(d * (d - 1) // 2) AS BIGINT) AS w FROM (SELECT count(*) AS d FROM v_dadj GROUP BY a))
+@query("n12_transitivity", "v_adj", """
+    WITH t AS (SELECT count(*) AS t FROM v_adj x JOIN v_adj y ON x.b = y.a JOIN v_adj z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.b < y.b),
+    w AS (SELECT CAST(sum(d * (d - 1) // 2) AS BIGINT) AS w FROM (SELECT count(*) AS d FROM v_adj GROUP BY a))
     SELECT t AS triangulos, w AS triples, round(3 * t / nullif(w, 0), 9) AS transitividad FROM t, w""")
 def _(fx):
-    return graph.transitivity(fx.edge_dense()).withColumn("transitividad", F.round("transitividad", 9))
+    return graph.transitivity(fx.edge()).withColumn("transitividad", F.round("transitividad", 9))
 
 
-# Distances by walks without repeated pairs; `hops` bounds the recursion above the longest path.
-def dist_sql(adj: str, name: str = "dist", hops: int = 24) -> str:
+# Distances by walks; no shortest path has as many steps as there are nodes, so the recursion ends by itself.
+def dist_sql(adj: str, name: str = "dist") -> str:
     return (
         f"w_{name}(s, v, d) AS (SELECT DISTINCT a, a, 0 FROM {adj} UNION SELECT DISTINCT b, b, 0 FROM {adj} UNION "
-        f"SELECT w.s, e.b, w.d + 1 FROM w_{name} w JOIN {adj} e ON w.v = e.a WHERE w.d < {hops}), "
+        f"SELECT w.s, e.b, w.d + 1 FROM w_{name} w JOIN {adj} e ON w.v = e.a WHERE w.d < (SELECT count(DISTINCT a) FROM {adj})), "
         f"{name} AS (SELECT s, v, min(d) AS d FROM w_{name} GROUP BY 1, 2)"
     )
 
 
-def betweenness_sql(adj: str, half: bool = True, hops: int = 24) -> str:
+def betweenness_sql(adj: str, half: bool = True) -> str:
     """Every shortest path is one row of `p`; parallel edges make parallel rows."""
     return (
-        f"{dist_sql(adj, hops=hops)}, p(s, v, d) AS (SELECT s, v, 0 FROM dist WHERE s = v UNION ALL SELECT p.s, e.b, p.d + 1 "
+        f"{dist_sql(adj)}, p(s, v, d) AS (SELECT s, v, 0 FROM dist WHERE s = v UNION ALL SELECT p.s, e.b, p.d + 1 "
         f"FROM p JOIN {adj} e ON p.v = e.a JOIN dist q ON q.s = p.s AND q.v = e.b AND q.d = p.d + 1), "
         "sg AS (SELECT s, v, d, count(*) AS n FROM p GROUP BY 1, 2, 3), "
         f"bt AS (SELECT x.v AS id, sum(x.n::DOUBLE * y.n / z.n) {'/ 2' if half else ''} AS b FROM sg x JOIN sg y ON x.v = y.s "
@@ -145,75 +145,75 @@ def betweenness_sql(adj: str, half: bool = True, hops: int = 24) -> str:
     )
 
 
-@query("n13_avg_path_giant", "v_adj", f"""WITH RECURSIVE {COMP}, {dist_sql('v_adj')},
+HCOMP = COMP.replace("v_adj", "v_hadj")
+
+
+@query("n13_avg_path_giant", "v_hadj", f"""WITH RECURSIVE {HCOMP}, {dist_sql('v_hadj')},
     g AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)
     SELECT count(*) AS pares, round(avg(d), 9) AS distancia_media FROM dist JOIN comp ON s = id WHERE d > 0 AND component = (SELECT component FROM g)""")
 def _(fx):
-    e = cut(graph.simplify(fx.edge_sparse()))
+    e = cut(graph.simplify(fx.house_links()))
     giant = graph.giant_nodes(graph.components(e))
     return graph.avg_path(graph.induced(e, giant)).withColumn("distancia_media", F.round("distancia_media", 9))
 
 
-@query("n14_betweenness", "v_adj", f"""WITH RECURSIVE {betweenness_sql('v_adj')}
-    SELECT a AS id, round(coalesce(b, 0), 6) AS betweenness FROM (SELECT DISTINCT a FROM v_adj) LEFT JOIN bt ON a = id""")
+@query("n14_betweenness", "v_hadj", f"""WITH RECURSIVE {betweenness_sql('v_hadj')}
+    SELECT a AS id, round(coalesce(b, 0), 6) AS betweenness FROM (SELECT DISTINCT a FROM v_hadj) LEFT JOIN bt ON a = id""")
 def _(fx):
-    e = graph.simplify(fx.edge_sparse())
-    return graph.betweenness(e).withColumn("betweenness", F.round("betweenness", 6))
+    return graph.betweenness(graph.simplify(fx.house_links())).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query("n14_betweenness_directed", "v_edge_sparse", f"""
-    WITH RECURSIVE da AS (SELECT DISTINCT src AS a, dst AS b FROM v_edge_sparse WHERE src <> dst), {betweenness_sql('da', half=False)}
-    SELECT n.id, round(coalesce(b, 0), 6) AS betweenness FROM (SELECT src AS id FROM v_edge_sparse UNION SELECT dst FROM v_edge_sparse) n LEFT JOIN bt ON n.id = bt.id""")
+@query("n14_betweenness_directed", "v_house v_hadj", f"""
+    WITH RECURSIVE da AS (SELECT src AS a, dst AS b FROM v_house), {betweenness_sql('da', half=False)}
+    SELECT n.id, round(coalesce(b, 0), 6) AS betweenness FROM (SELECT DISTINCT a AS id FROM v_hadj) n LEFT JOIN bt ON n.id = bt.id""")
 def _(fx):
-    return graph.betweenness(fx.edge_sparse(), directed=True).withColumn("betweenness", F.round("betweenness", 6))
+    return graph.betweenness(fx.house_links(), directed=True).withColumn("betweenness", F.round("betweenness", 6))
 
 
-def communities_sql(edges: str, ids: str, rounds: int = 5) -> str:
-    """Unrolled label rounds."""
-    out = [f"ce AS (SELECT src AS a, dst AS b FROM {edges} UNION ALL SELECT dst, src FROM {edges})", f"l0 AS (SELECT id, id AS c FROM ({ids}))"]
-    for k in range(1, rounds + 1):
+def communities_sql(edges: str, ids: str, rounds: int = 40) -> str:
+    """Unrolled label rounds, well past the round in which no node moves."""
+    out = [f"ce AS MATERIALIZED (SELECT src AS a, dst AS b FROM {edges} UNION ALL SELECT dst, src FROM {edges})", f"l0 AS MATERIALIZED (SELECT id, id AS c FROM ({ids}))"]
+    for k in range(rounds):
+        move = f"instr('13579bdf', right(md5(concat(v.id::VARCHAR, ':{k}')), 1)) > 0"
         out.append(
-            f"l{k} AS (SELECT id, c FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, c) AS rn FROM "
-            f"(SELECT ce.a AS id, l.c FROM ce JOIN l{k - 1} l ON ce.b = l.id UNION ALL SELECT id, c FROM l{k - 1}) GROUP BY id, c) WHERE rn = 1)")
-    return ", ".join(out)
+            f"l{k + 1} AS MATERIALIZED (SELECT id, CASE WHEN {move} THEN c ELSE own END AS c FROM (SELECT v.id, v.c, o.c AS own, row_number() OVER "
+            f"(PARTITION BY v.id ORDER BY count(*) DESC, v.c) AS rn FROM "
+            f"(SELECT ce.a AS id, l.c FROM ce JOIN l{k} l ON ce.b = l.id UNION ALL SELECT id, c FROM l{k}) v JOIN l{k} o ON o.id = v.id GROUP BY v.id, v.c, o.c) v WHERE rn = 1)")
+    return ", ".join([*out, f"settled AS (SELECT * FROM l{rounds})"])
 
 
-DIDS = "SELECT src AS id FROM v_edge_dense UNION SELECT dst FROM v_edge_dense"
-ANY5 = communities_sql("v_dsimple", DIDS)
-MUT5 = communities_sql("mutual", DIDS)
+IDS = "SELECT src AS id FROM v_edge UNION SELECT dst FROM v_edge"
+ANY = communities_sql("v_simple", IDS)
+BOTH_WAYS = communities_sql("mutual", IDS)
 
 
-@query("n15_communities_mutual", "v_edge_dense", f"WITH {MUTUAL}, {MUT5} SELECT id, c AS community FROM l5")
+@query("n15_communities_mutual", "v_edge", f"WITH {MUTUAL}, {BOTH_WAYS} SELECT id, c AS community FROM settled")
 def _(fx):
-    return graph.communities(fx.edge_dense(), 5, "mutual")
+    return graph.communities(fx.edge(), "mutual")
 
 
-@query("n15_modularity", "v_dsimple v_edge_dense", f"""WITH {ANY5},
-    x AS (SELECT a.c AS c, CASE WHEN a.c = b.c THEN 1 ELSE 0 END AS l FROM v_dsimple e JOIN l5 a ON e.src = a.id JOIN l5 b ON e.dst = b.id
-          UNION ALL SELECT b.c, 0 FROM v_dsimple e JOIN l5 b ON e.dst = b.id),
+@query("n15_modularity", "v_simple v_edge", f"""WITH {ANY},
+    x AS (SELECT a.c AS c, CASE WHEN a.c = b.c THEN 1 ELSE 0 END AS l FROM v_simple e JOIN settled a ON e.src = a.id JOIN settled b ON e.dst = b.id
+          UNION ALL SELECT b.c, 0 FROM v_simple e JOIN settled b ON e.dst = b.id),
     g AS (SELECT c, sum(l) AS l, count(*) AS d FROM x GROUP BY c)
     SELECT round(2.0 * sum(l)::DOUBLE / sum(d) - sum(d * d)::DOUBLE / (sum(d)::DOUBLE * sum(d)::DOUBLE), 9) AS modularidad FROM g""")
 def _(fx):
-    e = fx.edge_dense()
+    e = fx.edge()
     return graph.modularity(e, graph.communities(e)).withColumn("modularidad", F.round("modularidad", 9))
 
 
-@query("n16_communities_any", "v_dsimple v_edge_dense", f"""WITH {ANY5}
-    SELECT id, c AS community, count(*) OVER (PARTITION BY c) AS size FROM l5""")
+@query("n16_communities_any", "v_simple v_edge", f"""WITH {ANY}
+    SELECT id, c AS community, count(*) OVER (PARTITION BY c) AS size FROM settled""")
 def _(fx):
-    return graph.communities_any(fx.edge_dense())
+    return graph.communities_any(fx.edge())
 
 
-@query("n17_mixed_communities", "v_dsimple v_edge_dense", f"""WITH {ANY5},
-    m AS (SELECT c, r_name FROM l5 JOIN supplier ON id = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-    SELECT c AS community, count(*) FILTER (r_name = 'ASIA') AS n_a, count(*) FILTER (r_name = 'EUROPE') AS n_b, count(*) AS total
-    FROM m GROUP BY 1 HAVING n_a > 0 AND n_b > 0""")
+@query("n17_mixed_communities", "v_edge v_person", f"""WITH {MUTUAL}, {BOTH_WAYS}
+    SELECT c AS community, count(*) FILTER (pais = 'ASIA') AS n_a, count(*) FILTER (pais = 'EUROPE') AS n_b, count(*) AS total
+    FROM settled JOIN v_person ON id = person_id GROUP BY 1 HAVING n_a > 0 AND n_b > 0""")
 def _(fx):
-    c = graph.communities(fx.edge_dense())
-    s, n, r = fx.t("supplier"), fx.t("nation"), fx.t("region")
-    where = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-        F.col("s_suppkey").alias("id"), F.col("r_name").alias("pais"))
-    return graph.mixed_communities(c.join(where, "id"), "pais", "ASIA", "EUROPE")
+    where = fx.person().select(F.col("person_id").alias("id"), "pais")
+    return graph.mixed_communities(graph.communities(fx.edge(), "mutual").join(where, "id"), "pais", "ASIA", "EUROPE")
 
 
 @query("n18_contract", "v_kin", """
@@ -238,7 +238,7 @@ MARRIAGE = """
     ma AS (SELECT src AS a, dst AS b FROM links UNION ALL SELECT dst, src FROM links)"""
 
 
-@query("n19_marriage_network", "v_lkin", f"""WITH RECURSIVE {MARRIAGE}, {betweenness_sql('ma', hops=6)},
+@query("n19_marriage_network", "v_lkin", f"""WITH RECURSIVE {MARRIAGE}, {betweenness_sql('ma')},
     dg AS (SELECT a AS id, count(*) AS grado FROM ma GROUP BY 1)
     SELECT dg.id, grado, round(coalesce(b, 0), 6) AS betweenness, grado >= (SELECT quantile_cont(grado, 0.8) FROM dg) AS familia_central
     FROM dg LEFT JOIN bt ON dg.id = bt.id""")
@@ -247,18 +247,15 @@ def _(fx):
     return score.withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query("n20_neighbour_groups", "v_adj v_person", f"""WITH RECURSIVE {betweenness_sql('v_adj')},
-    f AS (SELECT a AS id, count(DISTINCT linaje) AS familias_conectadas FROM v_adj JOIN v_person ON b = person_id GROUP BY 1),
-    n AS (SELECT count(*) AS n FROM f)
-    SELECT f.id, p.linaje AS familia, round(coalesce(b, 0) / ((n.n - 1) * (n.n - 2) / 2), 9) AS centralidad, familias_conectadas
-    FROM f JOIN v_person p ON f.id = p.person_id LEFT JOIN bt ON f.id = bt.id, n""")
+@query("n20_neighbour_groups", "v_adj v_person", """
+    WITH f AS (SELECT a AS id, count(*) AS grado, count(DISTINCT linaje) AS familias_conectadas FROM v_adj LEFT JOIN v_person ON b = person_id GROUP BY 1)
+    SELECT f.id, p.linaje AS familia, grado, familias_conectadas FROM f JOIN v_person p ON f.id = p.person_id""")
 def _(fx):
-    e = cut(graph.simplify(fx.edge_sparse()))
+    e = cut(graph.simplify(fx.edge()))
     member = graph.membership(fx.person(), "person_id", "linaje")
-    score = graph.betweenness(e, normalized=True).withColumnRenamed("betweenness", "centralidad")
-    out = graph.neighbour_groups(e, member).join(score, "id").join(member, "id").withColumnRenamed("grupo", "familia")
-    out = out.withColumn("centralidad", F.round("centralidad", 9))
-    return out.orderBy(F.desc("familias_conectadas"), F.desc("centralidad"), "id")
+    out = graph.neighbour_groups(e, member).join(graph.degree(e).select("id", "grado"), "id")
+    out = out.join(member, "id").withColumnRenamed("grupo", "familia")
+    return out.orderBy(F.desc("familias_conectadas"), F.desc("grado"), "id")
 
 
 @query("n21_inter_group", "v_kin", "SELECT src, dst, relation_type, src_familia, dst_familia FROM v_kin WHERE src_familia <> dst_familia")
@@ -276,8 +273,7 @@ def _(fx):
 
 
 @query("n23_pair_summary", "v_kin v_person", """
-    WITH c AS (SELECT DISTINCT src_pais AS p FROM v_kin UNION SELECT dst_pais FROM v_kin WHERE dst_pais IS NOT NULL),
-    pr AS (SELECT x.p AS a, y.p AS b FROM c x JOIN c y ON x.p < y.p),
+    WITH pr AS (SELECT DISTINCT least(src_pais, dst_pais) AS a, greatest(src_pais, dst_pais) AS b FROM v_kin WHERE src_pais <> dst_pais),
     e AS (SELECT pr.a, pr.b, k.src, k.dst, k.src_pais, coalesce(k.dst_pais, 'Desconocido') AS dst_pais FROM pr JOIN v_kin k
           ON k.src_pais IN (pr.a, pr.b) AND (k.dst_pais IS NULL OR k.dst_pais IN (pr.a, pr.b))),
     n AS (SELECT a, b, src AS id, src_pais AS pais FROM e UNION SELECT a, b, dst, dst_pais FROM e),
@@ -285,9 +281,7 @@ def _(fx):
     SELECT n.a, n.b, count(*) AS nodos, count(*) FILTER (pais = n.a) AS n_a, count(*) FILTER (pais = n.b) AS n_b, any_value(cruces) AS cruces
     FROM n JOIN x ON n.a = x.a AND n.b = x.b GROUP BY 1, 2""")
 def _(fx):
-    k = fx.kin().select("src", "dst", "src_pais", "dst_pais")
-    all_nodes = k.select(F.col("src").alias("id"), F.col("src_pais").alias("pais")).union(k.select("dst", "dst_pais")).dropna().distinct()
-    return graph.pair_summary(k, all_nodes)
+    return graph.pair_summary(fx.kin().select("src", "dst", "src_pais", "dst_pais"))
 
 
 @query("n24_k_hop", "v_edge v_person", """

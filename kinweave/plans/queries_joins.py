@@ -32,14 +32,14 @@ def _(fx):
 
 
 @query("j04_full_outer_zero", "v_kin", """
-    WITH o AS (SELECT src_pais AS pais, count(*) AS salientes FROM v_kin WHERE relation_type = 'conyuge' AND src_pais <> 'ASIA' GROUP BY 1),
-    i AS (SELECT dst_pais AS pais, count(*) AS entrantes FROM v_kin WHERE relation_type = 'pareja' AND dst_pais <> 'EUROPE' GROUP BY 1)
+    WITH o AS (SELECT src_pais AS pais, count(*) AS salientes FROM v_kin WHERE relation_type = 'conyuge' GROUP BY 1),
+    i AS (SELECT dst_pais AS pais, count(*) AS entrantes FROM v_kin WHERE relation_type = 'pareja' AND dst_pais IS NOT NULL GROUP BY 1)
     SELECT coalesce(o.pais, i.pais) AS pais, coalesce(salientes, 0) AS salientes, coalesce(entrantes, 0) AS entrantes,
            coalesce(salientes, 0) + coalesce(entrantes, 0) AS total FROM o FULL JOIN i ON o.pais = i.pais""")
 def _(fx):
     k = fx.kin()
-    a = k.filter("relation_type = 'conyuge' AND src_pais <> 'ASIA'").groupBy(F.col("src_pais").alias("pais")).agg(F.count("*").alias("salientes"))
-    b = k.filter("relation_type = 'pareja' AND dst_pais <> 'EUROPE'").groupBy(F.col("dst_pais").alias("pais")).agg(F.count("*").alias("entrantes"))
+    a = k.filter("relation_type = 'conyuge'").groupBy(F.col("src_pais").alias("pais")).agg(F.count("*").alias("salientes"))
+    b = k.filter("relation_type = 'pareja' AND dst_pais IS NOT NULL").groupBy(F.col("dst_pais").alias("pais")).agg(F.count("*").alias("entrantes"))
     return joins.full_zero(a, b, ["pais"])
 
 
@@ -70,15 +70,14 @@ def words_sql(text: str, own: str) -> str:
 
 @query("j07_dictionary_join", "", words_sql("concat_ws(' ', text, source)", "lang"))
 def _(fx):
-    d = fx.text("documents").select("doc_id", "lang", "text", "source")
+    d = fx.t("documents").select("doc_id", "lang", "text", "source")
     return joins.dictionary_join(d, ["text", "source"], WORDS, "lang").select("doc_id", "lang", "vinculo")
 
 
-@query("j08_group_pairs", "v_person", """
-    WITH g AS (SELECT DISTINCT linaje FROM v_person)
-    SELECT x.linaje AS a, y.linaje AS b FROM g x JOIN g y ON x.linaje < y.linaje""")
+@query("j08_group_pairs", "v_kin", """
+    SELECT DISTINCT least(src_familia, dst_familia) AS a, greatest(src_familia, dst_familia) AS b FROM v_kin WHERE src_familia <> dst_familia""")
 def _(fx):
-    return joins.group_pairs(fx.person(), "linaje")
+    return joins.group_pairs(fx.kin(), "src_familia", "dst_familia")
 
 
 @query("j09_within_pairs", "v_person", """
@@ -138,11 +137,10 @@ def _(fx):
 
 
 @query("j13_attach_aggregates", "v_person v_spell v_edge", """
-    WITH c AS (SELECT person_id, string_agg(DISTINCT cargo_text, ' | ' ORDER BY cargo_text) AS cargos, count(*) AS n_cargos FROM v_spell GROUP BY 1),
-    r AS (SELECT e.src AS person_id, string_agg(DISTINCT b.nombre, ' | ' ORDER BY b.nombre) AS familiares,
-                 string_agg(DISTINCT e.relation_type, ', ' ORDER BY e.relation_type) AS tipos_relacion, count(*) AS n_familiares
+    WITH c AS (SELECT person_id, count(*) AS n_cargos, count(DISTINCT cargo_text) AS n_cargos_distintos FROM v_spell GROUP BY 1),
+    r AS (SELECT e.src AS person_id, count(*) AS n_familiares, count(DISTINCT e.relation_type) AS n_tipos_relacion
           FROM v_edge e JOIN v_person b ON e.dst = b.person_id GROUP BY 1)
-    SELECT p.person_id, p.nombre, CAST(1 AS BIGINT) AS parte, cargos, n_cargos, familiares, n_familiares, tipos_relacion
+    SELECT p.person_id, p.nombre, n_cargos, n_cargos_distintos, n_familiares, n_tipos_relacion
     FROM v_person p LEFT JOIN c ON p.person_id = c.person_id LEFT JOIN r ON p.person_id = r.person_id""")
 def _(fx):
     p = fx.person().select("person_id", "nombre")
@@ -155,15 +153,15 @@ def _(fx):
 # --- set operations -------------------------------------------------------------
 
 @query("u01_union_all", "v_person", """
-    SELECT person_id, nombre, pais, CAST(NULL AS VARCHAR) AS familia FROM v_person WHERE pais = 'ASIA'
-    UNION ALL SELECT person_id, nombre, NULL, familia FROM v_person WHERE pais = 'EUROPE'
-    UNION ALL SELECT person_id, NULL, NULL, familia FROM v_person WHERE pais = 'AFRICA'""")
+    SELECT person_id, nombre, pais, CAST(NULL AS VARCHAR) AS familia FROM v_person
+    UNION ALL SELECT person_id, nombre, NULL, familia FROM v_person
+    UNION ALL SELECT person_id, NULL, NULL, familia FROM v_person""")
 def _(fx):
     p = fx.person()
     return sets.union_all([
-        p.filter("pais = 'ASIA'").select("person_id", "nombre", "pais"),
-        p.filter("pais = 'EUROPE'").select("person_id", "nombre", "familia"),
-        p.filter("pais = 'AFRICA'").select("familia", "person_id"),
+        p.select("person_id", "nombre", "pais"),
+        p.select("person_id", "nombre", "familia"),
+        p.select("familia", "person_id"),
     ])
 
 

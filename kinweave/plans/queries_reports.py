@@ -9,11 +9,10 @@ from kinweave.functions.text import clean_json
 from kinweave.operators import graph, rules
 from kinweave.plans import reports as rp
 from kinweave.plans.fixtures import PERIODS
-from kinweave.plans.queries_graph import DIDS, MARRIAGE, MUTUAL, betweenness_sql, communities_sql, dist_sql
+from kinweave.plans.queries_graph import BOTH_WAYS, MARRIAGE, MUTUAL, betweenness_sql, dist_sql
 from kinweave.plans.queries_rules import DST_CTE, OFFICE_CTE, PLACES, SPECIAL_CTE, _office, dst_edges, hit_sql, special
 from kinweave.plans.queries_text import _json
 from kinweave.plans.registry import query
-from kinweave.session import spread
 
 SPOUSE = "relation_type IN ('conyuge', 'pareja')"
 INTRA = "clase_familia = 'Intra-familia'"
@@ -69,27 +68,27 @@ def _(fx):
     return rp.elite_flows(fx.kin(), fx.attr(), "cargos")
 
 
-@query("a07_network_metrics", "v_kin", f"""
+@query("a07_network_metrics", "v_kin v_house", f"""
     WITH RECURSIVE e AS (SELECT src, dst, src_pais AS g FROM v_kin WHERE clase_pais = 'Intra-país'),
     nd AS (SELECT src AS id, src_pais AS g FROM v_kin UNION SELECT dst, dst_pais FROM v_kin WHERE dst_pais IS NOT NULL),
     u AS (SELECT DISTINCT least(src, dst) AS s, greatest(src, dst) AS d, g FROM e), us AS (SELECT * FROM u WHERE s <> d),
     v_adj AS (SELECT s AS a, d AS b FROM us UNION ALL SELECT d, s FROM us),
     r(id, m) AS (SELECT id, id FROM nd UNION SELECT x.b, r.m FROM r JOIN v_adj x ON r.id = x.a), comp AS (SELECT id, min(m) AS component FROM r GROUP BY id),
     cs AS (SELECT g, component, count(*) AS n FROM comp JOIN nd ON comp.id = nd.id GROUP BY 1, 2),
-    gi AS (SELECT g, component FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, component) AS rn FROM cs) WHERE rn = 1),
-    {dist_sql('v_adj')},
-    ap AS (SELECT gi.g, avg(d) AS ap FROM dist JOIN comp ON dist.s = comp.id JOIN gi ON gi.component = comp.component WHERE d > 0 GROUP BY 1),
+    ha AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM v_house WHERE pa = pb UNION ALL SELECT dst, src FROM v_house WHERE pa = pb)),
+    {dist_sql('ha')},
+    ap AS (SELECT string_split(s, '/')[1] AS g, avg(d) AS ap FROM dist WHERE d > 0 GROUP BY 1),
     tr AS (SELECT nd.g, count(*) AS t FROM v_adj x JOIN v_adj y ON x.b = y.a JOIN v_adj z ON y.b = z.a AND z.b = x.a JOIN nd ON nd.id = x.a WHERE x.a < x.b AND x.b < y.b GROUP BY 1),
     wd AS (SELECT nd.g, sum(k * (k - 1) / 2) AS w FROM (SELECT a, count(*) AS k FROM v_adj GROUP BY 1) JOIN nd ON nd.id = a GROUP BY 1)
     SELECT x.g AS pais, x.n AS n_nodes, m.m AS n_edges, round(m.m / (x.n * (x.n - 1)), 4) AS density, round(2 * um.m / x.n, 2) AS avg_degree,
-           round(3 * coalesce(tr.t, 0) / nullif(wd.w, 0), 4) AS transitivity, c.k AS n_componentes, c.mx AS giant_size, round(ap.ap, 3) AS avg_path_giant
+           round(3 * coalesce(tr.t, 0) / nullif(wd.w, 0), 4) AS transitivity, c.k AS n_componentes, c.mx AS giant_size, round(ap.ap, 3) AS avg_path_houses
     FROM (SELECT g, count(*) AS n FROM nd GROUP BY 1) x JOIN (SELECT g, count(*) AS m FROM e GROUP BY 1) m ON x.g = m.g
     JOIN (SELECT g, count(*) AS m FROM u GROUP BY 1) um ON x.g = um.g JOIN (SELECT g, count(*) AS k, max(n) AS mx FROM cs GROUP BY 1) c ON x.g = c.g
     LEFT JOIN wd ON x.g = wd.g LEFT JOIN tr ON x.g = tr.g LEFT JOIN ap ON x.g = ap.g""")
 def _(fx):
     k = fx.kin()
     ends = k.select(F.col("src").alias("id"), F.col("src_pais").alias("pais")).union(k.select("dst", "dst_pais")).dropna().distinct()
-    return rp.network_metrics(k, ends)
+    return rp.network_metrics(k, ends, fx.house_links(within=True))
 
 
 @query("a08_country_flows", "v_kin", "SELECT src_pais, dst_pais, count(*) AS n FROM v_kin WHERE clase_pais = 'Inter-país' GROUP BY 1, 2")
@@ -128,7 +127,7 @@ _LABELS = """
 
 def _labelled(fx):
     good = F.concat(F.lit('[{"label": "k'), "user_id", F.lit('\x02"}, {"label": "fijo"}, {"label": " "}]'))
-    return fx.text("events").select(F.col("event_type").alias("pais"), F.when(F.col("event_id") % 7 == 0, "roto").otherwise(good).alias("j"))
+    return fx.t("events").select(F.col("event_type").alias("pais"), F.when(F.col("event_id") % 7 == 0, "roto").otherwise(good).alias("j"))
 
 
 @query("a11_label_frequencies", "", f"""WITH {_LABELS}
@@ -166,11 +165,11 @@ def _(fx):
 
 @query("a13_surnames_of_one_period", "v_spell v_person", """
     WITH m AS (SELECT concat('p', CAST(person_id AS VARCHAR), 'x') AS surname_1, CASE WHEN anio < 1997 THEN 'Pre-1997' WHEN anio < 1999 THEN '1997-1998' ELSE '1999+' END AS periodo
-               FROM v_spell WHERE cargo_text = '1-urgent'),
+               FROM v_spell ),
     s AS (SELECT surname_1, count(DISTINCT periodo) AS n_periodos, min(periodo) AS periodos, count(*) AS total_cargos FROM m GROUP BY 1)
     SELECT *, CASE WHEN periodos = 'Pre-1997' THEN 'desaparecido' ELSE 'nuevo' END AS clase FROM s WHERE n_periodos = 1""")
 def _(fx):
-    m = fx.mention().filter("cargo_text = '1-urgent'").select(F.concat(F.lit("p"), "person_id", F.lit("x")).alias("surname_1"), "periodo")
+    m = fx.mention().select(F.concat(F.lit("p"), "person_id", F.lit("x")).alias("surname_1"), "periodo")
     return rp.surnames_of_one_period(m, "Pre-1997")
 
 
@@ -209,7 +208,7 @@ def _(fx):
 
 
 @query("a17_decade_trend_dense", "v_spell v_person", f"""WITH {_TREND}
-    SELECT d.decade, s.surname_1, coalesce(n, 0) AS n FROM (SELECT DISTINCT decade FROM tr) d CROSS JOIN (SELECT DISTINCT surname_1 FROM tr) s
+    SELECT d.decade, s.surname_1, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range(1800, 2021, 10)) AS INTEGER) AS decade) d CROSS JOIN (SELECT DISTINCT surname_1 FROM tr) s
     LEFT JOIN tr ON tr.decade = d.decade AND tr.surname_1 = s.surname_1""")
 def _(fx):
     return rp.decade_trend(_mentions(fx), 12, dense=True)
@@ -269,7 +268,7 @@ def _(fx):
     return graph.contract(k, "src_familia", "dst_familia")
 
 
-@query("a22_central_families", "v_lkin", f"""WITH RECURSIVE {MARRIAGE}, {betweenness_sql('ma', hops=6)},
+@query("a22_central_families", "v_lkin", f"""WITH RECURSIVE {MARRIAGE}, {betweenness_sql('ma')},
     dg AS (SELECT a AS id, count(*) AS grado FROM ma GROUP BY 1)
     SELECT dg.id AS familia, grado, round(coalesce(b, 0), 6) AS betweenness, grado >= (SELECT quantile_cont(grado, 0.8) FROM dg) AS familia_central
     FROM dg LEFT JOIN bt ON dg.id = bt.id ORDER BY grado DESC, dg.id LIMIT 15""")
@@ -282,12 +281,13 @@ _INTRA_ADJ = """
     ia AS (SELECT s AS a, d AS b FROM us UNION ALL SELECT d, s FROM us), dg AS (SELECT a AS id, count(*) AS grado FROM ia GROUP BY 1)"""
 
 
-@query("a23_top_connectors", "v_kin v_person", f"""WITH RECURSIVE {_INTRA_ADJ}, {betweenness_sql('ia')},
-    x AS (SELECT p.pais, p.nombre, p.url, grado, round(coalesce(b, 0), 6) AS betweenness, dg.id FROM dg JOIN v_person p ON dg.id = p.person_id LEFT JOIN bt ON dg.id = bt.id),
+@query("a23_top_connectors", "v_kin v_person", f"""WITH {_INTRA_ADJ},
+    f AS (SELECT a AS id, count(DISTINCT linaje) AS familias_conectadas FROM ia JOIN v_person ON b = person_id GROUP BY 1),
+    x AS (SELECT p.pais, p.nombre, p.url, grado, familias_conectadas, dg.id FROM dg JOIN v_person p ON dg.id = p.person_id JOIN f ON f.id = dg.id),
     y AS (SELECT *, rank() OVER (PARTITION BY pais ORDER BY grado DESC) AS r FROM x)
-    SELECT pais, nombre, url, grado, betweenness, row_number() OVER (PARTITION BY pais ORDER BY grado DESC, id) AS ranking FROM y WHERE r <= 15""")
+    SELECT pais, nombre, url, grado, familias_conectadas, row_number() OVER (PARTITION BY pais ORDER BY grado DESC, familias_conectadas DESC, id) AS ranking FROM y WHERE r <= 15""")
 def _(fx):
-    return rp.top_connectors(fx.kin(), fx.person())
+    return rp.top_connectors(fx.kin(), fx.person(), "linaje")
 
 
 @query("a24_connecting_families", "v_kin v_person", f"""WITH {_INTRA_ADJ},
@@ -317,14 +317,18 @@ def _(fx):
     return rp.country_union(e, said, "pais")
 
 
-@query("a26_bridge_persons", "", """
+def _near(word: str, own: str) -> str:
+    return f"CASE WHEN lang <> '{own}' THEN nullif(array_to_string(regexp_extract_all(text, '.{{0,50}}{word}.{{0,50}}'), ' | '), '') END"
+
+
+@query("a26_bridge_persons", "", f"""
     WITH d AS (SELECT doc_id, lang, text, CASE WHEN lang <> 'de' AND regexp_matches(lower(text), 'nicht|und .*der') THEN 'DE' END AS a,
                       CASE WHEN lang <> 'es' AND regexp_matches(lower(text), 'ción') THEN 'ES' END AS b FROM documents)
-    SELECT doc_id, concat_ws(', ', a, b) AS conecta_con, coalesce(nullif(array_to_string(regexp_extract_all(text, '.{0,50}nicht.{0,50}'), ' | '), ''),
-           nullif(array_to_string(regexp_extract_all(text, '.{0,50}ción.{0,50}'), ' | '), '')) AS contexto_conexion FROM d WHERE a IS NOT NULL OR b IS NOT NULL""")
+    SELECT doc_id, concat_ws(', ', a, b) AS conecta_con, coalesce({_near('nicht', 'de')}, {_near('ción', 'es')}) AS contexto_conexion
+    FROM d WHERE a IS NOT NULL OR b IS NOT NULL""")
 def _(fx):
-    d = fx.text("documents").withColumn("propio", F.upper("lang"))
-    out = rp.bridge_persons(d, "text", {"DE": ["nicht", "und .*der"], "ES": ["ción"]}, "propio", ["nicht", "ción"])
+    d = fx.t("documents").withColumnRenamed("lang", "propio")  # in small letters, as in a path
+    out = rp.bridge_persons(d, "text", {"DE": ["nicht", "und .*der"], "ES": ["ción"]}, "propio", {"DE": ["nicht"], "ES": ["ción"]})
     return out.select("doc_id", "conecta_con", "contexto_conexion")
 
 
@@ -355,9 +359,10 @@ def _(fx):
 
 @query("a28_shared_office_surnames", "v_attr", f"""WITH {OFFICE_CTE},
     x AS (SELECT o.pais, o.cargo_tipo, string_split(a.nombre, ' ') AS t FROM office o JOIN v_attr a ON o.person_id = a.person_id WHERE o.pais IN ('ASIA', 'EUROPE')),
-    sn AS (SELECT pais, cargo_tipo, t[-1] AS surname FROM x UNION ALL SELECT pais, cargo_tipo, t[-2] FROM x)
-    SELECT surname, count(*) FILTER (pais = 'ASIA') AS n_a, count(*) FILTER (pais = 'EUROPE') AS n_b, count(*) AS total, CAST(1 AS BIGINT) AS parte,
-           string_agg(DISTINCT cargo_tipo, ', ' ORDER BY cargo_tipo) AS cargos FROM sn WHERE length(surname) > 2 GROUP BY 1 HAVING n_a > 0 AND n_b > 0""")
+    sn AS (SELECT pais, cargo_tipo, t[-1] AS surname FROM x UNION ALL SELECT pais, cargo_tipo, t[-2] FROM x),
+    b AS (SELECT surname, count(*) FILTER (pais = 'ASIA') AS n_a, count(*) FILTER (pais = 'EUROPE') AS n_b, count(*) AS total FROM sn
+          WHERE length(surname) > 2 GROUP BY 1 HAVING n_a > 0 AND n_b > 0)
+    SELECT DISTINCT b.surname, n_a, n_b, total, cargo_tipo AS cargo FROM b JOIN sn ON b.surname = sn.surname WHERE cargo_tipo IS NOT NULL""")
 def _(fx):
     names = fx.attr().select("person_id", "nombre")
     return rp.shared_office_surnames(_office(fx).join(names, "person_id"), "ASIA", "EUROPE")
@@ -376,10 +381,9 @@ def _(fx):
 
 
 @query("a31_person_frame", "v_attr v_spell v_edge v_person", f"""WITH {_BORN},
-    c AS (SELECT person_id, string_agg(DISTINCT cargo_text, ' | ' ORDER BY cargo_text) AS cargos, count(*) AS n_cargos FROM v_spell GROUP BY 1),
-    r AS (SELECT e.src AS person_id, string_agg(DISTINCT p.nombre, ' | ' ORDER BY p.nombre) AS familiares, string_agg(DISTINCT e.relation_type, ', ' ORDER BY e.relation_type) AS tipos_relacion,
-                 count(*) AS n_familiares FROM v_edge e JOIN v_person p ON e.dst = p.person_id GROUP BY 1)
-    SELECT b.person_id, b.nombre, b.pais, b.linaje, CAST(1 AS BIGINT) AS parte, c.cargos, n_cargos, familiares, n_familiares, tipos_relacion,
+    c AS (SELECT person_id, count(*) AS n_cargos, count(DISTINCT cargo_text) AS n_cargos_distintos FROM v_spell GROUP BY 1),
+    r AS (SELECT e.src AS person_id, count(*) AS n_familiares, count(DISTINCT e.relation_type) AS n_tipos_relacion FROM v_edge e JOIN v_person p ON e.dst = p.person_id GROUP BY 1)
+    SELECT b.person_id, b.nombre, b.pais, b.linaje, n_cargos, n_cargos_distintos, n_familiares, n_tipos_relacion,
            CASE WHEN lower(linaje) = lower(pais) THEN 'mismo_pais' ELSE 'nacionalidad_distinta_al_pais' END AS conexion_otros_paises, y AS ano_nacimiento,
            CASE WHEN b.pais = 'ASIA' THEN CAST(1000 + b.person_id % 900 AS INTEGER) END AS ano_fallecimiento
     FROM b LEFT JOIN c ON b.person_id = c.person_id LEFT JOIN r ON b.person_id = r.person_id""")
@@ -393,10 +397,10 @@ def _(fx):
     return out.drop("fecha_nacimiento", "fecha_fallecimiento")
 
 
-@query("a32_community_sizes", "v_edge_dense", f"""WITH {MUTUAL}, {communities_sql('mutual', DIDS)}, g AS (SELECT c AS community, count(*) AS n FROM l5 GROUP BY 1)
+@query("a32_community_sizes", "v_edge", f"""WITH {MUTUAL}, {BOTH_WAYS}, g AS (SELECT c AS community, count(*) AS n FROM settled GROUP BY 1)
     SELECT community, n, CASE WHEN n >= 3 THEN concat('Clúster ', CAST(community AS VARCHAR)) ELSE 'Pequeño' END AS community_label FROM g""")
 def _(fx):
-    return graph.community_labels(graph.communities(fx.edge_dense(), 5, "mutual"), 3)
+    return graph.community_labels(graph.communities(fx.edge(), "mutual"), 3)
 
 
 @query("a33_infobox_offices", "v_spell", """
@@ -406,14 +410,14 @@ def _(fx):
     first = F.concat(F.lit("Ocupación: x | Senador por "), "o_orderstatus", F.lit(": | detalle: "), "anio",
                      F.lit(" | detalle: otro | Predecesor: A | Predecesor en el cargo: B | Sucesor: "), "cargo_text")
     text = F.when(F.col("anio") > 1997, F.concat(first, F.lit(" | alcalde "), "cargo_text")).otherwise(first)
-    return rp.infobox_offices(spread(fx.spell()).withColumn("infobox", text), "spell_id", "infobox")
+    return rp.infobox_offices(fx.spell().withColumn("infobox", text), "spell_id", "infobox")
 
 
 @query("a33_expanded_relations", "v_edge v_person", """
     SELECT e.src AS person_id, e.relation_type AS tipo_relacion, p.nombre, p.url FROM v_edge e JOIN v_person p ON e.dst = p.person_id
     UNION ALL SELECT person_id, 'familia', familia, NULL FROM v_person""")
 def _(fx):
-    long = fx.relation_text().groupBy("src", "parte").pivot("relation_type", fixed.RELATION_FIELDS).agg(F.first("texto"))
+    long = fx.relation_text().groupBy("src").pivot("relation_type", fixed.RELATION_FIELDS).agg(F.first("texto"))
     rows = long.withColumnRenamed("src", "person_id").unionByName(fx.person().select("person_id", "familia"), allowMissingColumns=True)
     return rp.expanded_relations(rows, "person_id", [*fixed.RELATION_FIELDS, "familia"])
 

@@ -24,7 +24,7 @@ def _persons(fx: Tables):
 def _(fx):
     path = new_folder(fx.spark, "s01")
     tables.write_table(_persons(fx), path, sep=";")
-    return tables.read_persons(fx.spark, path)
+    return tables.read_persons(fx.spark, path, multi_line=True)
 
 
 @query("s02_all_string_scan", "v_person", """
@@ -77,23 +77,24 @@ def _(fx):
 
 
 @query("s08_csv_table", "v_spell", """
-    SELECT CAST(person_id AS VARCHAR) AS person_id, cargo_text, CAST(anio AS VARCHAR) AS anio FROM v_spell""")
+    SELECT CAST(person_id AS VARCHAR) AS person_id, concat('"', cargo_text, '"', chr(10), 'sigue') AS cargo_text, CAST(anio AS VARCHAR) AS anio FROM v_spell""")
 def _(fx):
     path = new_folder(fx.spark, "s08")
-    tables.write_table(fx.spell().select("person_id", "cargo_text", "anio"), path)
+    cargo = F.concat(F.lit('"'), "cargo_text", F.lit('"\nsigue')).alias("cargo_text")
+    tables.write_table(fx.spell().select("person_id", cargo, "anio"), path)
     return tables.read_csv_table(fx.spark, path)
 
 
 # The text of a fragment in DuckDB.
 def _plain(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for code, char in html.ENTITIES:
+    for code, char in [*html.ENTITIES, *((f"&#{c};", chr(c)) for c in (34, 39, 225, 241)), ("&#xED;", "í"), html.AMPERSAND]:
         out = f"replace({out}, '{code}', '{char.replace(chr(39), chr(39) * 2)}')"
     return f"trim({out}, ' ')"
 
 
 def _pair_sql(label: str, value: str) -> str:
-    p = rf"(?s)<{label}(?:\s[^>]*)?>(.*?)</{label}>\s*<{value}(?:\s[^>]*)?>(.*?)</{value}>"
+    p = rf"(?is)<{label}(?:\s[^>]*)?>(.*?)</{label}>\s*<{value}(?:\s[^>]*)?>(.*?)</{value}>"
     return f"""
     WITH x AS (SELECT page_id, regexp_extract_all(html, '{p}', 1) AS l, regexp_extract_all(html, '{p}', 2) AS v FROM pages),
     y AS (SELECT page_id, unnest(generate_series(1, len(l))) AS i, l, v FROM x)
@@ -102,12 +103,12 @@ def _pair_sql(label: str, value: str) -> str:
 
 @query("s09_html_pairs", "", _pair_sql("h1", "p"))
 def _(fx):
-    return html.html_pairs(fx.text("pages"), label_tag="h1", value_tag="p")
+    return html.html_pairs(fx.t("pages"), label_tag="h1", value_tag="p")
 
 
 _LINKS = f"""
-    x AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h,
-                 regexp_extract_all(html, '(?s)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS t FROM pages),
+    x AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*("[^"]*"|''[^'']*'')[^>]*>(.*?)</a\\s*>', 1), lambda z: z[2:-2]) AS h,
+                 regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*("[^"]*"|''[^'']*'')[^>]*>(.*?)</a\\s*>', 2) AS t FROM pages),
     y AS (SELECT page_id, unnest(generate_series(1, len(h))) AS i, h, t FROM x),
     links AS (SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, {_plain('t[i]')} AS text, h[i] AS href FROM y)"""
 
@@ -116,7 +117,7 @@ _LINKS = f"""
     SELECT page_id, pos, text, href, concat(text, ' (https://es.wikipedia.org', href, ')') AS entrada FROM links
     WHERE href LIKE '/%' AND href NOT LIKE '/The%' AND href NOT LIKE '/Nicht%'""")
 def _(fx):
-    links = html.html_links(fx.text("pages"), exclude_prefixes=["/The", "/Nicht"], prefix="/")
+    links = html.html_links(fx.t("pages"), exclude_prefixes=["/The", "/Nicht"], prefix="/")
     return links.withColumn("entrada", html.link_entry())
 
 
@@ -126,11 +127,11 @@ def _(fx):
                regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda x: {_plain('x')}), chr(10)), ' '),
                '\[\d+\]', '', 'g') AS text FROM pages""")
 def _(fx):
-    return html.html_text(fx.text("pages"))
+    return html.html_text(fx.t("pages"))
 
 
 @query("s12_html_members", "", f"""WITH {_LINKS}
     SELECT DISTINCT page_id, text, href FROM links
     WHERE href LIKE '/%' AND contains(text, 'e') AND NOT contains(text, 'th')""")
 def _(fx):
-    return html.html_members(fx.text("pages"), include=["e"], exclude=["th"])
+    return html.html_members(fx.t("pages"), include=["e"], exclude=["th"])

@@ -97,12 +97,6 @@ def _(fx):
     return rk.ring_edges(fx.person().select("linaje", "person_id"), ["linaje"], "person_id", [F.col("person_id")])
 
 
-@query("w09_ring_edges_capped", "v_person", _RING.format(
-    "(SELECT linaje, person_id FROM (SELECT *, row_number() OVER (PARTITION BY linaje ORDER BY person_id) AS r FROM v_person) WHERE r <= 20)", 2))
-def _(fx):
-    return rk.ring_edges(fx.person().select("linaje", "person_id"), ["linaje"], "person_id", [F.col("person_id")], close_from=2, cap=20)
-
-
 @query("t01_top_n", "v_person", "SELECT person_id, nombre, c_acctbal FROM v_person ORDER BY c_acctbal DESC, person_id LIMIT 15")
 def _(fx):
     return rk.top_n(fx.person().select("person_id", "nombre", "c_acctbal"), [F.desc("c_acctbal"), F.col("person_id")], 15)

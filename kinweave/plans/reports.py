@@ -83,8 +83,9 @@ def elite_flows(kin: DataFrame, persons: DataFrame, text: str, key: str = "perso
 
 # --- networks ----------------------------------------------------------------
 
-def network_metrics(kin: DataFrame, all_nodes: DataFrame) -> DataFrame:
-    """Size, density, degree, transitivity, components and paths per country.
+def network_metrics(kin: DataFrame, all_nodes: DataFrame, houses: DataFrame) -> DataFrame:
+    """Size, density, degree, transitivity and components per country, and the mean distance
+    between its houses (the contracted graph ``houses`` with ``src, dst, pa``).
 
     Components never span countries here, so one pass over the intra-country graph
     serves all countries at once.
@@ -94,8 +95,8 @@ def network_metrics(kin: DataFrame, all_nodes: DataFrame) -> DataFrame:
     und = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "grupo").distinct()
     comp = cut(graph.components(e, by))
     sizes = graph.component_sizes(comp).join(by.withColumnRenamed("id", "component"), "component")
-    giant = cut(graph.giant_nodes(comp, by))
-    paths = graph.avg_path(graph.induced(e, giant), by)
+    country = houses.select(F.col("src").alias("id"), F.col("pa").alias("grupo")).union(houses.select("dst", "pa")).distinct()
+    paths = graph.avg_path(houses, country)
     out = by.groupBy("grupo").agg(F.count("*").alias("n_nodes"))
     out = out.join(e.groupBy("grupo").agg(F.count("*").alias("n_edges")), "grupo")
     out = out.join(und.groupBy("grupo").agg(F.count("*").alias("m")), "grupo")
@@ -107,7 +108,7 @@ def network_metrics(kin: DataFrame, all_nodes: DataFrame) -> DataFrame:
         F.round(graph.density("n_nodes", "n_edges", True), 4).alias("density"),
         F.round(graph.avg_degree("n_nodes", "m"), 2).alias("avg_degree"),
         F.round("transitividad", 4).alias("transitivity"), "n_componentes", "giant_size",
-        F.round("distancia_media", 3).alias("avg_path_giant"),
+        F.round("distancia_media", 3).alias("avg_path_houses"),
     )
 
 
@@ -210,7 +211,7 @@ def decade_trend(mentions: DataFrame, k: int, dense: bool, lo: int = 1800, hi: i
     rows = mentions.filter(not_blank("surname_1")).withColumn("decade", decade("year"))
     rows = rows.filter(F.col("decade").between(lo, hi))
     counts = rk.filter_top(rows, "surname_1", k).groupBy("decade", "surname_1").agg(F.count("*").alias("n"))
-    return agg.densify(cut(counts), "decade", "surname_1", "n") if dense else counts
+    return agg.densify(cut(counts), "surname_1", "decade", list(range(lo, hi + 1, 10)), "n") if dense else counts
 
 
 # --- families ------------------------------------------------------------------
@@ -254,14 +255,15 @@ def central_families(kin: DataFrame, n: int = 15) -> DataFrame:
     return rk.top_n(score, [F.desc("grado"), F.col("id")], n).withColumnRenamed("id", "familia")
 
 
-def top_connectors(kin: DataFrame, persons: DataFrame, n: int = 15, key: str = "person_id") -> DataFrame:
-    """Best linked persons of each country, ties kept, with betweenness."""
+def top_connectors(kin: DataFrame, persons: DataFrame, family: str = "familia", n: int = 15, key: str = "person_id") -> DataFrame:
+    """Best linked persons of each country, ties kept, with the number of families they are linked to."""
     e = cut(graph.simplify(kin.filter(F.col("clase_pais") == "Intra-país")))
-    score = graph.degree(e).select("id", "grado").join(graph.betweenness(e), "id")
+    near = graph.neighbour_groups(e, graph.membership(persons, key, family))
+    score = graph.degree(e).select("id", "grado").join(near, "id")
     who = score.join(persons.withColumn("id", F.col(key)), "id").select(
-        "pais", "nombre", "url", "grado", F.round("betweenness", 6).alias("betweenness"), "id")
+        "pais", "nombre", "url", "grado", "familias_conectadas", "id")
     top = rk.top_with_ties(who, ["pais"], "grado", n, "_r").drop("_r")
-    return rk.number_rows(top, ["pais"], [F.desc("grado"), F.col("id")], "ranking").drop("id")
+    return rk.number_rows(top, ["pais"], [F.desc("grado"), F.desc("familias_conectadas"), F.col("id")], "ranking").drop("id")
 
 
 def connecting_families(kin: DataFrame, persons: DataFrame, top: int = 10, key: str = "person_id") -> DataFrame:
@@ -283,9 +285,17 @@ def country_union(edges_dst: DataFrame, mentions: DataFrame, own: str) -> DataFr
     return joins.full_zero(kin, work, ["pais_origen", "pais_destino"], "n_total").filter(F.col("n_total") > 0)
 
 
-def bridge_persons(df: DataFrame, text: str, patterns: dict[str, list[str]], own: str, words: list[str]) -> DataFrame:
-    """Persons tied to another country, with the words around the hit."""
-    return rules.target_links(df, [text], patterns, own).withColumn("contexto_conexion", kwic(text, words))
+def bridge_persons(
+    df: DataFrame, text: str, patterns: dict[str, list[str]], own: str, words: dict[str, list[str]]
+) -> DataFrame:
+    """Persons tied to another country, with the words around the hit of the first target that has any.
+
+    ``words`` gives the words of each target; the person's own country is no target, in any case of letters.
+    """
+    context = F.coalesce(*[
+        F.when(rules.other_country(F.col(own), F.lit(target)), kwic(text, words[target]))
+        for target in patterns if words.get(target)])
+    return rules.target_links(df, [text], patterns, own).withColumn("contexto_conexion", context)
 
 
 def crossed_links(e: DataFrame, nat: DataFrame, key: str = "person_id") -> DataFrame:
@@ -303,13 +313,13 @@ def shared_surnames(persons: DataFrame, a: str, b: str, extra: list[str] | None
 
 
 def shared_office_surnames(persons: DataFrame, a: str, b: str, office: str = "cargo_tipo") -> DataFrame:
-    """The same among office holders, with the offices of each surname."""
+    """The same among office holders, one row for each surname and office."""
     rows = persons.filter(F.col("pais").isin(a, b)).select("pais", office, last_two_tokens("nombre").alias("s"))
     long = agg.to_long(rows.select("pais", office, "s.*"), ["pais", office], ["surname_1", "surname_2"], "pos", "surname")
     long = long.filter((F.length("surname") > 2) & ~F.col("surname").isin(fixed.SURNAME_ARTICLES))
     both = agg.in_both(long, "surname", "pais", a, b)
-    names = agg.join_text(long, ["surname"], office, ", ").select("surname", "parte", F.col("texto").alias("cargos"))
-    return both.join(names, "surname")
+    offices = long.filter(F.col(office).isNotNull()).select("surname", F.col(office).alias("cargo")).distinct()
+    return both.join(offices, "surname")
 
 
 def office_types_by_country(profiles: DataFrame) -> DataFrame:

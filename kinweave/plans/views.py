@@ -21,11 +21,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT DISTINCT o_custkey AS src, (o_orderkey * 37 + 11) % (SELECT count(*) FROM customer) AS dst,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'conyuge' WHEN '2-HIGH' THEN 'pareja'
                     WHEN '3-MEDIUM' THEN 'padres' WHEN '4-NOT SPECIFIED' THEN 'hijos' ELSE 'hermanos' END AS relation_type
-        FROM orders WHERE month(o_orderdate) = 1 AND o_orderstatus IN ('F', 'O')"""),
-    "v_edge_sparse": (["v_edge"], "SELECT * FROM v_edge WHERE relation_type IN ('conyuge', 'pareja', 'padres')"),
-    "v_edge_dense": ([], """
-        SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst
-        FROM lineitem WHERE l_linenumber = 1 AND month(l_shipdate) = 1"""),
+        FROM orders"""),
+    "v_house": (["v_edge", "v_person"], """
+        SELECT DISTINCT concat(a.pais, '/', a.lugar) AS src, concat(b.pais, '/', b.lugar) AS dst, a.pais AS pa, b.pais AS pb
+        FROM v_edge e JOIN v_person a ON e.src = a.person_id JOIN v_person b ON e.dst = b.person_id
+        WHERE relation_type IN ('conyuge', 'pareja') AND concat(a.pais, '/', a.lugar) <> concat(b.pais, '/', b.lugar)"""),
+    "v_hadj": (["v_house"], "SELECT src AS a, dst AS b FROM v_house UNION SELECT dst, src FROM v_house"),
     "v_spell": ([], """
         SELECT o_custkey AS person_id, o_orderkey AS spell_id, CAST(year(o_orderdate) AS INTEGER) AS anio,
                lower(o_orderpriority) AS cargo_text, o_orderstatus FROM orders"""),
@@ -50,14 +51,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                string_split(p.nombre, ' ')[-1] AS surname_1,
                CASE WHEN s.anio < 1997 THEN 'Pre-1997' WHEN s.anio < 1999 THEN '1997-1998' ELSE '1999+' END AS periodo
         FROM v_spell s JOIN v_person p ON s.person_id = p.person_id"""),
-    "v_simple": (["v_edge_sparse"], """
-        SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM v_edge_sparse WHERE src <> dst"""),
+    "v_simple": (["v_edge"], """
+        SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM v_edge WHERE src <> dst"""),
     "v_adj": (["v_simple"], "SELECT src AS a, dst AS b FROM v_simple UNION ALL SELECT dst, src FROM v_simple"),
-    "v_dsimple": (["v_edge_dense"], """
-        SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM v_edge_dense WHERE src <> dst"""),
-    "v_dadj": (["v_dsimple"], "SELECT src AS a, dst AS b FROM v_dsimple UNION ALL SELECT dst, src FROM v_dsimple"),
 }
 
+
 def with_views(views: str, body: str) -> str:
     """Prepend the named views, with what they need, as common table expressions."""
     order: list[str] = []

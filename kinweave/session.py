@@ -55,13 +55,3 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a scan that has fewer splits than there are cores.
-
-    For costly text work on few row groups. A large table has more splits than that
-    and is returned as it is, so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

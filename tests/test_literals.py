@@ -8,6 +8,7 @@ from kinweave.functions import text as tx
 from kinweave.operators import aggregates as agg
 from kinweave.operators import graph, joins, rules, sets, shape
 from kinweave.operators import ranking as rk
+from kinweave.plans import reports
 from kinweave.sources import html, tables
 
 
@@ -194,10 +195,37 @@ def test_merge_attributes_defaults(spark):
     assert (x["cargo_1"], x["nacimiento_ano"], x["hijos_lista"], x["partido_limpio"], x["cargo_2"]) == ("Alcalde", 1901, "a | b", "viejo", None)
 
 
-def test_wide_pivot_refuses_to_cut(spark):
+def test_ordinals_have_no_width(spark):
     df = spark.createDataFrame([(1, i) for i in range(12)], "id long, v long")
-    with pytest.raises(ValueError):
-        agg.widen_ordinal(df, "id", "v", "familiar", [F.col("v")], max_width=10)
+    got = agg.widen_ordinal(df, "id", "v", "familiar", [F.col("v")]).collect()
+    assert {r["ordinal"]: r["valor"] for r in got} == {f"familiar{i + 1}": i for i in range(12)}
+
+
+def test_html_in_any_spelling(spark):
+    page = ("<H1>Mar&iacute;a N&#250;&ntilde;ez &amp;lt; &#x41;&#128161; &#0;</H1><TABLE><TR><TH>C&oacute;nyuge</TH ><TD><A HREF = '/wiki/Ana'>"
+            "&Aacute;na</A></TD></TR></TABLE><P>&iquest;Qu&eacute;?</P>")
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert [(r["label"], r["value"]) for r in html.html_pairs(df).collect()] == [("Cónyuge", "Ána")]
+    assert [(r["href"], r["text"]) for r in html.html_links(df).collect()] == [("/wiki/Ana", "Ána")]
+    t = html.html_text(df).first()
+    assert (t["title"].replace("\0", ""), t["text"]) == ("María Núñez &lt; A💡 ", "¿Qué?")
+
+
+def test_own_country_in_a_slug_is_left_out(spark):
+    df = spark.createDataFrame([("chile", "un chileno y argentino"), ("peru", "nació en perú"), ("argentina", "un chileno")], "pais string, t string")
+    pats = {"Chile": ["chilen"], "Perú": ["perú"], "Argentina": ["argentin"]}
+    got = {r["pais"]: (r["conecta_con"], r["contexto_conexion"]) for r in reports.bridge_persons(df, "t", pats, "pais", pats).collect()}
+    assert got.keys() == {"chile", "argentina"}
+    assert got["chile"][0] == "Argentina" and "argentin" in got["chile"][1]
+    assert got["argentina"][0] == "Chile" and "chilen" in got["argentina"][1]
+    same = spark.createDataFrame([("chile", "Chile"), ("peru", "Chile")], "a string, b string")
+    assert [r["a"] for r in rules.special_cases(same, "a", "b").collect()] == ["peru"]
+
+
+def test_line_breaks_survive_a_table(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a\nb"), ("2", 'c "d"')], "x string, y string")
+    assert tables.write_table(df, str(tmp_path / "t"))
+    assert sorted(map(tuple, tables.read_csv_table(spark, str(tmp_path / "t")).collect())) == [("1", "a\nb"), ("2", 'c "d"')]
 
 
 def test_html_pairs_and_links(spark):
@@ -214,20 +242,18 @@ def test_partitioned_read_unites_different_headers(spark, tmp_path):
     for pais, header, row in (("chile", "url;nombre", 'u1;"A; ""b""\nc"'), ("peru", "nombre;url;pais", "D;u2;"), ("cuba", "nombre;url;pais", "E;u3;otro")):
         (tmp_path / pais).mkdir()
         (tmp_path / pais / "consolidado.csv").write_text(f"{header}\n{row}\n", encoding="utf-8")
-    got = tables.read_partitioned(spark, f"{tmp_path}/*/consolidado.csv", r"/([^/]+)/consolidado\.csv")
+    got = tables.read_partitioned(spark, f"{tmp_path}/*/consolidado.csv", r"/([^/]+)/consolidado\.csv", multi_line=True)
     rows = sorted((r["url"], r["nombre"], r["pais"]) for r in got.collect())
     assert rows == [("u1", 'A; "b"\nc', "chile"), ("u2", "D", "peru"), ("u3", "E", "otro")]
-    forced = tables.read_partitioned(spark, f"{tmp_path}/*/consolidado.csv", r"/([^/]+)/consolidado\.csv", override=True)
+    forced = tables.read_partitioned(spark, f"{tmp_path}/*/consolidado.csv", r"/([^/]+)/consolidado\.csv", override=True, multi_line=True)
     assert sorted(r["pais"] for r in forced.collect()) == ["chile", "cuba", "peru"]
 
 
-def test_only_files_with_quoted_breaks_are_read_whole(spark, tmp_path):
+def test_line_breaks_are_declared(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x;y\n1;"dos ""2"""\n', encoding="utf-8")
     (tmp_path / "b.csv").write_text('x;y\n1;"dos\ntres"\n', encoding="utf-8")
-    assert not tables.spans_lines(spark, str(tmp_path / "a.csv"))
-    assert tables.spans_lines(spark, str(tmp_path / "b.csv"))
     assert tables.read_persons(spark, str(tmp_path / "a.csv")).first()["y"] == 'dos "2"'
-    assert tables.read_persons(spark, str(tmp_path / "b.csv")).first()["y"] == "dos\ntres"
+    assert tables.read_persons(spark, str(tmp_path / "b.csv"), multi_line=True).first()["y"] == "dos\ntres"
 
 
 def test_first_existing(spark, tmp_path):
