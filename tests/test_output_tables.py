@@ -36,7 +36,7 @@ def tables(spark, tmp_path_factory):
         (base / pais).mkdir()
         lines = [";".join(HEADER)] + [";".join('"' + x.get(c, "").replace('"', '""') + '"' for c in HEADER) for x in people]
         (base / pais / "consolidado.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
-    return output_tables(read_partitioned(spark, f"{base}/*/consolidado.csv", r"/([^/]+)/consolidado\.csv"))
+    return output_tables(read_partitioned(spark, f"{base}/*/consolidado.csv", r"/([^/]+)/consolidado\.csv", multi_line=True))
 
 
 def rows(df, *cols):
