@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 END_ID = 2
-WORDS_HELD = 260_000  # entries of the memo; when it is full, a new one begins and takes over what is met again
+WORDS_HELD = 600_000  # entries of the memo; when it is full, a new one begins and takes over what is met again
 
 _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _WORD = re.compile(

@@ -88,7 +88,7 @@ def digest(tokens: DataFrame) -> DataFrame:
         for b in batches:
             ids = b.column(3)
             ends = ids.offsets.to_numpy()
-            raw = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+            raw = memoryview(ids.values.to_numpy(zero_copy_only=False).view(np.uint8))
             sums = [zlib.crc32(raw[4 * i:4 * j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums, pa.int64())],
                                              names=["doc_id", "start", "n_tokens", "ids_crc32"])
