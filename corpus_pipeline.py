@@ -60,8 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and their place in it."""
-    return packing.pack(docs, VOCABULARY)
+    """Pieces of documents with their sequence and their place in it; sequences follow the order of the files."""
+    return packing.pack(mixing.written_order(docs.select("doc_id", "text")), VOCABULARY, place="place")
 
 
 STAGES: list[tuple[str, Stage]] = [

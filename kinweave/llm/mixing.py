@@ -19,8 +19,10 @@ no rows; extra columns are kept, and ``mix_source``, ``block``, ``slot`` and ``p
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,3 +99,23 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, other_weight: int
 def in_order(mixed: DataFrame) -> DataFrame:
     """Rows in the mixed order over the partitions, so that written files follow it."""
     return mixed.repartitionByRange("position").sortWithinPartitions("position")
+
+
+def written_order(docs: DataFrame, name: str = "place") -> DataFrame:
+    """Add the place of each row in the order that ``in_order`` has given to Parquet files.
+
+    Files come by the number of the task that wrote them (readers deal them out by size), rows by
+    their index. A table that is not read from Parquet has no files: its rows count by partition.
+    """
+    try:
+        rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    files = rows.groupBy("_file").agg((F.max("_row") + 1).alias("n")).collect()  # one row for each file
+    part = lambda path: int((re.search(r"part-(\d+)[^/]*$", path) or [0, 0])[1])
+    bases, base = [], 0
+    for f in sorted(files, key=lambda f: (part(f["_file"]), f["_file"])):
+        bases.append((f["_file"], base))
+        base += f["n"]
+    known = F.broadcast(docs.sparkSession.createDataFrame(bases, "_file string, _base long"))
+    return rows.join(known, "_file").select(*docs.columns, (F.col("_base") + F.col("_row")).alias(name))
