@@ -90,6 +90,45 @@ def test_ratios_equal_those_by_hand():
         assert math.isclose(table[p], want[int(g).to_bytes(8, "big").lstrip(b"\0")], abs_tol=1e-5)
 
 
+def test_grams_of_many_documents_are_counted_exactly(spark):
+    """More grams than any table of 2**21 places tells apart, in two scripts; every labelled one by hand."""
+    rng = np.random.default_rng(8)
+    filler = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 4))) + " " + "".join(map(chr, rng.integers(97, 123, 6))) for _ in range(400)]
+    texts = ["the cat sat on the mat", "you vile rat", "a vile cat", "nothing here", "idiot été", *filler, "vilest idiots cats"]
+    ids, classes = np.arange(5), np.array([0, 1, 1, 0, 1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    table, any_toxic = toxicity.model(docs, ids, classes)
+    want = ratios_by_hand(texts, [texts[i] for i in ids[classes == 0]], [texts[i] for i in ids[classes == 1]])
+    grams = np.array([int.from_bytes(g, "big") for g in want], np.uint64)
+    assert any_toxic and np.allclose(table[toxicity.places(grams)], list(want.values()), atol=1e-5)
+
+
+def test_grams_that_share_a_hash_place_keep_their_counts():
+    """Two grams with one place among 2**21 used to be counted as one of them."""
+    grams = np.arange(1 << 24, (1 << 24) + 20_000, dtype=np.uint64)
+    place = toxicity.mixed(grams) >> np.uint64(43)
+    _, first, n = np.unique(place, return_index=True, return_counts=True)
+    a = grams[first[n > 1][0]]
+    b = next(g for g, p in zip(grams, place) if p == place[first[n > 1][0]] and g != a)
+    assert len(set(toxicity.places(np.array([a, b])).tolist())) == 2
+
+
+def test_what_a_task_sends_early_adds_up():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3, 4]), pa.array(TEXTS)], names=["doc_id", "text"])
+    sums = []
+    for held in (1, 1 << 20):
+        total = Counter()
+        for out in toxicity._count(np.array([0, 4]), np.array([0, 1]), held)(iter([batch, batch])):
+            for g, o, t in zip(*(c.to_pylist() for c in out.columns)):
+                total[g, "o"] += o
+                total[g, "t"] += t
+        sums.append(total)
+    assert sums[0] == sums[1]
+    assert {int(g).to_bytes(8, "big").lstrip(b"\0") for g, _ in sums[0]} == {g for t in TEXTS for g in grams_by_hand(t, toxicity.TOP)}
+    assert sums[0][int.from_bytes(b" cat ", "big"), "t"] == 2
+
+
 def planted(spark, n=1200):
     """Documents of random words; every seventh holds an abusive one."""
     rng = np.random.default_rng(5)
