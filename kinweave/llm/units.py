@@ -1,0 +1,186 @@
+"""Token ids of whole texts from the ids of their units, for tokenizers that never merge over a unit's start.
+
+A unit begins at a space before a word, or at a single line break, and no token of the two kinds of
+tokenizers used here crosses that place: byte-level BPE cuts its words there, and no piece of the
+sentence-piece model has a space after another character or holds a line break (``PieceUnits`` checks
+its vocabulary for this). Units met before come from a bounded memo; new ones go to the library, many
+in one call. Texts with two white spaces in a row, or with one at an end, are cut only at single spaces
+between two other characters, which is right for both kinds as well.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, compress, repeat
+from operator import is_
+
+import numpy as np
+
+from kinweave.llm.encode import tokenizer_file
+
+UNITS_HELD = 400_000  # entries of the memo; a full one is kept as the older half until the next is full
+
+_DOUBT = re.compile(r"\s\s|\s\Z")
+_SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+Split = tuple[list[str], bool]
+
+
+def split_units(text: str) -> Split:
+    """Units of a text that begins with a space or a line break, and whether they are keys.
+
+    A key that begins with a line break is the unit itself, any other key is the unit without its space.
+    """
+    if _DOUBT.search(text):
+        return _SINGLE_SPACE.split(text), False
+    return text.replace("\n", " \n").split(" ")[1:], True
+
+
+def unit_of(key: str) -> str:
+    return key if key[0] == "\n" else " " + key
+
+
+class Units:
+    """Memo of unit ids; subclasses ask their library."""
+
+    def __init__(self, held: int = UNITS_HELD) -> None:
+        self.held = held
+        self.keys: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def ask_spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of units that begin with a space, given without it."""
+        raise NotImplementedError
+
+    def ask_broken(self, units: list[str]) -> list[bytes]:
+        """Ids of units that begin with a line break."""
+        raise NotImplementedError
+
+    def ask_whole(self, units: list[str]) -> list[bytes]:
+        """Ids of any units, one by one."""
+        raise NotImplementedError
+
+    def learned(self, new: list[str]) -> None:
+        """Called with the keys that the library was asked for."""
+
+    def _learn(self, missing: list[str]) -> None:
+        if len(self.keys) + len(missing) > self.held:
+            self.before, self.keys = self.keys, {}
+        old = self.before
+        self.keys.update((k, old[k]) for k in missing if k in old)
+        new = [k for k in missing if k not in old]
+        spaced, broken = [k for k in new if k[0] != "\n"], [k for k in new if k[0] == "\n"]
+        self.keys.update(zip(spaced, self.ask_spaced(spaced), strict=True))
+        self.keys.update(zip(broken, self.ask_broken(broken), strict=True))
+        self.learned(new)
+
+    def ids(self, splits: Sequence[Split]) -> Iterator[bytes]:
+        """Ids of split texts, as little-endian unsigned 32-bit integers."""
+        keys = list(chain.from_iterable(k for k, plain in splits if plain))
+        found = list(map(self.keys.get, keys))
+        lacking = list(compress(range(len(keys)), map(is_, found, repeat(None))))
+        if lacking:
+            self._learn(list({keys[i] for i in lacking}))
+            for i in lacking:
+                found[i] = self.keys[keys[i]]
+        at = 0
+        for units, plain in splits:
+            if plain:
+                yield b"".join(found[at:at + len(units)])
+                at += len(units)
+            else:
+                yield b"".join(self.ask_whole(units))
+
+
+def _between(ids: np.ndarray, mark: int, n: int) -> list[bytes] | None:
+    """The ids before each of the n marks, or None if there are not n of them."""
+    ends = np.flatnonzero(ids == mark)
+    if len(ends) != n:
+        return None
+    raw, starts = ids.tobytes(), [0, *(ends[:-1] + 1).tolist()]
+    return [raw[4 * i:4 * j] for i, j in zip(starts, ends.tolist(), strict=True)]
+
+
+def _blocks(words: list[str], n: int = 500) -> Iterator[list[str]]:
+    for i in range(0, len(words), n):
+        yield words[i:i + n]
+
+
+class ByteLevelUnits(Units):
+    """Byte-level BPE of the tokenizers library; ``special``: strings of special tokens in a text are such tokens."""
+
+    def __init__(self, vocabulary: str, special: bool = True, held: int = UNITS_HELD) -> None:
+        super().__init__(held)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(tokenizer_file(vocabulary))
+        self.library.encode_special_tokens = not special
+        self.line_break = self.library.encode("\n", add_special_tokens=False).ids[0]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ask_whole(self, units: list[str]) -> list[bytes]:
+        return [x.tobytes() for x in self._encode(units)]
+
+    def _ask(self, units: list[str], glue: str, tail: str) -> list[bytes]:
+        out: list[bytes] = []
+        for some in _blocks(units):
+            joined = glue.join(some) + tail
+            # a special token cuts the text for the library, so words near it are asked for on their own
+            got = None if "<|" in joined else _between(self._encode([joined])[0], self.line_break, len(some))
+            out += self.ask_whole(some) if got is None else got
+        return out
+
+    def ask_spaced(self, words: list[str]) -> list[bytes]:
+        return self._ask([" " + w for w in words], "\n", "\n")
+
+    def ask_broken(self, units: list[str]) -> list[bytes]:
+        first = np.array([self.line_break], "<u4").tobytes()
+        return [first + x for x in self._ask([u[1:] for u in units], "\n", "\n")]
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of whole texts, without an end id."""
+        some: list[Split] = []
+        size = 0
+        for t in texts:
+            some.append((_SINGLE_SPACE.split(t), False) if not t or _DOUBT.search("\n" + t) else split_units("\n" + t))
+            size += len(t)
+            if size > 1 << 20:
+                yield from self._joined(some)
+                some, size = [], 0
+        yield from self._joined(some)
+
+    def _joined(self, some: list[Split]) -> Iterator[bytes]:
+        for (_, plain), ids in zip(some, self.ids(some), strict=True):
+            yield ids[4:] if plain else ids
+
+
+class PieceUnits(Units):
+    """A sentence-piece model that adds a space before the text and keeps white space as it is."""
+
+    def __init__(self, model: str, held: int = UNITS_HELD) -> None:
+        super().__init__(held)
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(model))
+        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+        if any("\n" in p or re.search("[^▁]▁", p) for p in pieces):
+            raise ValueError(f"pieces of {model} cross the starts of units")
+        self.space, self.line_break = self.library.encode("\n")
+
+    def ask_whole(self, units: list[str]) -> list[bytes]:
+        """Units that begin with a space; only the library's own first space is theirs."""
+        return [np.array(x, "<u4").tobytes() for x in self.library.encode([u[1:] for u in units], num_threads=1)]
+
+    def ask_spaced(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for some in _blocks(words):
+            got = _between(np.array(self.library.encode("\n ".join(some) + "\n"), "<u4"), self.line_break, len(some))
+            out += self.ask_whole([" " + w for w in some]) if got is None else got
+        return out
+
+    def ask_broken(self, units: list[str]) -> list[bytes]:
+        return [np.array(x[1:], "<u4").tobytes() for x in self.library.encode(units, num_threads=1)]
