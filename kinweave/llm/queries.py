@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinweave.llm import align, knn, line_dedup, mixing, near_dups, packing, quality_net, token_files, toxicity, url_filter, weak_rules
+from kinweave.llm import align, knn, line_dedup, mixing, near_dups, packing, periods, quality_net, token_files, toxicity, url_filter, weak_rules
 from kinweave.llm.common import importable, table
 from kinweave.session import new_folder
 
@@ -86,6 +86,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
 
 
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic(table(spark, sf_dir, "documents"), change=periods.repeated_part)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
