@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinweave.llm import align, knn, line_dedup, mixing, near_dups, packing, periods, quality_net, token_files, toxicity, url_filter, weak_rules
+from kinweave.llm import align, knn, line_dedup, mixing, near_dups, packing, periods, quality_net, repeats, token_files, toxicity, url_filter, weak_rules
 from kinweave.llm.common import importable, table
 from kinweave.session import new_folder
 
@@ -91,6 +91,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic(table(spark, sf_dir, "documents"), change=periods.repeated_part)
 
 
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.drop_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
