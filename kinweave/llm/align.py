@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,12 +32,11 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import land, text_column, text_slices
 from kinweave.llm.csr import Csr, blocks_of_rows, expanded, members, row_products, rows_of, spans, transposed
-from kinweave.llm.encode import tokenizer_file
-from kinweave.llm.units import ByteLevelUnits, PieceUnits, split_units, unit_of
+from kinweave.llm.encode import Encoder, tokenizer_file
 
 SLICE_BYTES = 16 << 20
 BLOCK_BYTES = 1 << 20
-UNITS_HELD = 150_000
+WORDS_HELD = 300_000  # entries of the first side's memo of words
 DOC = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
        ("n_shared", pa.int64()), ("groups_sha256", pa.string())]
 DOC_SPARK = "doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,n_shared:long,groups_sha256:string"
@@ -84,35 +84,17 @@ class Aligned(NamedTuple):
     group_starts: np.ndarray
 
 
-class _Checked:
-    """Units whose tokens do not give back their bytes."""
-
-    def __init__(self, raw: list[bytes]) -> None:
-        self.raw = raw
-        self.odd: set[str] = set()
-
-    def note(self, keys: list[str], ids_of: dict[str, bytes]) -> None:
-        raw = self.raw
-        for k in keys:
-            if b"".join([raw[i] for i in np.frombuffer(ids_of[k], "<u4").tolist()]) != unit_of(k).encode():
-                self.odd.add(k)
-
-
-def _with_check(units, raw: list[bytes]):
-    units.checked = _Checked(raw)
-    units.learned = lambda new: units.checked.note(new, units.keys)
-    return units
-
-
 class Aligner:
     """Both tokenizers, the bytes of their ids, and the texts of their ids with the marks that can follow."""
 
-    def __init__(self, a_vocabulary: str, b_model: str, held: int = UNITS_HELD) -> None:
+    def __init__(self, a_vocabulary: str, b_model: str, held: int = WORDS_HELD) -> None:
+        import sentencepiece
+
         self.a_raw = byte_level_bytes(a_vocabulary)
-        self.a = _with_check(ByteLevelUnits(a_vocabulary, special=False, held=held), self.a_raw)
-        b = PieceUnits(b_model, held=held)
-        self.b_raw = piece_bytes(b.library)
-        self.b = _with_check(b, self.b_raw)
+        self.a = Encoder(a_vocabulary, special=False, held=held)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(b_model))
+        self.b_raw = piece_bytes(self.b)
+        self.a_bytes = np.array(self.a_raw, object)
         self.a_length = np.array([len(x) for x in self.a_raw], np.int32)
         self.b_length = np.array([len(x) for x in self.b_raw], np.int32)
         self.shift = len(self.b_raw).bit_length()
@@ -121,21 +103,16 @@ class Aligner:
                                + [str(i).encode() for i in range(nb)], object)
         self.bases = (0, na, 2 * na, 2 * na + nb, 2 * na + 2 * nb)  # a, | b, ; and b at the end of a text
 
-    def _whole(self, text: str) -> bool:
-        """Whether both sides give back the text: asked where a unit did not, or was cut otherwise."""
-        want = text.encode()
-        a = self.a.ask_whole([text])[0]
-        b = self.b.ask_whole([text])[0]
-        joined = [b"".join([raw[i] for i in np.frombuffer(x, "<u4").tolist()]) for raw, x in ((self.a_raw, a), (self.b_raw, b))]
-        return joined == [want, want]
-
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids of both sides for each text with a space before it; none where a side does not give it back."""
-        splits = [split_units(" " + t) if t else ([], True) for t in texts]
-        a, b = list(self.a.ids(splits)), list(self.b.ids(splits))
-        odd = self.a.checked.odd | self.b.checked.odd
-        for i, (keys, plain) in enumerate(splits):
-            if (not plain or (odd and not odd.isdisjoint(keys))) and not self._whole(" " + texts[i]):
+        a = list(self.a.encode([" " + t if t else "" for t in texts]))
+        b = self.b.encode(texts, num_threads=1)
+        raw_a, raw_b = self.a_bytes, self.b_raw.__getitem__
+        for i, t in enumerate(texts):
+            want = b" " + t.encode() if t else b""
+            if b"".join(raw_a[np.frombuffer(a[i], "<u4")].tolist()) == want == b"".join(map(raw_b, b[i])):
+                b[i] = array("I", b[i]).tobytes()
+            else:
                 a[i] = b[i] = b""
         return a, b
 
@@ -198,13 +175,17 @@ def _slices(a_vocabulary: str, b_model: str, slice_bytes: int):
         pack = zstandard.ZstdCompressor(level=1)
         part, number = TaskContext.get().partitionId(), 0
         docs: list[pa.StructArray] = []
-        pairs: list[np.ndarray] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []  # distinct pairs of a block, and the place of each link's among them
         size = 0
 
         def flush() -> pa.RecordBatch:
-            known, codes = np.unique(np.concatenate(pairs), return_inverse=True)
-            counts = np.bincount(codes, minlength=len(known))
-            blobs = [pack.compress(c.astype("<u4").tobytes()) for c in np.split(codes, np.cumsum([len(p) for p in pairs])[:-1])]
+            known = np.unique(np.concatenate([own for own, _ in pairs]))
+            counts = np.zeros(len(known), np.int64)
+            blobs = []
+            for own, codes in pairs:
+                places = np.searchsorted(known, own)
+                counts[places] += np.bincount(codes, minlength=len(own))
+                blobs.append(pack.compress(places[codes].astype("<u4").tobytes()))
             n = len(docs)
             offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             first = [len(known), *[0] * n]  # the list of pairs is a row of its own, before the blocks
@@ -219,7 +200,9 @@ def _slices(a_vocabulary: str, b_model: str, slice_bytes: int):
         for b in text_slices(batches, BLOCK_BYTES):
             texts = text_column(b).to_pylist()
             x = al.align(texts)
-            pairs.append((x.a[rows_of(x.links)].astype(np.int64) << al.shift) | x.b[x.links.columns].astype(np.int64))
+            pair = (x.a[rows_of(x.links)].astype(np.int64) << al.shift) | x.b[x.links.columns].astype(np.int64)
+            own, codes = np.unique(pair, return_inverse=True)
+            pairs.append((own, codes.astype(np.uint32)))
             n_shared = np.concatenate([[0], np.cumsum(expanded(*al.shared(x)))])[x.a_starts]
             figures = [np.diff(x.a_starts), np.diff(x.b_starts), np.diff(x.group_starts), np.diff(x.links.starts[x.a_starts]), np.diff(n_shared)]
             docs.append(pa.StructArray.from_arrays(

@@ -44,18 +44,21 @@ def split_text(text: str) -> tuple[list[str], bool]:
 
 
 class Encoder:
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, special: bool = True, held: int = WORDS_HELD) -> None:
+        """``special``: strings of special tokens in a text are those tokens, not plain text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file(vocabulary))
+        self.library.encode_special_tokens = not special
+        self.held = held
         (self.line_break,) = self.library.encode("\n", add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def _learn(self, words: set[str], odd: set[str]) -> None:
         missing = [w for w in words if w not in self.words]
-        if len(self.words) + len(missing) > WORDS_HELD:
+        if len(self.words) + len(missing) > self.held:
             self.before, self.words, missing = self.words, {}, list(words)
         old = self.before
         self.words.update({w: old[w] for w in missing if w in old})

@@ -13,12 +13,10 @@ from tokenizers import Tokenizer
 
 from kinweave.llm import align, csr
 from kinweave.llm.queries import PIECES, QUERIES, VOCABULARY
-from kinweave.llm.units import ByteLevelUnits, PieceUnits, split_units
 
 SF = "/root/testdata/sf0.001"
 A = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
 A.encode_special_tokens = True
-WITH_SPECIAL = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
 B = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
 A_RAW, B_RAW = align.byte_level_bytes(VOCABULARY), align.piece_bytes(B)
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -65,25 +63,6 @@ def rows(df):
     return sorted((tuple(r[c] for c in COLUMNS) for r in df.collect()), key=repr)
 
 
-WIDE = st.text(st.sampled_from(" \n\t\r\x1c\x85\xa0　ab'sé|.,1ñ٣▁") | st.characters(codec="utf-8"), max_size=40) | st.just("a <|endoftext|> b\nc")
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.lists(WIDE, max_size=4))
-def test_units_equal_the_libraries(texts):
-    raw = lambda ids: np.array(ids, "<u4").tobytes()
-    one, two, three = UNITS
-    assert list(one.encode(texts)) == [raw(WITH_SPECIAL.encode(t, add_special_tokens=False).ids) for t in texts]
-    texts = [t for t in texts if t]
-    splits = [split_units(" " + t) for t in texts]
-    assert list(two.ids(splits)) == [raw(A.encode(" " + t, add_special_tokens=False).ids) for t in texts]
-    for t, got in zip(texts, three.ids(splits), strict=True):
-        assert "▁" in t or got == raw(B.encode(t))
-
-
-UNITS = ByteLevelUnits(VOCABULARY, held=50), ByteLevelUnits(VOCABULARY, special=False), PieceUnits(PIECES)
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 6), st.integers(1, 6), st.integers(1, 6), st.integers(0, 2**32 - 1))
 def test_row_products_equal_dense(n, m, k, seed):

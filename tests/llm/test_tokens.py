@@ -20,6 +20,7 @@ from kinweave.session import new_folder
 SF = "/root/testdata/sf0.001"
 LIB = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
 ENCODER = Encoder(VOCABULARY)
+PLAIN = Encoder(VOCABULARY, special=False, held=20)
 
 
 def ids_of(text):
@@ -31,6 +32,9 @@ def ids_of(text):
 def test_encoder_equals_library(texts):
     want = [np.array(LIB.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert list(ENCODER.encode(texts)) == want
+    texts = [f" {t} a<|endoftext|> b" for t in texts]
+    want = [np.array(PLAIN.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(PLAIN.encode(texts)) == want
 
 
 CASES = [(3, "b c"), (1, None), (2, ""), (None, "x"), (3, "b c"), (9, "word " * 3000), (7, "<|endoftext|> a  \n b ")]
