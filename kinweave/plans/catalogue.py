@@ -2,6 +2,8 @@
 
 from kinweave.plans import (  # noqa: F401
     queries_aggregates,
+    queries_communities,
+    queries_distances,
     queries_graph,
     queries_joins,
     queries_reports,

@@ -55,3 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def land(df: DataFrame, name: str = "state") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at the files, and plans know their sizes.
+
+    A checkpointed frame keeps the estimates of its plan, which multiply from round to round of a loop with joins;
+    a written one has true sizes, so small states are broadcast and large ones are not.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
