@@ -15,8 +15,8 @@ first. A pair at the threshold is missed by all bands with a probability of 6e-5
 
 Cases: words are runs without ASCII white space, A-Z lower-cased; a text of one to four words is one
 shingle of all its words; a text without words (null, empty, blank) is like no other text: its group
-is itself and it has no links; rows with one doc_id are one document and fall in one group; rows
-without doc_id have no group and no links; equal rows count as copies of each other; an empty table
+is itself and it has no links; ``near_duplicates`` takes a doc_id as the name of one text, and
+``keep_one`` tells texts of one doc_id apart; rows without doc_id have no group and no links; equal rows count as copies of each other; an empty table
 gives no rows; extra columns are not read.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.bytegrams import mixed, parts, word_hashes
 from kinweave.llm.common import land, runs, text_column, text_slices
 from kinweave.operators.graph import components
+from kinweave.operators.ranking import first_per_key, number_rows
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -264,9 +265,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     return known.unionByName(rest)
 
 
+def _text_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id``: doc_id where it names one text, else a number of its own after all doc_ids for each text."""
+    text = F.xxhash64(F.col("text").cast("string"), F.octet_length(F.col("text").cast("string")))
+    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_d"), text.alias("_t"))
+    several = own.groupBy("_d").agg(F.min("_t").alias("low"), F.max("_t").alias("high")).filter("low <> high").select("_d")
+    texts = own.join(several, "_d", "left_semi").distinct()
+    last = own.agg(F.max("_d")).first()[0] or 0
+    # written, so that the usual, empty table is known to be small
+    named = land(number_rows(texts, [], [F.col("_d"), F.col("_t")], "_n"), "texts")
+    known = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_t": text})
+    return known.join(named, ["_d", "_t"], "left").withColumn("_id", F.coalesce(F.col("_n") + last, "_d")).drop("_d", "_t", "_n")
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without all but the first of each group; rows without doc_id stay."""
-    result = near_duplicates(docs, threshold)
-    gone = result.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The documents without all but the first of each group; rows without doc_id stay.
+
+    A document is a doc_id with its text. First is the smallest doc_id; where one doc_id stands for different
+    texts, each of them is judged on its own and comes after the doc_ids that name one text. Of rows equal in
+    doc_id and text the one stays whose columns have the smallest hash.
+    """
+    named = _text_ids(docs)
+    result = near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), threshold)
+    gone = result.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
+    left = named.filter(F.col("_id").isNotNull()).join(gone, "_id", "left_anti")
+    once = first_per_key(left, ["_id"], [F.xxhash64(*docs.columns)])
+    return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -114,3 +114,14 @@ def test_keep_one_of_each_group(spark):
     docs = spark.read.parquet(f"{DATA.format('0.001')}/documents.parquet")
     want = {c for _, c, _ in groups_by_hand([tuple(d) for d in docs.select("doc_id", "text").collect()])}
     assert {r.doc_id for r in near_dups.keep_one(docs).collect()} == want
+
+
+def test_texts_that_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (7, c, "x"), (7, a + " more", "x"), (9, b, "x"), (9, b, "y"), (11, "", "x"), (11, None, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [(r.doc_id, r.text) for r in near_dups.keep_one(docs.repartition(4)).collect()]
+    assert sorted((t or "" for _, t in kept), key=str) == sorted([a, a, b, c, "", ""])
+    assert (3, a) in kept and (9, b) in kept and (7, c) in kept and (None, a) in kept and (11, "") in kept and (11, None) in kept
+    one = [(4, a, "x"), (4, b, "x"), (4, c, "x")]
+    assert near_dups.keep_one(spark.createDataFrame(one, docs.schema)).count() == 3
