@@ -96,11 +96,12 @@ class Encoder:
             yield b"".join(map(get, parts))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """One encoder for each vocabulary and Python worker."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+def encoder(vocabulary: str, held: int = WORDS_HELD) -> Encoder:
+    """One encoder for each vocabulary, size of memo and Python worker."""
+    key = (vocabulary, held)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(vocabulary, held=held)
+    return _ENCODERS[key]

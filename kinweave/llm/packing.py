@@ -34,6 +34,7 @@ from kinweave.operators.ranking import number_rows
 
 CAPACITY = 1024
 RUN = 1 << 16
+WORDS_HELD = 200_000  # entries of the memo of words; packing runs beside full JVM heaps in a pipeline
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: length, first rank, pieces, first sequence, offset
@@ -91,7 +92,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["place"] * len(carried)]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        e, end = encoder(vocabulary, WORDS_HELD), np.array([end_id], "<u4").tobytes()
         for b in text_slices(batches):
             rows = []
             more = zip(*(c.to_pylist() for c in b.columns[2:]), strict=True) if place else repeat((), b.num_rows)
