@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import land, number_within, text_column, text_slices
-from kinweave.llm.encode import END_ID, encoder
+from kinweave.llm.encode import END_ID, WORDS_HELD, encoder
 from kinweave.operators.ranking import number_rows
 
 CAPACITY = 1024
 RUN = 1 << 16
-WORDS_HELD = 200_000  # entries of the memo of words; packing runs beside full JVM heaps in a pipeline
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: length, first rank, pieces, first sequence, offset
@@ -85,14 +84,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slot],
     return slots, made
 
 
-def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, place: str | None = None) -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, place: str | None = None,
+        held: int = WORDS_HELD) -> DataFrame:
     """The pieces of each document: spans of its ids with their checksum, and its place if there is one."""
     carried = [F.col(place).cast("long").alias("place")] if place else []
     kinds = (pa.int64(), pa.int32(), *[pa.int64()] * (3 + len(carried)))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["place"] * len(carried)]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(vocabulary, WORDS_HELD), np.array([end_id], "<u4").tobytes()
+        e, end = encoder(vocabulary, held), np.array([end_id], "<u4").tobytes()
         for b in text_slices(batches):
             rows = []
             more = zip(*(c.to_pylist() for c in b.columns[2:]), strict=True) if place else repeat((), b.num_rows)
@@ -125,9 +125,10 @@ def _in_order(rows: DataFrame, slots: list[Slot]) -> DataFrame:
     return seated.join(ids, "seq").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, place: str | None = None) -> DataFrame:
-    """Each piece (span of its document's ids) with its sequence and its offset there."""
-    rows = land(cut(docs, vocabulary, capacity, end_id, place), "pieces")  # texts are encoded once
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, place: str | None = None,
+         held: int = WORDS_HELD) -> DataFrame:
+    """Each piece (span of its document's ids) with its sequence and its offset there; ``held`` bounds the encoder's memo."""
+    rows = land(cut(docs, vocabulary, capacity, end_id, place, held), "pieces")  # texts are encoded once
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     slots, _ = plan(counts, capacity)
     if place:
