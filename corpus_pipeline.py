@@ -17,6 +17,7 @@ from kinweave.llm.common import importable, table
 from kinweave.session import new_folder
 
 VOCABULARY = "byte_bpe_50k.json"
+WORDS_HELD = 200_000  # entries of the encoder's memo: in a pipeline it stands beside grown JVM heaps
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -61,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and their place in it; sequences follow the order of the files."""
-    return packing.pack(mixing.written_order(docs.select("doc_id", "text")), VOCABULARY, place="place")
+    return packing.pack(mixing.written_order(docs.select("doc_id", "text")), VOCABULARY, place="place", held=WORDS_HELD)
 
 
 STAGES: list[tuple[str, Stage]] = [
