@@ -276,19 +276,20 @@ def first_object_text(c: str | Column) -> Column:
     text = F.trim(F.coalesce(as_col(c), F.lit("")))
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.when(text.rlike(r"(?s)```(?:json)?\s*.*?```"), F.trim(fenced)).otherwise(text)
-    # Pieces start at a brace, so the running depth is a fold over few elements.
-    pieces = F.regexp_extract_all(F.regexp_extract(body, r"(?s)\{.*", 0), F.lit(r"[{}][^{}]*"), F.lit(0))
+    # Pieces are strings, braces and what lies between, so the running depth is a fold over few elements
+    # and a brace inside a string does not count.
+    tokens = r'(?s)"(?:[^"\\]++|\\.)*+"|[{}]|[^{}"]++|"'
+    pieces = F.regexp_extract_all(F.regexp_extract(body, r"(?s)\{.*", 0), F.lit(tokens), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("end"))
 
     def step(acc: Column, p: Column) -> Column:
-        depth = acc["depth"] + F.when(F.substring(p, 1, 1) == "{", 1).otherwise(-1)
+        depth = acc["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0)
         i = acc["i"] + 1
         end = F.when((acc["end"] == 0) & (depth == 0), i).otherwise(acc["end"])
         return F.struct(depth.alias("depth"), i.alias("i"), end.alias("end"))
 
     end = F.aggregate(pieces, start, step)["end"]
-    inner = F.slice(pieces, F.lit(1), F.greatest(end - 1, F.lit(0)))
-    return F.when(end > 0, F.concat(F.array_join(inner, ""), F.lit("}")))
+    return F.when(end > 0, F.array_join(F.slice(pieces, F.lit(1), F.greatest(end, F.lit(0))), ""))
 
 
 def kwic(c: str | Column, words: list[str], width: int = 50) -> Column:

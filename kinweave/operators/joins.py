@@ -140,9 +140,13 @@ def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left
     return join_back(a, b, keys, how)
 
 
-def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, col: str) -> DataFrame:
-    """A manual value, where given, wins over the inferred one."""
-    o = overrides.select(F.col(key).alias("_k"), F.col(col).alias("_v"))
+def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, col: str, order: list | None = None) -> DataFrame:
+    """A manual value, where given, wins over the inferred one.
+
+    Of several values for a key the first in ``order`` counts, by default the smallest.
+    """
+    given = overrides.filter(F.col(col).isNotNull())
+    o = first_per_key(given, [key], [*(order or []), F.col(col)]).select(F.col(key).alias("_k"), F.col(col).alias("_v"))
     joined = df.join(o, df[key] == o["_k"], "left")
     return joined.withColumn(col, F.coalesce("_v", F.col(col))).drop("_k", "_v")
 

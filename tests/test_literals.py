@@ -66,6 +66,17 @@ def test_first_object(spark):
     assert one(spark, tx.first_object_text("t"), t='{ nunca {"b": 2}') is None
     assert one(spark, tx.first_object_text("t"), t='```json\n{"a": 1}\n```') == '{"a": 1}'
     assert one(spark, tx.first_object_text("t"), t=None) is None
+    for text in ('{"a": "x } y"}', r'{"a": "q \" } {"}', '{"a": {"b": "{"}}', '{"a": "' + "w\\\\" * 9000 + '}"}'):
+        assert one(spark, tx.first_object_text("t"), t=f"ante {text} post }}") == text
+    assert one(spark, tx.first_object_text("t"), t='{"a": "sin fin } ') == '{"a": "sin fin }'
+
+
+def test_several_overrides_of_one_key(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, pais string")
+    manual = spark.createDataFrame([(1, "z", 1), (1, "y", 2), (1, None, 0), (3, "c", 1), (None, "q", 1)], "id int, pais string, n int")
+    rows = lambda d: sorted((r.id, r.pais) for r in d.collect())
+    assert rows(joins.apply_overrides(df, manual, "id", "pais")) == [(1, "y"), (2, "b"), (3, "c")]
+    assert rows(joins.apply_overrides(df, manual, "id", "pais", [F.col("n")])) == [(1, "z"), (2, "b"), (3, "c")]
     assert one(spark, tx.first_object("t", "struct<a:int>"), t="{roto}") in (None, (None,))
 
 
