@@ -3,9 +3,12 @@
 Two models, toxic and ordinary, share their backoff: the orders below the top one are continuation
 counts (numbers of different histories) gathered from all documents, labelled or not, so a rare
 expression costs either class the same until labelled texts tell them apart. The top order is an
-absolutely discounted count from labelled texts of one class. A text's figures are log-likelihood
-ratios divided by their length: over the whole text, and over the most telling word; a logistic
-curve fitted on labelled texts that the counts have not seen turns them into a probability.
+absolutely discounted count from labelled texts of one class; its history reaches back to the word's
+beginning as far as 8 bytes go, so a stem is told apart whatever is hung on it. A text's figures are its
+log-likelihood ratio per letter; how far its telling words, those whose own ratio is above ``TELLING``,
+reach beyond it, summed; and its number of words, as a sum over more words holds more chance hits. The
+last two go in as logarithms. A logistic curve fitted on labelled texts that the counts have not seen turns
+the figures into a probability.
 
 N-grams are counted exactly, as rows: tasks add up what they meet and send it on, so what is gathered
 grows with the input. The driver and the tasks hold only the grams of counted labelled texts (at most
@@ -16,7 +19,7 @@ the history. Labels are taken from at most ``fit_rows`` labelled
 rows (all of them up to that bound, else those with the smallest hashes of their ids): two thirds
 count, one third sets the curve. Figures of all texts are computed where the rows are read.
 
-Cases: null and empty texts, and texts without a letter, have figures of 0; equal rows get equal
+Cases: null and empty texts, and texts without a letter, have figures of 0; a word of any length counts once; equal rows get equal
 scores; a null doc_id is scored and never held out; rows of one doc_id are scored on their own
 texts; without labels of both kinds every score is 0 (nothing is rejected); an empty table gives
 no rows; other columns are not read.
@@ -34,7 +37,9 @@ from pyspark.sql import functions as F
 from kinweave.llm.bytegrams import MASKS, mixed, parts, word_grams
 from kinweave.llm.common import FIT_ROWS, fold, ids_of, land, sample, text_column, text_slices
 
-TOP, MIDDLE, LOW = 6, 4, 2  # bytes of a gram at each order; below them single bytes
+TOP, MIDDLE, LOW = 8, 6, 2  # bytes of a gram at each order; below them single bytes
+TELLING = 2.0  # log-likelihood ratio from which a word tells
+FIGURES = ["whole", "telling", "words"]
 HELD_GRAMS = 1 << 20
 DISCOUNT = 0.75
 REJECT_FROM = 0.3
@@ -216,10 +221,9 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
 
 
 def figures(texts: list[str], table: Ratios) -> np.ndarray:
-    """For each text: ratio per letter, the largest ratio per letter of a word, the largest ratio of a word."""
+    """For each text: ratio per letter, log(1 + what its words' ratios have above TELLING), log(1 + number of words)."""
     n = len(texts)
-    total, size = np.zeros(n), np.zeros(n)
-    per_letter, of_word = np.full(n, -np.inf), np.full(n, -np.inf)
+    total, size, telling, words = np.zeros((4, n))
     for rows, some in parts(texts):
         g, text, ends = word_grams(some, TOP)
         if not len(g):
@@ -228,12 +232,10 @@ def figures(texts: list[str], table: Ratios) -> np.ndarray:
         total += np.bincount(row, r, n)
         size += np.bincount(row, minlength=n)
         stop = np.flatnonzero(ends)
-        start = np.concatenate([[0], stop[:-1] + 1])
-        word = np.add.reduceat(r, start)
-        np.maximum.at(of_word, row[stop], word)
-        np.maximum.at(per_letter, row[stop], word / (stop - start + 1))
-    some = size > 0
-    return np.where(some, [total / np.maximum(size, 1), np.where(some, per_letter, 0), np.where(some, of_word, 0)], 0).T
+        of_word = np.add.reduceat(r, np.concatenate([[0], stop[:-1] + 1]))
+        telling += np.bincount(row[stop], np.maximum(of_word - TELLING, 0), n)
+        words += np.bincount(row[stop], minlength=n)
+    return np.array([total / np.maximum(size, 1), np.log1p(telling), np.log1p(words)]).T
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -264,24 +266,23 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
         for b in text_slices(batches):
             f = figures(text_column(b).to_pylist(), table.value)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in f.T)],
-                                             names=["doc_id", "whole", "per_letter", "of_word"])
+                                             names=["doc_id", *FIGURES])
 
-    measured = land(rows.mapInArrow(measure, "doc_id long, whole double, per_letter double, of_word double"), "toxicity")
-    names = ["whole", "per_letter", "of_word"]
+    measured = land(rows.mapInArrow(measure, "doc_id long, " + ", ".join(f"{n} double" for n in FIGURES)), "toxicity")
     known = spark.createDataFrame(
         [(int(i), int(y)) for i, y, f in zip(ids, classes, folds, strict=True) if f == 3], "doc_id long, y int")
-    fit = measured.join(known, "doc_id").groupBy("doc_id", "y").agg(*(F.max(n).alias(n) for n in names)).orderBy("doc_id").toPandas()
+    fit = measured.join(known, "doc_id").groupBy("doc_id", "y").agg(*(F.max(n).alias(n) for n in FIGURES)).orderBy("doc_id").toPandas()
     y = fit["y"].to_numpy(float)
     if 0 < y.sum() < len(y) and any_toxic:
-        *w, start = logistic(fit[names].to_numpy(), y)
+        *w, start = logistic(fit[FIGURES].to_numpy(), y)
         odds = F.lit(float(start))
-        for n, v in zip(names, w, strict=True):
+        for n, v in zip(FIGURES, w, strict=True):
             odds = odds + F.col(n) * float(v)
         probability = 1 / (1 + F.exp(-odds))
     else:
         probability = F.lit(0.0)
     held_out = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
-    return measured.select("doc_id", held_out.alias("held_out"), probability.alias("score"), *names)
+    return measured.select("doc_id", held_out.alias("held_out"), probability.alias("score"), *FIGURES)
 
 
 def judged(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_FROM) -> DataFrame:
