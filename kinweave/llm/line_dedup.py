@@ -1,14 +1,15 @@
 """Operator 6: lines that many documents share are dropped everywhere but in one document.
 
-A line's key is the line without outer white space and with A-Z lower-cased. Keys travel as two
-64-bit hashes; each (key, document) counts once and is reduced before it is counted, so a line in
-a third of all documents is an ordinary sum, and the join that tells each document its dropped
-keys is one whose large partitions Spark splits. Texts are moved once, to meet their dropped keys.
+A line's key is the line without outer white space and with A-Z lower-cased. Long lines are exploded
+with their positions and written once, with two 64-bit hashes of their keys; each (key, document)
+counts once and is reduced before it is counted, so a line in a third of all documents is an ordinary
+sum, and the join that gives the positions to drop is one whose large partitions Spark splits. Texts
+are moved once, to meet their positions, and put together again in time linear in their lines.
 
 Cases: a null or empty text is one empty line and stays as it is; the largest doc_id keeps its
 lines with a common key, all of them; rows with one doc_id count as one document and lose the same
-lines; rows without doc_id are not counted and keep their lines; equal rows are all kept; an empty
-table gives no rows; extra columns are kept, ``n_lines`` and ``n_dropped`` replace such columns.
+lines, each text by its own positions; rows without doc_id are not counted and keep their lines; equal
+rows are all kept; a text of any number of lines is one row again; an empty table gives no rows; extra columns are kept, ``n_lines`` and ``n_dropped`` replace such columns.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.common import land
+
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -25,38 +28,39 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _hashes(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def common_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """For each document the hashes of the common keys that it loses: doc_id, _drop."""
+def common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """Positions of the lines that a text loses: doc_id, _text (hash of the text), _drop."""
+    key = line_key(F.col("line"))
     long_lines = (
         docs.filter(F.col("doc_id").isNotNull())
-        .select("doc_id", F.explode(_lines(F.col("text"))).alias("line"))
+        .withColumn("_text", F.xxhash64("text"))  # once for each text, below the explosion
+        .select("doc_id", "_text", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
         .filter(F.length("line") >= min_chars)  # trimming only shortens
-        .select("doc_id", line_key(F.col("line")).alias("key"))
+        .select("doc_id", "_text", "pos", key.alias("key"))
         .filter(F.length("key") >= min_chars)
+        .select("doc_id", "_text", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"))
     )
-    pairs = long_lines.select("doc_id", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b")).distinct()
+    long_lines = land(long_lines, "lines")
+    pairs = long_lines.select("doc_id", "a", "b").distinct()
     common = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")).filter(F.col("n") >= min_docs)
-    lost = pairs.join(common, ["a", "b"]).filter(F.col("doc_id") != F.col("holder"))
-    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("_drop"))
+    lost = long_lines.join(common, ["a", "b"]).filter(F.col("doc_id") != F.col("holder"))
+    return lost.groupBy("doc_id", "_text").agg(F.collect_set("pos").alias("_drop"))
 
 
 def drop_common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The documents with their other lines joined by line breaks, and n_lines, n_dropped."""
-    lines = _lines(F.col("text"))
-    kept = F.filter(F.col("_lines"), lambda x: ~F.array_contains(F.col("_drop"), _hashes(line_key(x))))
-    out = docs.join(common_keys(docs, min_chars, min_docs), "doc_id", "left").withColumn("_lines", lines)
-    out = out.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
+    kept = F.array_join(F.transform(places, lambda i: F.get("_lines", i)), "\n")
+    out = docs.withColumn("_text", F.xxhash64("text"))
+    out = out.join(common_lines(docs, min_chars, min_docs), ["doc_id", "_text"], "left")
+    out = out.withColumn("_lines", _lines(F.col("text")))
     out = out.withColumn("n_lines", F.size("_lines").cast("long"))
-    out = out.withColumn("n_dropped", (F.size("_lines") - F.size("_kept")).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
+    out = out.withColumn("n_dropped", F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"))
+    out = out.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept))
     names = [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]
     return out.select(*names)
 

@@ -59,6 +59,15 @@ def test_lines_of_a_hot_line(spark):
     assert sorted(repr(tuple(r)) for r in rows) == lines_by_hand(docs, 40, 5)
 
 
+def test_lines_of_texts_that_lose_thousands(spark):
+    """Copies of a text of many common lines, some of them repeated, and two texts under one doc_id."""
+    many = [f"common line number {i:06d} that is long enough to count as one" for i in range(12_000)]
+    body = "\n".join(x for i, y in enumerate(many) for x in ([y, "short", y] if i % 1000 == 0 else [y]))
+    docs = [*((i, f"{body}\nown {i}") for i in range(6)), (2, f"other\n{many[7]}\n{many[7]} \n"), (None, body), (5, many[0])]
+    rows = line_dedup.drop_common_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(repr(tuple(r)) for r in rows) == lines_by_hand(docs, 40, 5)
+
+
 # --- weak rules ----------------------------------------------------------------
 
 def base_by_hand(text):
