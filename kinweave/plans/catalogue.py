@@ -6,6 +6,7 @@ from kinweave.plans import (  # noqa: F401
     queries_distances,
     queries_graph,
     queries_joins,
+    queries_phrases,
     queries_reports,
     queries_rules,
     queries_shape,
