@@ -11,6 +11,7 @@ from kinweave.plans import (  # noqa: F401
     queries_rules,
     queries_shape,
     queries_sources,
+    queries_tags,
     queries_text,
     queries_windows,
 )

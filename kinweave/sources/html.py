@@ -40,7 +40,11 @@ def _entities(text: Column) -> Column:
 
 def plain(html: Column) -> Column:
     """Text of a fragment: no tags, entities decoded, trimmed."""
-    text = F.regexp_replace(html, r"<[^>]*>", "")
+    return decode(F.regexp_replace(html, r"<[^>]*>", ""))
+
+
+def decode(text: Column) -> Column:
+    """Text with its entities decoded, trimmed."""
     return F.trim(F.when(F.contains(text, F.lit("&")), _entities(text)).otherwise(text))
 
 
