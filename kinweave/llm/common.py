@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from kinweave.session import new_folder
 
 
 FIT_ROWS = 200_000
+TIE_SAMPLE = 100_000  # rows in which frequent equal rows are looked for; it moves the balance only
+TIE_PART = 1_000  # more than one row in so many is frequent, so fewer than this are
 
 
 def importable(spark: SparkSession) -> None:
@@ -57,19 +62,51 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22, name: s
             row = upto
 
 
+def with_row_index(df: DataFrame, name: str = "_salt") -> DataFrame:
+    """Add the number of each row in its file, the same whenever it is read; other tables are written first."""
+    index = F.col("_metadata.row_index").alias(name)
+    try:
+        return df.select(*df.columns, index)
+    except AnalysisException:
+        return land(df, "rows").select(*df.columns, index)
+
+
+def _frequent(df: DataFrame, by: str, order: Sequence[str], total: int) -> DataFrame | None:
+    """Values of (by, order) that make up more than a thousandth of a bounded sample: fewer than 1,000 rows."""
+    part = df.select(by, *order).sample(min(1.0, TIE_SAMPLE / max(total, 1)), seed=7)
+    least = max(1, min(total, TIE_SAMPLE) // TIE_PART)
+    rows = part.groupBy(by, *order).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).limit(2 * TIE_PART).drop("_n")
+    found = rows.collect()
+    return df.sparkSession.createDataFrame(found, rows.schema) if found else None
+
+
+def in_chunks(df: DataFrame, by: str, order: Sequence[str], counts: dict, chunk_rows: int) -> DataFrame:
+    """Add ``_chunk``: each value of ``by`` in hash chunks of about ``chunk_rows`` rows; takes ``_salt`` away."""
+    key = [F.col(c) for c in order]
+    often = _frequent(df, by, order, sum(counts.values())) if "_salt" in df.columns else None
+    if often is not None:
+        names = {c: f"_often{i}" for i, c in enumerate([by, *order])}
+        often = F.broadcast(often.select(*[F.col(c).alias(n) for c, n in names.items()], F.lit(True).alias("_often")))
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+        df = df.join(often, same, "left").drop(*names.values())
+        key.append(F.when(F.col("_often"), F.col("_salt")))
+    kind = df.schema[by].dataType.simpleString()
+    sizes_of = df.sparkSession.createDataFrame(
+        [(k, max(1, -(-n // chunk_rows))) for k, n in counts.items()], f"{by} {kind}, _chunks long")
+    return df.join(F.broadcast(sizes_of), by).withColumn(
+        "_chunk", F.pmod(F.xxhash64(*key), F.col("_chunks"))).drop("_chunks", "_often", "_salt")
+
+
 def number_within(df: DataFrame, by: str, order: Sequence[str], counts: dict, chunk_rows: int = 256) -> DataFrame:
     """Add ``rank`` (0, 1, …) within each value of ``by``, without sorting a group in one task.
 
     ``counts``: rows for each value, a map of bounded size made by the caller. A group is cut
     into hash chunks of about ``chunk_rows`` rows; chunks are numbered on their own and moved by
-    the sizes of the chunks before them. The order is that of (chunk, order columns).
+    the sizes of the chunks before them. The order is that of (chunk, order columns), which tell
+    rows apart but for equal ones. With a column ``_salt`` (``with_row_index``) rows that are equal in
+    very great number are dealt over all chunks of their group; it is not returned.
     """
-    spark = df.sparkSession
-    kind = df.schema[by].dataType
-    sizes_of = spark.createDataFrame(
-        [(k, max(1, -(-n // chunk_rows))) for k, n in counts.items()], f"{by} {kind.simpleString()}, _chunks long")
-    x = df.join(F.broadcast(sizes_of), by).withColumn(
-        "_chunk", F.pmod(F.xxhash64(*order), F.col("_chunks"))).drop("_chunks")
+    x = in_chunks(df, by, order, counts, chunk_rows)
     sizes = x.groupBy(by, "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select(by, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -11,9 +11,9 @@ are kept, and the bound holds again within each such phase.
 The map of weights is a parameter of bounded size; sources that it does not name share the entry
 ``other``. Documents are numbered in hash chunks, so a source with a third of all rows is many tasks.
 
-Cases: a null source and a source that is not named are ``other`` (weight ``other_weight``); equal
-rows stay, one after the other's place; null doc_ids are numbered like others; an empty table gives
-no rows; extra columns are kept, and ``mix_source``, ``block``, ``slot`` and ``position`` replace such columns.
+Cases: a null source and a source that is not named are ``other`` (weight ``other_weight``); rows
+of one doc_id are told apart by a hash of all their columns (maps left out), and rows equal in all are
+dealt over the tasks; null doc_ids are numbered like others; an empty table gives no rows; extra columns are kept, and ``mix_source``, ``block``, ``slot`` and ``position`` replace such columns.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import number_within
+from kinweave.llm.common import number_within, with_row_index
 
 OTHER = "other"
 BLOCK_DOCS = 16
@@ -82,12 +82,13 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, other_weight: int
     added = ("mix_source", "block", "slot", "position")
     kept = [c for c in docs.columns if c not in added]
     source = F.coalesce(F.when(F.col("source").isin(*weights), F.col("source")), F.lit(OTHER))
-    rows = docs.select(*kept).withColumn("mix_source", source)
+    told = [f.name for f in docs.schema.fields if f.name in kept and "map<" not in f.dataType.simpleString()]
+    rows = with_row_index(docs.select(*kept)).withColumns({"mix_source": source, "_tie": F.xxhash64(*told)})
     counts = {r["mix_source"]: r["n"] for r in rows.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
     plan = phases({OTHER: other_weight, **weights}, {s: -(-n // block_docs) for s, n in counts.items()})
     schedule = spark.createDataFrame(
         plan, "mix_source string, first long, after long, base long, length long, slots array<long>")
-    rows = number_within(rows, "mix_source", ["doc_id"], counts)
+    rows = number_within(rows, "mix_source", ["doc_id", "_tie"], counts)
     rows = rows.withColumn("block", F.floor(F.col("rank") / block_docs)).join(F.broadcast(schedule), "mix_source").filter(
         (F.col("block") >= F.col("first")) & (F.col("block") < F.col("after")))
     i, n = F.col("block") - F.col("first"), F.size("slots")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import land, number_within, text_column, text_slices
+from kinweave.llm.common import land, number_within, text_column, text_slices, with_row_index
 from kinweave.llm.encode import END_ID, WORDS_HELD, encoder
 from kinweave.operators.ranking import number_rows
 
@@ -144,6 +144,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
                 [*b.columns[:5], pa.array(s[at, 3] + rank - s[at, 1]), pa.array(s[at, 4])],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    numbered = number_within(rows, "length", ["doc_id", "piece", "ids_crc32"], counts)
+    numbered = number_within(with_row_index(rows), "length", ["doc_id", "piece", "ids_crc32"], counts)
     return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long")).mapInArrow(
         seat, f"{PIECE_SCHEMA}, sequence_id long, offset long")

@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from kinweave.llm import line_dedup, mixing, url_filter, weak_rules
+from kinweave.llm import common, line_dedup, mixing, url_filter, weak_rules
 from kinweave.llm.queries import ORACLES, QUERIES
 from tests.compare import DATA, differences
 from tests.llm.conftest import CASES
@@ -226,3 +227,14 @@ def test_kept_text_digest(spark):
     r = QUERIES["op6_line_dedup"](spark, SF).filter("n_dropped = 0").first()
     text = spark.read.parquet(f"{SF}/documents.parquet").filter(f"doc_id = {r.doc_id}").first().text
     assert r.kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_rows_without_ids_are_many_chunks(spark):
+    equal = spark.range(30_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'' AS text", "'src0' AS source")
+    other = spark.range(10_000).selectExpr("IF(id % 2 = 0, NULL, 7L) AS doc_id", "CAST(id AS STRING) AS text", "'src0' AS source")
+    docs = common.land(equal.union(other), "rows")
+    rows = common.with_row_index(docs).withColumn("_tie", F.xxhash64(*docs.columns))
+    chunks = common.in_chunks(rows, "source", ["doc_id", "_tie"], {"src0": 40_000}, 256).groupBy("_chunk").count()
+    assert chunks.agg(F.max("count")).scalar() < 512
+    first, again = (sorted(mixing.mix(docs).select("text", "position").collect()) for _ in range(2))
+    assert first == again and len({r.position for r in first}) == 40_000
