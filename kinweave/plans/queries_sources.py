@@ -71,6 +71,17 @@ def _(fx):
     return tables.read_partitioned(fx.spark, f"{path}/pais=*/*.csv", r"pais=([^/]+)/")
 
 
+@query("s06_rewrite_country", "v_person", """
+    SELECT url, CASE WHEN pais = 'ASIA' THEN upper(nombre) ELSE nombre END AS nombre, pais FROM v_person
+    WHERE pais <> 'ASIA' OR familia <> 'BUILDING'""")
+def _(fx):
+    path = new_folder(fx.spark, "s06")
+    tables.write_by_country(fx.person().select("url", "nombre", "pais"), path)
+    again = fx.person().filter("pais = 'ASIA' AND familia <> 'BUILDING'").select("url", F.upper("nombre").alias("nombre"), "pais")
+    tables.write_by_country(again, path, only_given=True)
+    return tables.read_partitioned(fx.spark, f"{path}/pais=*/*.csv", r"pais=([^/]+)/")
+
+
 @query("s07_manifest", "v_person", "SELECT pais, count(*) AS filas FROM v_person GROUP BY pais")
 def _(fx):
     return tables.manifest(fx.person(), "pais")

@@ -88,9 +88,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", skip_empty: bool = T
     return True
 
 
-def write_by_country(df: DataFrame, path: str, col: str = "pais", fmt: str = "csv", sep: str = ";") -> None:
-    """One directory per country (S06); the rebalance splits a country too large for a task."""
+def write_by_country(
+    df: DataFrame, path: str, col: str = "pais", fmt: str = "csv", sep: str = ";", only_given: bool = False,
+) -> None:
+    """One directory per country (S06); the rebalance splits a country too large for a task.
+
+    ``only_given`` replaces the countries that ``df`` holds and leaves the directories of all others as they are.
+    """
     w = df.hint("rebalance", F.col(col)).write.mode("overwrite").partitionBy(col)
+    w = w.option("partitionOverwriteMode", "dynamic" if only_given else "static")
     if fmt == "csv":
         w = w.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
     w.format(fmt).save(path)
