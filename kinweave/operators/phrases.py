@@ -22,6 +22,10 @@ GAP = r"[^\p{L}\p{N}_]"
 WIDTH = 3  # words of the longest n-gram that is hashed; longer phrases are chains of them
 SAMPLE_ROWS = 2_000  # texts that hot n-grams are looked for in; it moves the balance only
 HOT_PART = 1_000  # an n-gram is hot when more than one in so many is it, so hot ones are fewer than this
+KNOWN_PART = 200_000  # likewise of n-grams that are answered where they are read
+FEW_LABELS = 16  # labels of a phrase that is answered there
+SLOTS = 1 << 21  # of the dictionary's filter, 64 bits each; beyond some 10 million phrases it lets more grams through
+GRAM = ["k1", "k2", "n"]
 
 
 def pieces(text: Column) -> Column:
@@ -34,15 +38,14 @@ def _words(parts: Column) -> Column:
     return F.floor((F.size(parts) + 1) / 2).cast("int")
 
 
-def _gram(parts: Column, start: Column, n: int | Column, width: int) -> Column:
-    """``n`` words from ``start``, element by element: a slice would copy the whole array each time."""
-    last = 2 * (n if isinstance(n, Column) else F.lit(n)) - 1
-    return F.concat_ws("", *[F.when(F.lit(i) < last, F.get(parts, 2 * start + i)) for i in range(2 * width - 1)])
+def _hashed(parts: Column) -> list[Column]:
+    """Two hashes of each piece, of 64 and 32 bits, as arrays."""
+    return [F.transform(parts, lambda p: F.xxhash64(p)).alias("_a"), F.transform(parts, lambda p: F.hash(p)).alias("_b")]
 
 
-def _key(gram: Column) -> list[Column]:
-    """96 bits of a gram: texts are not carried through the shuffle."""
-    return [F.xxhash64(gram).alias("k1"), F.hash(gram).alias("k2")]
+def _key(of64: list[Column], of32: list[Column]) -> list[Column]:
+    """96 bits of a gram from the hashes of its pieces, nulls left out: texts are not carried through the shuffle."""
+    return [F.xxhash64(*of64).alias("k1"), F.hash(*of32).alias("k2")]
 
 
 def _blocks(phrases: DataFrame, width: int) -> DataFrame:
@@ -56,40 +59,60 @@ def _blocks(phrases: DataFrame, width: int) -> DataFrame:
     last = F.greatest(F.col("n_words") - width, F.lit(0))
     places = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(width - 1)), F.array(last)))
     each = each.withColumn("n", F.least("n_words", F.lit(width))).withColumn("_places", places)
-    each = each.withColumn("n_blocks", F.size("_places"))
+    each = each.select("*", F.size("_places").alias("n_blocks"), *_hashed(F.col("_p")), F.xxhash64("phrase").alias("p1"), F.hash("phrase").alias("p2"))
     at = each.select("*", F.explode("_places").alias("place"))
-    return at.select("phrase", "labels", "n_words", "n", "n_blocks", "place", *_key(_gram(F.col("_p"), F.col("place"), F.col("n"), width)))
+    gram = [[F.when(F.lit(i) < 2 * F.col("n") - 1, F.get(c, 2 * F.col("place") + i)) for i in range(2 * width - 1)] for c in ("_a", "_b")]
+    return at.select("phrase", "p1", "p2", "labels", "n_words", "n", "n_blocks", "place", *_key(*gram))
 
 
 def _grams(df: DataFrame, keys: list[str], text: Column, lengths: list[int]) -> DataFrame:
     """Hashed n-grams of each text with the number of their first word."""
-    def of_length(n: int) -> Column:
-        starts = F.when(F.col("_n") >= n, F.sequence(F.lit(0), F.col("_n") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), *_key(_gram(F.col("_p"), i, n, n))))
-
-    cut_up = df.select(*keys, pieces(text).alias("_p")).withColumn("_n", _words(F.col("_p")))
+    longest = max(lengths)
+    every = lambda c, rest: F.filter(c, lambda _, i: i % 2 == rest)
+    cut_up = df.select(*keys, pieces(text).alias("_p")).select(*keys, *_hashed(F.col("_p")))
+    cut_up = cut_up.select(*keys, *[every(c, rest).alias(f"{c}{rest}") for c in ("_a", "_b") for rest in (0, 1)])
+    later = lambda c, i: F.slice(c, i + 1, F.size(c)) if i else F.col(c)
+    # row by row: the word, the gap after it, the next word and so on, null beyond the end
+    beside = F.arrays_zip(*[later(f"{c}{i % 2}", i // 2).alias(f"{c}_{i}") for c in ("_a", "_b") for i in range(2 * longest - 1)])
     # the outer form, as the inner one makes Spark build the array a second time to test its size
-    return cut_up.select(*keys, F.inline_outer(F.flatten(F.array(*[of_length(n) for n in lengths])))).filter("start IS NOT NULL")
+    rows = cut_up.select(*keys, F.posexplode_outer(beside).alias("start", "_w")).filter("start IS NOT NULL")
+    at = lambda c, n: [F.col(f"_w.{c}_{i}") for i in range(2 * n - 1)]
+    each = F.array(*[
+        F.struct(F.lit(n).alias("n"), *[F.when(F.col(f"_w._a_{2 * n - 2}").isNotNull(), k).alias(name)
+                                        for name, k in zip(("k1", "k2"), _key(at("_a", n), at("_b", n)), strict=True)]) for n in lengths])
+    return rows.select(*keys, "start", F.inline(each)).filter("k1 IS NOT NULL")
+
 
+def _frequent(grams: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Grams that are frequent in a sample, fewer than ``KNOWN_PART``, with what the dictionary says of them.
 
-def _hot(grams: DataFrame) -> DataFrame:
-    """Grams that make up more than a thousandth of a sample: fewer than a thousand rows, whatever the input."""
+    ``settled`` ones are no block of a chain, so ``phrase`` (null: none) and its few labels are the whole answer;
+    ``hot`` ones of the others are to be salted.
+    """
     counts = land(grams.groupBy("k1", "k2", "n").agg(F.count("*").alias("c")), "gram-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).scalar()
-    return land(counts.filter(F.col("c") * HOT_PART > total).select("k1", "k2", "n", F.lit(True).alias("hot")), "hot-grams")
+    known = counts.filter(F.col("c") * KNOWN_PART > total).filter("c > 1").withColumn("hot", F.col("c") * HOT_PART > total).drop("c")
+    own = blocks.filter("n_blocks = 1").filter(F.size("labels") <= FEW_LABELS).select("k1", "k2", "n", "phrase", "p1", "p2", "n_words", "labels")
+    open_ones = blocks.filter((F.col("n_blocks") > 1) | (F.size("labels") > FEW_LABELS)).select("k1", "k2", "n", F.lit(True).alias("open")).distinct()
+    told = F.broadcast(known).join(open_ones, GRAM, "left_outer").withColumn("settled", F.col("open").isNull()).drop("open")
+    return land(told.join(own, GRAM, "left_outer"), "frequent-grams")
 
 
-def phrase_hits(
-    df: DataFrame, keys: list[str], text_cols: list[str], phrases: DataFrame,
-    longest: bool = True, width: int = WIDTH,
-) -> DataFrame:
-    """Where phrases stand in texts: ``keys, start, n_words, phrase, pos, label``, a row for each label.
+def _mask() -> Column:
+    return F.expr("shiftleft(1L, CAST(shiftright(k1, 32) & 63 AS INT)) | shiftleft(1L, k2 & 63)")
 
-    ``keys`` name one text. ``longest`` leaves out hits that lie inside a longer one. Hot grams, found in a
-    bounded sample, are spread over all partitions by a salt and their phrases repeated; the sample decides only
-    where rows go. Null texts hold nothing. Phrases of more than ``width`` words are found when all
-    their grams, which overlap by one word, stand in their places.
-    """
+
+def _slots(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """A filter of the dictionary's grams: 64 bits for each slot, two of them set by a gram; at most ``SLOTS`` rows."""
+    n = blocks.count()
+    slots = 1 << 10
+    while 64 * slots < 16 * n and slots < SLOTS:
+        slots *= 2
+    return land(blocks.groupBy(F.col("k1").bitwiseAND(slots - 1).alias("slot")).agg(F.bit_or(_mask()).alias("bits")), "gram-filter"), slots
+
+
+def _found(df: DataFrame, keys: list[str], text_cols: list[str], phrases: DataFrame, longest: bool, width: int) -> DataFrame:
+    """``keys, start, n_words, phrase, p1, p2, labels``: a row for each place of each phrase; p1 and p2 name the phrase."""
     if width < 2:
         raise ValueError("grams of a chain overlap by one word: width is 2 or more")
     spark = df.sparkSession
@@ -98,21 +121,47 @@ def phrase_hits(
     lengths = sorted(r["n"] for r in blocks.select("n").distinct().collect())  # at most `width` numbers
     grams = _grams(df, keys, text, lengths or [1])
     part = min(1.0, SAMPLE_ROWS / max(df.count(), 1))
-    hot = F.broadcast(_hot(_grams(df.sample(part, seed=7), keys, text, lengths or [1])))
+    frequent = _frequent(_grams(df.sample(part, seed=7), keys, text, lengths or [1]), blocks)
+    of_phrase = ["n_words", "phrase", "p1", "p2", "labels"]
+    answered = grams.join(F.broadcast(frequent.filter("settled AND phrase IS NOT NULL")), GRAM).select(*keys, "start", *of_phrase)
+    # the others: what the filter lets through goes to the dictionary
+    kept, slots = _slots(blocks)
+    rest = grams.join(F.broadcast(frequent.select(*GRAM, "settled", "hot")), GRAM, "left").filter("NOT coalesce(settled, false)")
+    rest = rest.withColumn("slot", F.col("k1").bitwiseAND(slots - 1)).join(F.broadcast(kept), "slot").filter(
+        F.col("bits").bitwiseAND(_mask()) == _mask())
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    on = ["k1", "k2", "n"]
-    spread = grams.join(hot, on, "left").withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.hash(*keys, "start"), F.lit(salts))).otherwise(0)).drop("hot")
+    spread = rest.select(*keys, "start", *GRAM, F.when(F.col("hot"), F.pmod(F.hash(*keys, "start"), F.lit(salts))).otherwise(0).alias("salt"))
     copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    dictionary = blocks.join(hot, on, "left").withColumn("salt", F.explode(copies)).drop("hot")
-    met = spread.join(dictionary, [*on, "salt"])
-    begun = met.withColumn("start", F.col("start") - F.col("place"))
-    found = begun.groupBy(*keys, "start", "phrase").agg(
-        F.count("*").alias("_met"), *[F.min(c).alias(c) for c in ("n_words", "n_blocks", "labels")]).filter("_met = n_blocks")
+    hot = F.broadcast(frequent.filter("hot AND NOT settled").select(*GRAM, "hot"))
+    dictionary = blocks.join(hot, GRAM, "left").withColumn("salt", F.explode(copies)).drop("hot")
+    met = spread.join(dictionary, [*GRAM, "salt"])
+    found = answered.unionByName(met.filter("n_blocks = 1").select(*keys, "start", *of_phrase))
+    if not blocks.filter("n_blocks > 1").isEmpty():
+        begun = met.filter("n_blocks > 1").withColumn("start", F.col("start") - F.col("place"))
+        chains = begun.groupBy(*keys, "start", "p1", "p2").agg(
+            F.count("*").alias("_met"), F.min("n_blocks").alias("n_blocks")).filter("_met = n_blocks")
+        names = blocks.filter("n_blocks > 1 AND place = 0").select(*of_phrase)
+        found = found.unionByName(chains.select(*keys, "start", "p1", "p2").join(names, ["p1", "p2"]))
     if longest:
         end = F.col("start") + F.col("n_words")
         before = W.partitionBy(*keys).orderBy("start", F.desc("n_words")).rowsBetween(W.unboundedPreceding, -1)
         found = found.withColumn("_reach", F.max(end).over(before)).filter(F.col("_reach").isNull() | (F.col("_reach") < end))
+    return found
+
+
+def phrase_hits(
+    df: DataFrame, keys: list[str], text_cols: list[str], phrases: DataFrame,
+    longest: bool = True, width: int = WIDTH,
+) -> DataFrame:
+    """Where phrases stand in texts: ``keys, start, n_words, phrase, pos, label``, a row for each label.
+
+    ``keys`` name one text. ``longest`` leaves out hits that lie inside a longer one. Grams that are frequent in a
+    bounded sample are answered where they are read. Of the others only those that a filter of the dictionary lets
+    through are shuffled and met with it exactly; sample and filter decide only where rows go. Null texts hold
+    nothing. Phrases of more than ``width`` words are found when all their grams, which overlap by one word, stand
+    in their places.
+    """
+    found = _found(df, keys, text_cols, phrases, longest, width)
     return found.select(*keys, "start", "n_words", "phrase", F.inline("labels"))
 
 
@@ -121,33 +170,39 @@ def phrase_join(
     out: str = "vinculo", longest: bool = True,
 ) -> DataFrame:
     """One row per text and other label whose phrases occur, with hits and different phrases."""
-    hits = phrase_hits(df, [id_col, own_key], text_cols, phrases, longest)
+    found = _found(df, [id_col, own_key], text_cols, phrases, longest, WIDTH)
+    hits = found.select(id_col, own_key, "p1", "p2", F.inline("labels"))
     other = hits.filter(F.coalesce(F.lower(F.trim(own_key)) != F.lower(F.trim("label")), F.lit(True)))
-    return other.groupBy(id_col, own_key, F.col("label").alias(out)).agg(
-        F.count("*").alias("n_hits"), F.count_distinct("phrase").alias("n_phrases"))
+    each = other.groupBy(id_col, own_key, "label", "p1", "p2").agg(F.count("*").alias("n"))
+    return each.groupBy(id_col, own_key, F.col("label").alias(out)).agg(
+        F.sum("n").alias("n_hits"), F.count("*").alias("n_phrases"))
+
+
+def _labels_of(df: DataFrame, id_col: str, text_cols: list[str], phrases: DataFrame) -> DataFrame:
+    """Different labels of each text, joined on the map side before anything orders them."""
+    return phrase_hits(df, [id_col], text_cols, phrases, longest=False).select(id_col, "pos", "label").distinct()
 
 
 def infer_by_phrases(df: DataFrame, id_col: str, text_cols: list[str], phrases: DataFrame, out: str = "pais") -> DataFrame:
     """First label in dictionary order with a phrase in the text; texts without one are not returned."""
-    hits = phrase_hits(df, [id_col], text_cols, phrases, longest=False)
+    hits = _labels_of(df, id_col, text_cols, phrases)
     return hits.groupBy(id_col).agg(F.min(F.struct("pos", "label"))["label"].alias(out))
 
 
 def mentions_by_phrases(df: DataFrame, id_col: str, own: str, fields: dict[str, str], phrases: DataFrame) -> DataFrame:
     """Other labels named in each field, once per kind, with the first field."""
-    per_field = F.array(*[
-        F.struct(F.lit(i).alias("_field"), F.lit(kind).alias("tipo_vinculo"), F.col(f).alias("_text"))
-        for i, (f, kind) in enumerate(fields.items())])
+    per_field = F.array(*[F.struct(F.lit(i).alias("_field"), F.col(f).alias("_text")) for i, f in enumerate(fields)])
     rows = df.select(id_col, own, F.inline(per_field))
-    hits = phrase_hits(rows, [id_col, own, "_field", "tipo_vinculo"], ["_text"], phrases, longest=False)
+    hits = phrase_hits(rows, [id_col, own, "_field"], ["_text"], phrases, longest=False)
     other = hits.filter(F.coalesce(F.lower(F.trim(own)) != F.lower(F.trim("label")), F.lit(True)))
-    first = other.groupBy(id_col, own, F.col("label").alias("vinculo"), "tipo_vinculo").agg(F.min("_field").alias("_field"))
-    found = F.get(F.array(*[F.lit(f) for f in fields]), F.col("_field"))
-    return first.withColumn("campo_detectado", found).drop("_field")
+    of_field = lambda names: F.get(F.array(*[F.lit(f) for f in names]), F.col("_field"))
+    kind = of_field(fields.values()).alias("tipo_vinculo")
+    first = other.groupBy(id_col, own, F.col("label").alias("vinculo"), kind).agg(F.min("_field").alias("_field"))
+    return first.withColumn("campo_detectado", of_field(fields)).drop("_field")
 
 
 def targets_by_phrases(df: DataFrame, id_col: str, text_cols: list[str], phrases: DataFrame, out: str = "conecta_con") -> DataFrame:
     """Labels with a phrase in the text as one list, in dictionary order."""
-    hits = phrase_hits(df, [id_col], text_cols, phrases, longest=False)
+    hits = _labels_of(df, id_col, text_cols, phrases)
     labels = hits.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("pos", "label"))).alias("_l"))
     return labels.select(id_col, F.array_join(F.transform("_l", lambda v: v["label"]), ", ").alias(out))

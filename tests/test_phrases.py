@@ -77,3 +77,27 @@ def test_no_product_and_no_gram_text_in_the_shuffle(spark):
     table = spark.createDataFrame([("a b c d", "X")], "phrase string, label string")
     plan = phrases.phrase_hits(df, ["id"], ["text"], table)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_grams_without_a_phrase_and_frequent_ones_are_not_shuffled(spark):
+    rnd = random.Random(5)
+    words = 100 * 400
+    texts = [(i, " ".join(f"w{rnd.randrange(10**6)}" if rnd.random() < 0.7 else rnd.choice(["the", "a"]) for _ in range(400))) for i in range(100)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(4).localCheckpoint()
+    table = [("the", "X"), ("the the the", "Y"), ("q r s", "Z"), ("q r", "Z")]
+    before = shuffled_rows(spark)
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with a dictionary that is large
+    hits = phrases.phrase_hits(df, ["id"], ["text"], spark.createDataFrame(table, "phrase string, label string"), longest=False)
+    got = {(r["id"], r["start"], r["n_words"], r["phrase"], r["label"]) for r in hits.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert got == by_hand(texts, table, False)
+    # of the three grams of each word only the sample's are counted (once more, but for their different ones)
+    assert shuffled_rows(spark) - before < 3.3 * words
