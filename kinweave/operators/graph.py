@@ -19,7 +19,7 @@ from kinweave.operators.joins import both_in, enrich_both, unknown_endpoints
 from kinweave.operators.ranking import first_per_key, top_with_ties
 from kinweave.operators.rules import edge_class
 from kinweave.operators.sets import endpoints
-from kinweave.session import cut
+from kinweave.session import cut, land
 
 
 # --- building edges and nodes ---------------------------------------------------
@@ -126,7 +126,7 @@ def components(e: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
     smallest one, so long chains and hubs both shrink fast. Stops when a round leaves
     the edge set as it was.
     """
-    cur = cut(simplify(e).select(F.col("dst").alias("u"), F.col("src").alias("v")))  # u > v
+    cur = land(simplify(e).select(F.col("dst").alias("u"), F.col("src").alias("v")))  # u > v
     mark = None
     while True:
         both = cur.union(cur.select("v", "u"))
@@ -138,7 +138,7 @@ def components(e: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
         star = large.join(small_low, "u").filter(F.col("v") != F.col("m")).select(
             F.col("v").alias("u"), F.col("m").alias("v")
         )
-        cur = cut(star.union(small_low.select("u", "m")).filter(F.col("u") != F.col("v")).distinct())
+        cur = land(star.union(small_low.select("u", "m")).filter(F.col("u") != F.col("v")).distinct())
         now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == tuple(now):
             break
@@ -324,12 +324,13 @@ def communities(e: DataFrame, mode: str = "any", all_nodes: DataFrame | None = N
     A node wants the most frequent label among its neighbours and itself, the smallest on ties.
     In each round a hashed half of the nodes may move, so neighbours do
     not swap labels for ever, and the result is the same on every run. ``mutual`` keeps
-    two-way edges only.
+    two-way edges only. State is written, as the size estimates of checkpointed frames are
+    multiplied in every round: they have twice the digits after each, and fill the driver.
     """
     simple = mutual(e) if mode == "mutual" else simplify(e)
     ids = endpoints(e) if all_nodes is None else all_nodes.select("id").distinct()
-    adj = cut(neighbours(simple))
-    labels = cut(ids.withColumn("community", F.col("id")).withColumn("wanted", F.lit(-1).cast("long")))
+    adj = land(neighbours(simple))
+    labels = land(ids.withColumn("community", F.col("id")).withColumn("wanted", F.lit(-1).cast("long")))
     round_no = 0
     while True:
         own = labels.select("id", "community")
@@ -338,7 +339,7 @@ def communities(e: DataFrame, mode: str = "any", all_nodes: DataFrame | None = N
         best = counted.join(own.withColumnRenamed("community", "own"), "id").groupBy("id").agg(
             F.min(F.struct(-F.col("n"), F.col("community").alias("c")))["c"].alias("wanted"),
             F.first("own").alias("community"))
-        now = cut(best)
+        now = land(best)
         if now.filter(F.col("wanted") != F.col("community")).isEmpty():
             return now.select("id", "community")
         labels = now.withColumn("community", F.when(moves_in(round_no), F.col("wanted")).otherwise(F.col("community")))

@@ -113,3 +113,10 @@ def test_results_do_not_depend_on_partitioning(spark):
             assert rows(QUERIES[n](spark, "/root/testdata/sf0.001")) == base[n], n
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_plans_of_loops_keep_small_estimates(spark):
+    r = random.Random(8)
+    e = spark.createDataFrame([(r.randrange(60), r.randrange(60)) for _ in range(90)] + [(i, i + 1) for i in range(100, 160)], "src long, dst long")
+    for found in (graph.communities(e), graph.components(e)):
+        assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 40
