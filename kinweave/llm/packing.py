@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import land, number_within, text_column, text_slices, with_row_index
-from kinweave.llm.encode import END_ID, WORDS_HELD, encoder
+from kinweave.llm.encode import END_ID, SLICE, WORDS_HELD, encoder
 from kinweave.operators.ranking import number_rows
 
 CAPACITY = 1024
@@ -93,16 +93,18 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, end = encoder(vocabulary, held), np.array([end_id], "<u4").tobytes()
-        for b in text_slices(batches):
-            rows = []
+        for b in text_slices(batches, SLICE):
+            rows, first = [], 0
+            ids, ends = e.encode_column(text_column(b), end)
+            raw = memoryview(ids.view(np.uint8))
             more = zip(*(c.to_pylist() for c in b.columns[2:]), strict=True) if place else repeat((), b.num_rows)
-            for doc, ids, rest in zip(b.column(0).to_pylist(), e.encode(text_column(b).to_pylist()), more, strict=True):
-                ids += end
-                n = len(ids) // 4
+            for doc, last, rest in zip(b.column(0).to_pylist(), ends.tolist(), more, strict=True):
+                n = last - first
                 lo, hi, piece = 0, (n - 1) % capacity + 1, 0
                 while lo < n:
-                    rows.append((doc, piece, lo, hi - lo, zlib.crc32(ids[4 * lo:4 * hi]), *rest))
+                    rows.append((doc, piece, lo, hi - lo, zlib.crc32(raw[4 * (first + lo):4 * (first + hi)]), *rest))
                     lo, hi, piece = hi, hi + capacity, piece + 1
+                first = last
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 

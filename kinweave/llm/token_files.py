@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import text_column, text_slices
-from kinweave.llm.encode import END_ID, encoder
+from kinweave.llm.encode import END_ID, SLICE, encoder
 
 ROW_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 WRITE = {
@@ -46,14 +46,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, part, start = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         e = encoder(vocabulary)
-        for b in text_slices(batches):
-            ids = [x + end for x in e.encode(text_column(b).to_pylist())]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            ends = np.cumsum(n)
+        for b in text_slices(batches, SLICE):
+            ids, ends = e.encode_column(text_column(b), end)
+            n = np.diff(ends, prepend=0)
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n), pa.array(n),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                                         pa.array(np.frombuffer(b"".join(ids), "<i4"))),
+                                         pa.array(ids.view("<i4"))),
             ], names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
             start += int(ends[-1])
 

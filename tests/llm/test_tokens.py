@@ -1,10 +1,13 @@
 """Token files and packing: exact round trips and brute force."""
 
 import glob
+import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
@@ -37,6 +40,37 @@ def test_encoder_equals_library(texts):
     assert list(PLAIN.encode(texts)) == want
 
 
+def test_columns_of_odd_units_spaces_and_contractions():
+    r = np.random.default_rng(4)
+    bits = ["a", "é", "×", "中", "’", "¿", " ", " ", "\n", "'s", "'re", "'", "\t", "\xa0", "\u2003", "1", ".", "<|", "<|endoftext|>", "\x85", "😀"]
+    texts = ["".join(r.choice(bits, n)) for n in r.integers(0, 12, 4000)]
+    encoder, end = Encoder(VOCABULARY, held=500), np.array([2], "<u4").tobytes()
+    for lo in range(0, 4000, 400):
+        ids, ends = encoder.encode_column(pa.array(texts, pa.large_string()).slice(lo, 400), end)
+        want = [ids_of(t) for t in texts[lo:lo + 400]]
+        assert ids.tolist() == [i for x in want for i in x]
+        assert ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+    broken = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, 3])), pa.py_buffer(b"a\xffb")])
+    with pytest.raises(ValueError):
+        encoder.encode_column(broken)
+
+
+def test_known_words_cost_less_than_a_list_of_them():
+    """Words that were met before are not made objects one by one, which alone takes as long as ``findall``."""
+    texts = [t or "" for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts *= -(-8_000_000 // sum(map(len, texts)))
+    word = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]")
+    list(ENCODER.encode(texts))
+
+    def seconds(work):
+        begin = time.process_time()
+        work()
+        return time.process_time() - begin
+
+    listed = min(seconds(lambda: [word.findall(t) for t in texts]) for _ in range(3))
+    assert min(seconds(lambda: list(ENCODER.encode(texts))) for _ in range(3)) < listed
+
+
 CASES = [(3, "b c"), (1, None), (2, ""), (None, "x"), (3, "b c"), (9, "word " * 3000), (7, "<|endoftext|> a  \n b ")]
 
 
