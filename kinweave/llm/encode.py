@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-SLICE = 1 << 23  # bytes of text worked on at once: the more, the fewer distinct words are looked up
 WORDS_HELD = 600_000  # entries of the memo; when it is full, a new one begins and takes over what is met again
 
 #: kinds of bytes; from OTHER on a byte makes its part odd, one for the library to cut
@@ -144,6 +143,11 @@ class Encoder:
 
     def encode_column(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """The ids of a large_string column without nulls, text after text, each with the ids ``end`` after it, and where each ends."""
+        out = self._column(texts, end)
+        pa.default_memory_pool().release_unused()  # else 100 MB stay with a worker
+        return out
+
+    def _column(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         nothing, mark = (pa.scalar(x, pa.large_binary()) for x in (b"", b"\xff"))
