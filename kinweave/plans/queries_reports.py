@@ -9,7 +9,7 @@ from kinweave.functions.text import clean_json
 from kinweave.operators import graph, rules
 from kinweave.plans import reports as rp
 from kinweave.plans.fixtures import PERIODS
-from kinweave.plans.queries_graph import BOTH_WAYS, MARRIAGE, MUTUAL, betweenness_sql, dist_sql
+from kinweave.plans.queries_graph import BOTH_WAYS, MARRIAGE, MUTUAL, ROUNDS, betweenness_sql, dist_sql
 from kinweave.plans.queries_rules import DST_CTE, OFFICE_CTE, PLACES, SPECIAL_CTE, _office, dst_edges, hit_sql, special
 from kinweave.plans.queries_text import _json
 from kinweave.plans.registry import query
@@ -400,7 +400,7 @@ def _(fx):
 @query("a32_community_sizes", "v_edge", f"""WITH {MUTUAL}, {BOTH_WAYS}, g AS (SELECT c AS community, count(*) AS n FROM settled GROUP BY 1)
     SELECT community, n, CASE WHEN n >= 3 THEN concat('Clúster ', CAST(community AS VARCHAR)) ELSE 'Pequeño' END AS community_label FROM g""")
 def _(fx):
-    return graph.community_labels(graph.communities(fx.edge(), "mutual"), 3)
+    return graph.community_labels(graph.communities(fx.edge(), "mutual", rounds=ROUNDS), 3)
 
 
 @query("a33_infobox_offices", "v_spell", """
