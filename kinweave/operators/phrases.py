@@ -2,7 +2,8 @@
 
 A dictionary of some words is best compiled into an expression (``joins.word_hits``). One of many phrases
 is a table ``(phrase, label[, pos])`` of any size: the word n-grams of every text and the phrases meet on
-their hashes, so the work is linear in the words of the texts, whatever the number of phrases.
+their hashes, so the work is linear in the words of the texts, whatever the number of phrases. Texts are
+taken in slices of some megabytes: a slice asks the dictionary once for each different gram.
 
 A phrase is found where its characters, in lower case, stand between word boundaries, with the same marks
 and spaces between its words; marks before its first and after its last word do not count, and a phrase
@@ -11,142 +12,91 @@ without a word is found nowhere. ``pos`` orders labels; without it labels are or
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
+from kinweave.operators import grams
 from kinweave.session import land
 
 WORD = r"[\p{L}\p{N}_]"
 GAP = r"[^\p{L}\p{N}_]"
-WIDTH = 3  # words of the longest n-gram that is hashed; longer phrases are chains of them
-SAMPLE_ROWS = 2_000  # texts that hot n-grams are looked for in; it moves the balance only
-HOT_PART = 1_000  # an n-gram is hot when more than one in so many is it, so hot ones are fewer than this
-KNOWN_PART = 200_000  # likewise of n-grams that are answered where they are read
-FEW_LABELS = 16  # labels of a phrase that is answered there
+WIDTH = 8  # words of the longest n-gram that is tried at every word; longer phrases only where their first words may be
 SLOTS = 1 << 21  # of the dictionary's filter, 64 bits each; beyond some 10 million phrases it lets more grams through
-GRAM = ["k1", "k2", "n"]
-
-
-def pieces(text: Column) -> Column:
-    """Words and the gaps between them in turn, in lower case, from the first word to the last."""
-    low = F.regexp_replace(F.lower(text), f"^{GAP}+|{GAP}+$", "")
-    return F.regexp_extract_all(low, F.lit(f"{WORD}+|{GAP}+"), F.lit(0))
-
 
-def _words(parts: Column) -> Column:
-    return F.floor((F.size(parts) + 1) / 2).cast("int")
 
+def _low(text: Column) -> Column:
+    return F.lower(text).alias("text")
 
-def _hashed(parts: Column) -> list[Column]:
-    """Two hashes of each piece, of 64 and 32 bits, as arrays."""
-    return [F.transform(parts, lambda p: F.xxhash64(p)).alias("_a"), F.transform(parts, lambda p: F.hash(p)).alias("_b")]
 
+def _with(cut_up: DataFrame, **more: DataType) -> StructType:
+    """Columns beside the text, and more after them."""
+    return StructType([StructField(f.name, f.dataType) for f in cut_up.schema if f.name != "text"] + [StructField(c, kind) for c, kind in more.items()])
 
-def _key(of64: list[Column], of32: list[Column]) -> list[Column]:
-    """96 bits of a gram from the hashes of its pieces, nulls left out: texts are not carried through the shuffle."""
-    return [F.xxhash64(*of64).alias("k1"), F.hash(*of32).alias("k2")]
 
-
-def _blocks(phrases: DataFrame, width: int) -> DataFrame:
-    """Each phrase as grams of at most ``width`` words that overlap by one, with their places in it."""
-    named = phrases.select(
-        F.array_join(pieces(F.col("phrase")), "").alias("phrase"),
+def _hashed(phrases: DataFrame, width: int, named: bool) -> DataFrame:
+    """Each phrase with its labels, its hashes ``k1, k2`` and those of its first ``width`` words, ``h1, h2``."""
+    bare = phrases.select(
+        F.regexp_replace(F.lower("phrase"), f"^{GAP}+|{GAP}+$", "").alias("phrase"),
         F.struct(F.col("pos") if "pos" in phrases.columns else F.lit(0).alias("pos"), "label").alias("_label"),
     ).filter("phrase <> ''")
-    each = named.groupBy("phrase").agg(F.array_sort(F.collect_set("_label")).alias("labels"))
-    each = each.withColumn("_p", pieces(F.col("phrase"))).withColumn("n_words", _words(F.col("_p")))
-    last = F.greatest(F.col("n_words") - width, F.lit(0))
-    places = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(width - 1)), F.array(last)))
-    each = each.withColumn("n", F.least("n_words", F.lit(width))).withColumn("_places", places)
-    each = each.select("*", F.size("_places").alias("n_blocks"), *_hashed(F.col("_p")), F.xxhash64("phrase").alias("p1"), F.hash("phrase").alias("p2"))
-    at = each.select("*", F.explode("_places").alias("place"))
-    gram = [[F.when(F.lit(i) < 2 * F.col("n") - 1, F.get(c, 2 * F.col("place") + i)) for i in range(2 * width - 1)] for c in ("_a", "_b")]
-    return at.select("phrase", "p1", "p2", "labels", "n_words", "n", "n_blocks", "place", *_key(*gram))
-
-
-def _grams(df: DataFrame, keys: list[str], text: Column, lengths: list[int]) -> DataFrame:
-    """Hashed n-grams of each text with the number of their first word."""
-    longest = max(lengths)
-    every = lambda c, rest: F.filter(c, lambda _, i: i % 2 == rest)
-    cut_up = df.select(*keys, pieces(text).alias("_p")).select(*keys, *_hashed(F.col("_p")))
-    cut_up = cut_up.select(*keys, *[every(c, rest).alias(f"{c}{rest}") for c in ("_a", "_b") for rest in (0, 1)])
-    later = lambda c, i: F.slice(c, i + 1, F.size(c)) if i else F.col(c)
-    # row by row: the word, the gap after it, the next word and so on, null beyond the end
-    beside = F.arrays_zip(*[later(f"{c}{i % 2}", i // 2).alias(f"{c}_{i}") for c in ("_a", "_b") for i in range(2 * longest - 1)])
-    # the outer form, as the inner one makes Spark build the array a second time to test its size
-    rows = cut_up.select(*keys, F.posexplode_outer(beside).alias("start", "_w")).filter("start IS NOT NULL")
-    at = lambda c, n: [F.col(f"_w.{c}_{i}") for i in range(2 * n - 1)]
-    each = F.array(*[
-        F.struct(F.lit(n).alias("n"), *[F.when(F.col(f"_w._a_{2 * n - 2}").isNotNull(), k).alias(name)
-                                        for name, k in zip(("k1", "k2"), _key(at("_a", n), at("_b", n)), strict=True)]) for n in lengths])
-    return rows.select(*keys, "start", F.inline(each)).filter("k1 IS NOT NULL")
-
-
-def _frequent(grams: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Grams that are frequent in a sample, fewer than ``KNOWN_PART``, with what the dictionary says of them.
-
-    ``settled`` ones are no block of a chain, so ``phrase`` (null: none) and its few labels are the whole answer;
-    ``hot`` ones of the others are to be salted.
-    """
-    counts = land(grams.groupBy("k1", "k2", "n").agg(F.count("*").alias("c")), "gram-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).scalar()
-    known = counts.filter(F.col("c") * KNOWN_PART > total).filter("c > 1").withColumn("hot", F.col("c") * HOT_PART > total).drop("c")
-    own = blocks.filter("n_blocks = 1").filter(F.size("labels") <= FEW_LABELS).select("k1", "k2", "n", "phrase", "p1", "p2", "n_words", "labels")
-    open_ones = blocks.filter((F.col("n_blocks") > 1) | (F.size("labels") > FEW_LABELS)).select("k1", "k2", "n", F.lit(True).alias("open")).distinct()
-    told = F.broadcast(known).join(open_ones, GRAM, "left_outer").withColumn("settled", F.col("open").isNull()).drop("open")
-    return land(told.join(own, GRAM, "left_outer"), "frequent-grams")
+    each = bare.groupBy("phrase").agg(F.array_sort(F.collect_set("_label")).alias("labels"))
+    each = each.select(*(["phrase"] if named else []), "labels", F.col("phrase").alias("text"))
+    schema = _with(each, k1=LongType(), k2=IntegerType(), h1=LongType(), h2=IntegerType(), n_words=IntegerType())
+    hashed = each.mapInArrow(partial(grams.hashed_phrases, width=width), schema)
+    return hashed if named else hashed.withColumn("alike", F.xxhash64("n_words", "labels"))
 
 
 def _mask() -> Column:
     return F.expr("shiftleft(1L, CAST(shiftright(k1, 32) & 63 AS INT)) | shiftleft(1L, k2 & 63)")
 
 
-def _slots(blocks: DataFrame) -> tuple[DataFrame, int]:
-    """A filter of the dictionary's grams: 64 bits for each slot, two of them set by a gram; at most ``SLOTS`` rows."""
-    n = blocks.count()
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A filter of the dictionary's grams: 64 bits for each slot, two of them set by a gram; at most ``SLOTS`` slots."""
+    n = keys.count()
     slots = 1 << 10
     while 64 * slots < 16 * n and slots < SLOTS:
         slots *= 2
-    return land(blocks.groupBy(F.col("k1").bitwiseAND(slots - 1).alias("slot")).agg(F.bit_or(_mask()).alias("bits")), "gram-filter"), slots
+    set_ones = keys.groupBy(F.col("k1").bitwiseAND(slots - 1).alias("slot")).agg(F.bit_or(_mask()).alias("bits")).toArrow()
+    bits = np.zeros(slots, np.uint64)
+    bits[set_ones["slot"].to_numpy()] = set_ones["bits"].to_numpy().view(np.uint64)
+    return bits
 
 
-def _found(df: DataFrame, keys: list[str], text_cols: list[str], phrases: DataFrame, longest: bool, width: int) -> DataFrame:
-    """``keys, start, n_words, phrase, p1, p2, labels``: a row for each place of each phrase; p1 and p2 name the phrase."""
+def _found(
+    df: DataFrame, keys: list[str], text_cols: list[str], phrases: DataFrame, longest: bool, width: int, what: str,
+    slice_chars: int = grams.SLICE_CHARS,
+) -> DataFrame:
+    """``keys`` with ``pos, label`` and what ``grams.answered`` tells of them."""
     if width < 2:
-        raise ValueError("grams of a chain overlap by one word: width is 2 or more")
-    spark = df.sparkSession
+        raise ValueError("the first words of a longer phrase are a gram: width is 2 or more")
+    sc = df.sparkSession.sparkContext
+    dictionary = land(_hashed(phrases, width, what == "hits"), "phrases")
+    lengths = sorted(r["n_words"] for r in dictionary.select("n_words").distinct().collect())  # different lengths only
+    begun = dictionary.filter(F.col("n_words") > width).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+    known = sc.broadcast(_filter(dictionary.select("k1", "k2").unionAll(begun)))
+    own = [f"key{i}" for i in range(len(keys))]
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
-    blocks = land(_blocks(phrases, width), "phrases")
-    lengths = sorted(r["n"] for r in blocks.select("n").distinct().collect())  # at most `width` numbers
-    grams = _grams(df, keys, text, lengths or [1])
-    part = min(1.0, SAMPLE_ROWS / max(df.count(), 1))
-    frequent = _frequent(_grams(df.sample(part, seed=7), keys, text, lengths or [1]), blocks)
-    of_phrase = ["n_words", "phrase", "p1", "p2", "labels"]
-    answered = grams.join(F.broadcast(frequent.filter("settled AND phrase IS NOT NULL")), GRAM).select(*keys, "start", *of_phrase)
-    # the others: what the filter lets through goes to the dictionary
-    kept, slots = _slots(blocks)
-    rest = grams.join(F.broadcast(frequent.select(*GRAM, "settled", "hot")), GRAM, "left").filter("NOT coalesce(settled, false)")
-    rest = rest.withColumn("slot", F.col("k1").bitwiseAND(slots - 1)).join(F.broadcast(kept), "slot").filter(
-        F.col("bits").bitwiseAND(_mask()) == _mask())
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = rest.select(*keys, "start", *GRAM, F.when(F.col("hot"), F.pmod(F.hash(*keys, "start"), F.lit(salts))).otherwise(0).alias("salt"))
-    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    hot = F.broadcast(frequent.filter("hot AND NOT settled").select(*GRAM, "hot"))
-    dictionary = blocks.join(hot, GRAM, "left").withColumn("salt", F.explode(copies)).drop("hot")
-    met = spread.join(dictionary, [*GRAM, "salt"])
-    found = answered.unionByName(met.filter("n_blocks = 1").select(*keys, "start", *of_phrase))
-    if not blocks.filter("n_blocks > 1").isEmpty():
-        begun = met.filter("n_blocks > 1").withColumn("start", F.col("start") - F.col("place"))
-        chains = begun.groupBy(*keys, "start", "p1", "p2").agg(
-            F.count("*").alias("_met"), F.min("n_blocks").alias("n_blocks")).filter("_met = n_blocks")
-        names = blocks.filter("n_blocks > 1 AND place = 0").select(*of_phrase)
-        found = found.unionByName(chains.select(*keys, "start", "p1", "p2").join(names, ["p1", "p2"]))
-    if longest:
-        end = F.col("start") + F.col("n_words")
-        before = W.partitionBy(*keys).orderBy("start", F.desc("n_words")).rowsBetween(W.unboundedPreceding, -1)
-        found = found.withColumn("_reach", F.max(end).over(before)).filter(F.col("_reach").isNull() | (F.col("_reach") < end))
-    return found
+    texts = df.select(*[F.col(c).alias(k) for c, k in zip(keys, own)], _low(text))
+    # parts of the dictionary, as many as there are slices
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (df.agg(F.sum(F.length(text))).first()[0] or 0) // slice_chars)
+    rows = {"slice": LongType(), "row_no": IntegerType(), "n": IntegerType(), "data": BinaryType()}
+    asked = texts.mapInArrow(
+        partial(grams.asked, known=known, lengths=lengths, width=width, places=what != "labels", parts=parts, most=slice_chars),
+        _with(texts, dest=IntegerType(), **rows))
+    part = dictionary.drop("h1", "h2").withColumn("part", F.pmod("k1", F.lit(parts)).cast("int"))
+    told = ArrayType(dictionary.select(F.struct("n_words", "labels", F.lit(None).cast("string").alias("phrase"))).schema[0].dataType)
+    met = asked.groupBy("dest").cogroup(part.groupBy("part")).applyInArrow(
+        lambda a, b: grams.met(a, b, what == "hits"), _with(texts, **rows, told=told))
+    more = {"hits": {"start": IntegerType(), "n_words": IntegerType(), "phrase": StringType()}, "labels": {},
+            "counts": {"n_hits": LongType(), "n_phrases": LongType()}}[what]
+    label = {f.name: f.dataType for f in dictionary.schema["labels"].dataType.elementType}
+    out = _with(texts, **more, **label)
+    answered = met.groupBy("slice").applyInArrow(lambda rows: grams.answered(rows, own, what, longest), out)
+    return answered.withColumnsRenamed(dict(zip(own, keys)))
 
 
 def phrase_hits(
@@ -155,14 +105,12 @@ def phrase_hits(
 ) -> DataFrame:
     """Where phrases stand in texts: ``keys, start, n_words, phrase, pos, label``, a row for each label.
 
-    ``keys`` name one text. ``longest`` leaves out hits that lie inside a longer one. Grams that are frequent in a
-    bounded sample are answered where they are read. Of the others only those that a filter of the dictionary lets
-    through are shuffled and met with it exactly; sample and filter decide only where rows go. Null texts hold
-    nothing. Phrases of more than ``width`` words are found when all their grams, which overlap by one word, stand
-    in their places.
+    ``keys`` name one text. ``longest`` leaves out hits that lie inside a longer one. Grams that a filter of the
+    dictionary lets through are asked for once in a slice of texts and met with the dictionary by their hashes (80
+    bits); the filter and the slices decide only where rows go. Null texts hold nothing. Phrases of more than
+    ``width`` words are looked for where their first ``width`` words may stand.
     """
-    found = _found(df, keys, text_cols, phrases, longest, width)
-    return found.select(*keys, "start", "n_words", "phrase", F.inline("labels"))
+    return _found(df, keys, text_cols, phrases, longest, width, "hits").select(*keys, "start", "n_words", "phrase", "pos", "label")
 
 
 def phrase_join(
@@ -170,17 +118,14 @@ def phrase_join(
     out: str = "vinculo", longest: bool = True,
 ) -> DataFrame:
     """One row per text and other label whose phrases occur, with hits and different phrases."""
-    found = _found(df, [id_col, own_key], text_cols, phrases, longest, WIDTH)
-    hits = found.select(id_col, own_key, "p1", "p2", F.inline("labels"))
-    other = hits.filter(F.coalesce(F.lower(F.trim(own_key)) != F.lower(F.trim("label")), F.lit(True)))
-    each = other.groupBy(id_col, own_key, "label", "p1", "p2").agg(F.count("*").alias("n"))
-    return each.groupBy(id_col, own_key, F.col("label").alias(out)).agg(
-        F.sum("n").alias("n_hits"), F.count("*").alias("n_phrases"))
+    found = _found(df, [id_col, own_key], text_cols, phrases, longest, WIDTH, "counts")
+    other = found.filter(F.coalesce(F.lower(F.trim(own_key)) != F.lower(F.trim("label")), F.lit(True)))
+    return other.select(id_col, own_key, F.col("label").alias(out), "n_hits", "n_phrases")
 
 
 def _labels_of(df: DataFrame, id_col: str, text_cols: list[str], phrases: DataFrame) -> DataFrame:
-    """Different labels of each text, joined on the map side before anything orders them."""
-    return phrase_hits(df, [id_col], text_cols, phrases, longest=False).select(id_col, "pos", "label").distinct()
+    """Different labels of each text."""
+    return _found(df, [id_col], text_cols, phrases, False, WIDTH, "labels")
 
 
 def infer_by_phrases(df: DataFrame, id_col: str, text_cols: list[str], phrases: DataFrame, out: str = "pais") -> DataFrame:
@@ -193,7 +138,7 @@ def mentions_by_phrases(df: DataFrame, id_col: str, own: str, fields: dict[str,
     """Other labels named in each field, once per kind, with the first field."""
     per_field = F.array(*[F.struct(F.lit(i).alias("_field"), F.col(f).alias("_text")) for i, f in enumerate(fields)])
     rows = df.select(id_col, own, F.inline(per_field))
-    hits = phrase_hits(rows, [id_col, own, "_field"], ["_text"], phrases, longest=False)
+    hits = _found(rows, [id_col, own, "_field"], ["_text"], phrases, False, WIDTH, "labels")
     other = hits.filter(F.coalesce(F.lower(F.trim(own)) != F.lower(F.trim("label")), F.lit(True)))
     of_field = lambda names: F.get(F.array(*[F.lit(f) for f in names]), F.col("_field"))
     kind = of_field(fields.values()).alias("tipo_vinculo")

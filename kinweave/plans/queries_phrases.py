@@ -17,9 +17,9 @@ def _beginning(n: int) -> str:
 def dictionary(fx):
     """Part names with their brands and the first 1 to 4 words of every line with its language."""
     names = fx.t("part").select(F.col("p_name").alias("phrase"), F.col("p_brand").alias("label"))
-    lines = fx.t("documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    lines = fx.t("documents").select("lang", F.explode_outer(F.split(F.lower("text"), "\n")).alias("line"))
     begins = lines.select(F.explode(F.array(*[
-        F.regexp_extract(F.lower("line"), _beginning(n), 1) for n in range(1, LONGEST + 1)])).alias("phrase"), F.col("lang").alias("label"))
+        F.regexp_extract("line", _beginning(n), 1) for n in range(1, LONGEST + 1)])).alias("phrase"), F.col("lang").alias("label"))
     return names.union(begins.filter("phrase <> ''")).distinct()
 
 

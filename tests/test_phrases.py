@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.operators import joins, phrases
 
@@ -101,3 +102,31 @@ def test_grams_without_a_phrase_and_frequent_ones_are_not_shuffled(spark):
     assert got == by_hand(texts, table, False)
     # of the three grams of each word only the sample's are counted (once more, but for their different ones)
     assert shuffled_rows(spark) - before < 3.3 * words
+
+
+@pytest.mark.parametrize("longest", [True, False])
+def test_slices_of_some_texts_and_parts_of_the_dictionary(spark, longest):
+    rnd = random.Random(9)
+    text = lambda n: " ".join(rnd.choice(["a", "b", "é", "d1"]) for _ in range(n))
+    texts = [(i, text(rnd.randint(0, 30))) for i in range(80)] + [(100, None), (101, "b a " * 40)]
+    table = list({(text(rnd.randint(1, 12)), rnd.choice("XYZ")) for _ in range(200)})
+    got = phrases._found(spark.createDataFrame(texts, "id long, text string"), ["id"], ["text"],
+                         spark.createDataFrame(table, "phrase string, label string"), longest, 4, "hits", slice_chars=60).collect()
+    rows = [(r["id"], r["start"], r["n_words"], r["phrase"], r["label"]) for r in got]
+    assert len(rows) == len(set(rows)) and set(rows) == by_hand(texts, table, longest)
+
+
+def test_a_slice_asks_once_for_each_gram(spark):
+    rnd = random.Random(6)
+    line = [f"w{i}" for i in range(5000)]
+    texts = [(i, " ".join(rnd.sample(line, 1000))) for i in range(200)]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(1).localCheckpoint()
+    table = spark.createDataFrame([(w, "XY"[i % 2]) for i, w in enumerate(line)], "phrase string, label string").localCheckpoint()
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    before = shuffled_rows(spark)
+    got = phrases.phrase_join(df.withColumn("own", F.lit("q")), "id", "own", ["text"], table).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert len(got) == 400 and sum(r["n_hits"] for r in got) == 200_000
+    # 200,000 words hit one of 5,000 phrases each, none of them frequent in few texts or many
+    assert shuffled_rows(spark) - before < 40_000
