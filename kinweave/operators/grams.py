@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 
-SLICE_CHARS = 4 << 20  # of text; a worker holds some fifty times that
+SLICE_CHARS = 4 << 20  # bytes of text in a slice
 BLOCK_CHARS = 1 << 19  # hashed at once
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd, so that they have inverses modulo 2^64
 ONE = np.uint64(1)
